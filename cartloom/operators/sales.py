@@ -49,6 +49,11 @@ def mean_amount() -> Column:
     return ratio(F.sum("amount"), F.sum("lines"))
 
 
+def mean_money(c: str) -> Column:
+    """Mean of an amount, added up exactly so that it does not depend on the order of rows."""
+    return ratio(F.sum(F.col(c).cast("decimal(28,2)")), F.count(c))
+
+
 def day_name(c: Column) -> Column:
     return F.date_format(c, "EEEE")
 
@@ -109,7 +114,7 @@ def sales_daily(sales: DataFrame) -> DataFrame:
         .groupBy(F.to_date(AT).alias("_day"))
         .agg(revenue().alias("revenue"), invoices().alias("invoices"), buyers().alias("customers"))
     )
-    mean = days.agg(round_even(F.avg("revenue"), 2).alias("mean_daily_revenue"))
+    mean = days.agg(round_even(mean_money("revenue"), 2).alias("mean_daily_revenue"))
     return days.crossJoin(F.broadcast(mean)).select(
         F.date_format("_day", "yyyy-MM-dd").alias("day"), "revenue", "invoices", "customers", "mean_daily_revenue"
     )
@@ -195,7 +200,7 @@ def month_seasonality(facts: DataFrame) -> DataFrame:
         monthly_summary(facts)
         .groupBy("month")
         .agg(
-            round_even(F.avg("revenue"), 2).alias("mean_revenue"),
+            round_even(mean_money("revenue"), 2).alias("mean_revenue"),
             round_even(F.avg("invoices"), 4).alias("mean_invoices"),
             round_even(F.avg("customers"), 4).alias("mean_customers"),
             round_even(F.avg(per_order), 3).alias("mean_revenue_per_order"),
@@ -547,7 +552,7 @@ def kpi_growth(facts: DataFrame) -> DataFrame:
     # One row per month: bounded.
     earlier = F.lag("revenue").over(Window.orderBy("month"))
     growth = months.withColumn("_earlier", earlier).agg(
-        round_even(F.avg("revenue"), 2).alias("mean_monthly_revenue"),
+        round_even(mean_money("revenue"), 2).alias("mean_monthly_revenue"),
         F.max_by(ratio(F.col("revenue") - F.col("_earlier"), "_earlier"), "month").alias("_growth"),
     )
     sums = facts.agg(

@@ -121,7 +121,7 @@ SELECT *, avg_order_value * (CASE WHEN customer_lifetime>0 THEN frequency/(custo
     "segmented": """
 SELECT r.rfm_segment, r.rfm_score, r."R_score", r."F_score", r."M_score", c.* FROM rfm_lib r JOIN clv c USING (customer_id)""",
     "features_nb": """
-SELECT *, customer_lifetime::DOUBLE/frequency AS avg_days_between_orders, monetary/frequency AS avg_basket FROM (
+SELECT *, customer_lifetime::DOUBLE/nullif(frequency,0) AS avg_days_between_orders, monetary/nullif(frequency,0) AS avg_basket FROM (
 SELECT "CustomerID" AS customer_id, count(DISTINCT "Invoice") AS frequency, sum("Total_Amount")::DOUBLE AS monetary,
  sum("Quantity") AS quantity_sum, sum("Quantity")::DOUBLE/count("Quantity") AS quantity_mean, stddev_samp("Quantity"::DOUBLE) AS quantity_std,
  sum("Price")::DOUBLE/count("Price") AS price_mean, stddev_samp("Price"::DOUBLE) AS price_std, min("Price")::DOUBLE AS price_min, max("Price")::DOUBLE AS price_max,
@@ -148,7 +148,7 @@ FROM (SELECT "M_score" AS cluster, monetary FROM rfm_nb) GROUP BY cluster""",
 SELECT customer_id, recency, frequency, monetary, unnest(list_filter([
  CASE WHEN rfm_segment='Champions' THEN 'CHAMPIONS' END, CASE WHEN cluster_rank=1 THEN 'SUPER_WHALES' END,
  CASE WHEN cluster_rank=2 THEN 'HIGH_VALUE' END, CASE WHEN rfm_segment='Potential Loyalists' THEN 'POTENTIAL_LOYALISTS' END,
- CASE WHEN cluster_rank>clusters-2 THEN 'ONE_SHOT_PROBLEM' END], x -> x IS NOT NULL)) AS target
+ CASE WHEN cluster_rank>clusters-2 THEN 'ONE_SHOT_PROBLEM' END], lambda x: x IS NOT NULL)) AS target
 FROM rfm_nb JOIN band_ranks ON cluster = "M_score" """,
     "churn_features": """
 SELECT *, CASE WHEN total_spent>0 THEN recent_spent/(total_spent/(customer_lifetime_days+1)*90) ELSE 0 END AS spending_trend,

@@ -99,7 +99,7 @@ def clean_dataset_lib(m):
  CASE WHEN (SELECT count(*) FROM kept_lib WHERE starts_with("Invoice",'C') AND "Quantity">0)>0 THEN 'return_quantity_inconsistency_noted' END,
  CASE WHEN (SELECT count(*) FROM kept_lib WHERE "Price">1000)>0 THEN 'expensive_items_flagged' END,
  CASE WHEN (SELECT count(*) FROM kept_lib WHERE "CustomerID"<=0)>0 THEN 'invalid_customer_ids_removed' END,
- 'total_amount_calculated','business_rules_validated','data_types_optimized'], x -> x IS NOT NULL), ', ') AS steps FROM raw""",
+ 'total_amount_calculated','business_rules_validated','data_types_optimized'], lambda x: x IS NOT NULL), ', ') AS steps FROM raw""",
 )
 def clean_report_lib(m):
     return cleaning.cleaning_report(m.raw)

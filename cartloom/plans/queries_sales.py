@@ -29,7 +29,7 @@ def financial_performance(m):
 @query(
     "sales_daily",
     f"""WITH d AS (SELECT strftime("InvoiceDate",'%Y-%m-%d') AS day, {_REV} AS revenue, {_INV} AS invoices, {_CUS} AS customers FROM sale WHERE "InvoiceDate" IS NOT NULL GROUP BY 1)
-SELECT *, (SELECT round_even(avg(revenue),2) FROM d) AS mean_daily_revenue FROM d""",
+SELECT *, (SELECT round_even(sum(revenue::DECIMAL(28,2))::DOUBLE/count(*),2) FROM d) AS mean_daily_revenue FROM d""",
 )
 def sales_daily(m):
     return sales.sales_daily(m.sales_facts)
@@ -230,7 +230,7 @@ def monthly_summary(m):
 
 @query(
     "month_seasonality",
-    f"""SELECT month, round_even(avg(revenue),2) AS mean_revenue, round_even(avg(invoices),4) AS mean_invoices, round_even(avg(customers),4) AS mean_customers,
+    f"""SELECT month, round_even(sum(revenue::DECIMAL(28,2))::DOUBLE/count(*),2) AS mean_revenue, round_even(avg(invoices),4) AS mean_invoices, round_even(avg(customers),4) AS mean_customers,
  round_even(avg(revenue/invoices),3) AS mean_revenue_per_order FROM ({_MONTHLY}) GROUP BY 1""",
 )
 def month_seasonality(m):
@@ -404,7 +404,7 @@ def recap_top_products(m):
     "kpi_growth",
     f"""WITH m AS (SELECT strftime("InvoiceDate",'%Y-%m') AS month, {_REV} AS revenue FROM logic_nb WHERE "InvoiceDate" IS NOT NULL GROUP BY 1), g AS (SELECT *, lag(revenue) OVER (ORDER BY month) AS p FROM m),
  s AS (SELECT {_INV} AS o, {_CUS} AS c, floor((epoch_us(max("InvoiceDate"))-epoch_us(min("InvoiceDate")))/86400000000)::BIGINT AS d FROM logic_nb)
-SELECT (SELECT round_even(avg(revenue),2) FROM m) AS mean_monthly_revenue, (SELECT round_even(coalesce((revenue-p)/p,0)*100,4) FROM g ORDER BY month DESC LIMIT 1) AS last_month_growth_pct,
+SELECT (SELECT round_even(sum(revenue::DECIMAL(28,2))::DOUBLE/count(*),2) FROM m) AS mean_monthly_revenue, (SELECT round_even(coalesce((revenue-p)/p,0)*100,4) FROM g ORDER BY month DESC LIMIT 1) AS last_month_growth_pct,
  round_even(c/(d/30.0::DOUBLE),4) AS customers_per_month, round_even(o::DOUBLE/d,4) AS orders_per_day FROM s""",
 )
 def kpi_growth(m):
