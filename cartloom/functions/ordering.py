@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from cartloom.functions.scalars import with_row
 from cartloom.functions.staging import stage
 
 _SEQ, _PART, _LOCAL = "_seq", "_part", "_local"
@@ -147,7 +148,7 @@ def bucket_scores(
             hit = (F.col("metric") == i) & (place == position)
             picks.append(F.max(F.when(hit, F.struct("value", "_key"))).alias(f"_limit_{i}_{b}"))
     wanted = ranked.where(place.isin([p for _, p in limits] or [0]))
-    out = df.crossJoin(F.broadcast(wanted.agg(*picks)))
+    out = df.transform(with_row, wanted.agg(*picks))
     for i, (name, column) in enumerate(metrics.items()):
         mine = F.struct(F.col(column).cast("decimal(38,4)").alias("value"), F.col(key).alias("_key"))
         score = F.lit(1)
@@ -157,11 +158,19 @@ def bucket_scores(
     return out.drop(*[f"_limit_{i}_{b}" for i in range(len(metrics)) for b, _ in limits])
 
 
+def task_count(df: DataFrame) -> int:
+    """Tasks of a shuffle that must stay spread although its rows are few."""
+    spark = df.sparkSession
+    wanted = spark.conf.get("spark.sql.shuffle.partitions", "")
+    return max(int(wanted) if wanted.isdigit() else 0, spark.sparkContext.defaultParallelism)
+
+
 def expand_copies(df: DataFrame, copies: str, ordinal: str) -> DataFrame:
     """Repeat each row ``copies`` times with ordinal 0..copies-1.
 
     A row with very many copies is first cut into blocks that are spread over
-    the cluster, so no task writes out a whole hot group.
+    the cluster, so no task writes out a whole hot group.  The number of tasks
+    is given, because the small blocks would otherwise be merged into one.
     """
     rest = [c for c in df.columns if c != copies]
     last_block = F.floor((F.col(copies) - 1) / F.lit(_COPIES_PER_BLOCK)).cast("bigint")
@@ -169,7 +178,7 @@ def expand_copies(df: DataFrame, copies: str, ordinal: str) -> DataFrame:
     start = F.col("_block") * F.lit(_COPIES_PER_BLOCK)
     end = F.least(start + F.lit(_COPIES_PER_BLOCK), F.col(copies)) - F.lit(1)
     return (
-        blocks.repartition(F.xxhash64(*[c for c in (*rest, "_block")]))
+        blocks.repartition(task_count(df), *rest, "_block")
         .withColumn(ordinal, F.explode(F.sequence(start, end)))
         .drop("_block", copies)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions.numeric import normal_cdf, ratio, round_even
+from cartloom.functions.scalars import with_row
 from cartloom.operators.campaigns import PROFIT_MARGIN
 
 MIN_CUSTOMERS = 10
@@ -23,7 +24,7 @@ def assign(customers: DataFrame, test_id: str = "t1") -> DataFrame:
     """Customers with their variant; a segment under ten customers gives no test."""
     size = customers.agg(F.count(F.lit(1)).alias("_size"))
     return (
-        customers.crossJoin(F.broadcast(size))
+        customers.transform(with_row, size)
         .where(F.col("_size") >= MIN_CUSTOMERS)
         .drop("_size")
         .withColumn("variant", variant(test_id))
@@ -117,8 +118,8 @@ def significance(per_variant: DataFrame) -> DataFrame:
 
 def winner(per_variant: DataFrame) -> DataFrame:
     """Variant with the better return; recommended only when the difference is significant."""
-    row = _side_by_side(per_variant, ["roi_percent", "total_revenue"]).crossJoin(
-        F.broadcast(significance(per_variant).select("is_significant"))
+    row = _side_by_side(per_variant, ["roi_percent", "total_revenue"]).transform(
+        with_row, significance(per_variant).select("is_significant")
     )
     a, b = F.col("roi_percent_a"), F.col("roi_percent_b")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.numeric import dbl, pct, ratio, round_even, total
 from cartloom.functions.ordering import exact_quantiles
+from cartloom.functions.scalars import with_row
 from cartloom.functions.staging import stage
 from cartloom.operators.sales import AT, buyers, dated, invoices, revenue
 
@@ -40,7 +41,7 @@ def order_value_anomalies(lines: DataFrame) -> DataFrame:
     orders = stage(order_values(lines), "orders")
     value = F.col("order_value")
     return (
-        orders.crossJoin(F.broadcast(order_fences(orders)))
+        orders.transform(with_row, order_fences(orders))
         .where((value < F.col("lower_fence")) | (value > F.col("upper_fence")))
         .select(
             "Invoice",
@@ -61,7 +62,7 @@ def order_value_statistics(anomalies: DataFrame) -> DataFrame:
         round_even(F.avg("order_value"), 2).alias("mean_value"),
         round_even(F.stddev_samp("order_value"), 2).alias("std_value"),
     )
-    return sums.crossJoin(F.broadcast(median)).select(
+    return sums.transform(with_row, median).select(
         "orders", "mean_value", round_even("v_q0", 2).alias("median_value"), "std_value"
     )
 
@@ -127,7 +128,7 @@ def daily_anomalies(facts: DataFrame) -> DataFrame:
     )
     z = {c: F.abs(ratio(F.col(c) - F.col(f"_avg_{c}"), f"_std_{c}")) for c in ("revenue", "orders")}
     return (
-        days.crossJoin(F.broadcast(spread))
+        days.transform(with_row, spread)
         .where((z["revenue"] > Z_LIMIT) | (z["orders"] > Z_LIMIT))
         .select(
             F.date_format("_day", "yyyy-MM-dd").alias("day"),
@@ -146,7 +147,7 @@ def anomaly_revenue_impact(lines: DataFrame) -> DataFrame:
         total(F.col("order_value").cast("decimal(28,2)")).cast("double").alias("anomalous_revenue"),
     )
     everything = lines.agg(total("Total_Amount").cast("double").alias("_all"))
-    return unusual.crossJoin(F.broadcast(everything)).select(
+    return unusual.transform(with_row, everything).select(
         "anomalous_orders", "anomalous_revenue", pct("anomalous_revenue", "_all").alias("revenue_pct")
     )
 
@@ -155,9 +156,10 @@ def anomaly_summary(lines: DataFrame, facts: DataFrame, scored_customers: DataFr
     """Count and share of each family of anomalies."""
 
     def family(name: str, found: DataFrame, base: DataFrame) -> DataFrame:
-        return found.agg(F.count(F.lit(1)).alias("anomalies")).crossJoin(
-            F.broadcast(base.agg(F.count(F.lit(1)).alias("total")))
-        ).select(F.lit(name).alias("family"), "anomalies", "total", pct("anomalies", "total").alias("share_pct"))
+        counts = found.agg(F.count(F.lit(1)).alias("anomalies"))
+        return counts.transform(with_row, base.agg(F.count(F.lit(1)).alias("total"))).select(
+            F.lit(name).alias("family"), "anomalies", "total", pct("anomalies", "total").alias("share_pct")
+        )
 
     parts = [
         family("orders", order_value_anomalies(lines), lines.select("Invoice").dropna().distinct()),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cartloom.functions.numeric import MICROS_PER_DAY, ratio, round_even
+from cartloom.functions.scalars import with_row
 
 HALF_LIFE_DAYS = 7.0
 MODELS = ("last_touch", "first_touch", "linear", "time_decay")
@@ -95,11 +96,13 @@ def _shares(timeline: DataFrame, names: list[str], weight: Column) -> DataFrame:
     )
 
 
-def linear(touches: DataFrame, conversions: DataFrame) -> DataFrame:
-    return _shares(_timeline(touches, conversions), channels_of(touches), F.lit(1.0))
+def linear(touches: DataFrame, conversions: DataFrame, channels: list[str] | None = None) -> DataFrame:
+    return _shares(_timeline(touches, conversions), channels or channels_of(touches), F.lit(1.0))
 
 
-def time_decay(touches: DataFrame, conversions: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
+def time_decay(
+    touches: DataFrame, conversions: DataFrame, half_life_days: float = HALF_LIFE_DAYS, channels: list[str] | None = None
+) -> DataFrame:
     """Weight halves with every half-life of age.
 
     The weights 2^(-age/h) of one conversion's touches stand to each other
@@ -109,7 +112,7 @@ def time_decay(touches: DataFrame, conversions: DataFrame, half_life_days: float
     first = touches.groupBy("customer_id").agg(F.min("ts").alias("_start"))
     age = (F.unix_micros("ts") - F.unix_micros("_start")) / F.lit(float(MICROS_PER_DAY) * half_life_days)
     timeline = _timeline(touches, conversions).join(first, "customer_id")
-    return _shares(timeline, channels_of(touches), F.pow(F.lit(2.0), age))
+    return _shares(timeline, channels or channels_of(touches), F.pow(F.lit(2.0), age))
 
 
 def last_touch(touches: DataFrame, conversions: DataFrame) -> DataFrame:
@@ -152,7 +155,7 @@ def attribution_summary(credits: DataFrame) -> DataFrame:
         F.sum("credit").alias("_credit"), F.count_distinct("conversion_id").alias("conversions")
     )
     everything = credits.agg(F.sum("credit").alias("_all"))
-    return per.crossJoin(F.broadcast(everything)).select(
+    return per.transform(with_row, everything).select(
         "channel",
         round_even("_credit", 2).alias("credit"),
         "conversions",

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from cartloom.functions import rules
 from cartloom.functions.numeric import ratio, round_even
+from cartloom.functions.scalars import with_row
 from cartloom.operators.customers import target_rules
 
 PROFIT_MARGIN = 0.25
@@ -310,7 +311,7 @@ def effort_impact(potential: DataFrame) -> DataFrame:
     )
     effort = F.when(F.col("campaign_cost") > F.col("_cost"), "high").otherwise("low")
     impact = F.when(F.col("expected_revenue") > F.col("_revenue"), "high").otherwise("low")
-    return potential.crossJoin(F.broadcast(medians)).select(
+    return potential.transform(with_row, medians).select(
         "target",
         round_even(F.col("campaign_cost") / 1000, 4).alias("effort_k"),
         round_even(F.col("expected_revenue") / 1000, 4).alias("impact_k"),

@@ -17,6 +17,7 @@ from cartloom.functions.numeric import (
     whole_days,
 )
 from cartloom.functions.ordering import exact_quantiles
+from cartloom.functions.scalars import with_row
 
 CHURN_DAYS = 90
 RECENT_DAYS = 90
@@ -40,7 +41,7 @@ def churn_features(orders: DataFrame, external: DataFrame | None = None) -> Data
     amount = F.col("total_amount")
     per = (
         orders.where(F.col("customer_id").isNotNull())
-        .crossJoin(F.broadcast(anchor))
+        .transform(with_row, anchor)
         .groupBy("customer_id")
         .agg(
             F.max("_reference").alias("_reference"),
@@ -145,7 +146,7 @@ def temporal_base(lines: DataFrame) -> DataFrame:
     dated = (
         lines.where(F.col("InvoiceDate").isNotNull() & F.col("CustomerID").isNotNull())
         .withColumn("_t", micros)
-        .crossJoin(F.broadcast(period_cuts(lines)))
+        .transform(with_row, period_cuts(lines))
         .where(F.col("_t") <= F.col("_cutoff"))
     )
 
@@ -215,7 +216,7 @@ def risk_band(probability: Column | str) -> Column:
 def recency_score(labelled: DataFrame) -> DataFrame:
     """A score without a model: recency over the longest recency."""
     longest = labelled.agg(F.max("recency_days").alias("_longest"))
-    return labelled.crossJoin(F.broadcast(longest)).select(
+    return labelled.transform(with_row, longest).select(
         "customer_id",
         F.col("is_churned").alias("label"),
         ratio("recency_days", "_longest").alias("score"),
@@ -317,7 +318,7 @@ def retention_roi(actions: DataFrame, segments: DataFrame | None = None) -> Data
     else:
         money = F.col("monetary").cast("decimal(28,2)")
         mean = segments.agg(ratio(F.sum(money), F.count(money)).alias("_mean"))
-        rated = rated.crossJoin(F.broadcast(mean))
+        rated = rated.transform(with_row, mean)
     gain = F.col("estimated_success_rate") * F.col("_mean") * F.lit(0.2)
     roi = ratio(gain - F.col("estimated_budget"), "estimated_budget") * 100
     return rated.withColumn("estimated_roi", round_even(roi, 1)).drop("_mean")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.numeric import flag_count, ratio, round_even
 from cartloom.functions.ordering import exact_quantiles, expand_copies, running_total
+from cartloom.functions.scalars import with_row
 
 RAW_DATE_FORMAT = "M/d/yyyy H:mm"
 #: Formats tried in turn by the inferring parser.
@@ -260,7 +261,7 @@ def outlier_fences(lines: DataFrame) -> DataFrame:
 
 
 def flag_outliers(lines: DataFrame) -> DataFrame:
-    fenced = lines.crossJoin(F.broadcast(outlier_fences(lines)))
+    fenced = lines.transform(with_row, outlier_fences(lines))
     for c in ("Price", "Quantity"):
         above = (F.col(c).cast("double") > F.col(f"{c}_fence")) & (F.col(c) > 0)
         fenced = fenced.withColumn(f"{c}_Outlier", F.coalesce(above, F.lit(False)))
@@ -301,7 +302,7 @@ def cleaning_summary(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     )
     share = lambda c: round_even(ratio(c, "final_rows") * 100, 4)
     return (
-        before.crossJoin(F.broadcast(after))
+        before.transform(with_row, after)
         .withColumn("rows_removed", F.col("original_rows") - F.col("final_rows"))
         .withColumn("new_columns", F.lit(len(cleaned.columns) - len(raw.columns)))
         .withColumn("price_outlier_pct", share("price_outliers"))

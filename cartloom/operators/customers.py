@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from cartloom.functions import rules
 from cartloom.functions.numeric import DAYS_PER_MONTH, dbl, pct, ratio, round_even, whole_days
 from cartloom.functions.ordering import exact_quantiles
+from cartloom.functions.scalars import with_row
 from cartloom.operators.sales import AT, top_share
 
 GROSS_MARGIN = 0.20
@@ -46,7 +47,7 @@ def customer_features(orders: DataFrame) -> DataFrame:
     lifetime = F.coalesce(whole_days("last_order", "first_order"), F.lit(0))
     gap = F.when(F.col("frequency") > 1, ratio("customer_lifetime", F.col("frequency") - 1)).otherwise(0.0)
     return (
-        per.crossJoin(F.broadcast(anchor))
+        per.transform(with_row, anchor)
         .withColumn("recency", F.coalesce(whole_days("_reference", "last_order"), F.lit(0)))
         .withColumn("customer_lifetime", lifetime)
         .withColumn("avg_days_between_orders", gap)
@@ -78,7 +79,7 @@ def behaviour_features(lines: DataFrame) -> DataFrame:
         )
     )
     return (
-        per.crossJoin(F.broadcast(snapshot))
+        per.transform(with_row, snapshot)
         .withColumn("recency", whole_days("_snapshot", "last_date"))
         .withColumn("customer_lifetime", whole_days("last_date", "first_date"))
         .withColumn("avg_days_between_orders", ratio("customer_lifetime", "frequency"))
@@ -128,8 +129,8 @@ def segment_insights(customers: DataFrame) -> DataFrame:
         round_even(ratio(F.count(F.when(F.col("frequency") == 1, 1)), F.count(F.lit(1))) * 100, 1).alias("one_shot_pct"),
     )
     return (
-        best.crossJoin(F.broadcast(share))
-        .crossJoin(F.broadcast(once))
+        best.transform(with_row, share)
+        .transform(with_row, once)
         .select(
             "top_segment",
             pct("top_total", "grand_total", 1).alias("top_20_revenue_share"),
@@ -167,7 +168,7 @@ def segment_summary_nb(customers: DataFrame) -> DataFrame:
     everyone = sums.agg(F.sum("customers").alias("_all"))
     return (
         sums.join(F.broadcast(medians), "rfm_segment")
-        .crossJoin(F.broadcast(everyone))
+        .transform(with_row, everyone)
         .select(
             *sums.columns,
             *[round_even(f"{c}_q0", 4).alias(f"{c}_median") for c in metrics],
@@ -185,7 +186,7 @@ def cluster_summary_nb(customers: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("customers"), round_even(F.sum("monetary"), 2).alias("monetary_sum"), *stats
     )
     everyone = per.agg(F.sum("customers").alias("_all"))
-    return per.crossJoin(F.broadcast(everyone)).withColumn("share_pct", pct("customers", "_all", 1)).drop("_all")
+    return per.transform(with_row, everyone).withColumn("share_pct", pct("customers", "_all", 1)).drop("_all")
 
 
 def feature_correlation(customers: DataFrame, names: list[str] = BEHAVIOUR) -> DataFrame:
@@ -264,7 +265,7 @@ def business_impact(targets: DataFrame, customers: DataFrame) -> DataFrame:
         target_rules(targets)
         .where(F.col("uplift").isNotNull())
         .join(base, "target")
-        .crossJoin(F.broadcast(everything))
+        .transform(with_row, everything)
         .select(
             "target",
             "base_revenue",

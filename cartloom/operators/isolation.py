@@ -18,6 +18,7 @@ from pyspark.sql import Window
 
 from cartloom.functions.numeric import dbl
 from cartloom.functions.ordering import exact_quantiles
+from cartloom.functions.scalars import with_row
 from cartloom.functions.staging import stage
 
 TREES = 100
@@ -130,7 +131,7 @@ def isolation_forest(rows: DataFrame, key: str, columns: list[str], contaminatio
     scored = stage(numbers.withColumn("_raw", -rate(*[F.col(c) for c in columns])), "isolation")
     cut = exact_quantiles(scored, {"cut": F.col("_raw")}, [contamination])
     return (
-        scored.crossJoin(F.broadcast(cut))
+        scored.transform(with_row, cut)
         .withColumn("anomaly_score", F.col("_raw") - F.col("cut_q0"))
         .withColumn("anomaly", F.when(F.col("anomaly_score") < 0, -1).otherwise(1))
         .drop("_raw", "cut_q0")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.numeric import dbl, ratio, round_even
 from cartloom.functions.ordering import running_total
+from cartloom.functions.scalars import with_row
 from cartloom.functions.staging import stage
 
 SEED = 42
@@ -43,7 +44,7 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
         *[e.alias(f"_{n}_{c}") for c in columns for n, e in (("m", F.avg(dbl(c))), ("s", F.stddev_pop(dbl(c))))]
     )
     scaled = {c: F.coalesce(ratio(dbl(c) - F.col(f"_m_{c}"), f"_s_{c}"), F.lit(0.0)) for c in columns}
-    return df.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
+    return df.transform(with_row, stats).withColumns(scaled).drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
 
 
 def vector_table(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -106,14 +107,14 @@ def calinski_harabasz(points: DataFrame, columns: list[str], cluster: str = "clu
     whole = points.agg(n.alias("_all"), *[F.avg(dbl(c)).alias(f"_g_{c}") for c in columns])
     between = sum(((F.col(f"_c_{c}") - F.col(f"_g_{c}")) ** 2 for c in columns), F.lit(0.0))
     within = sum(((dbl(c) - F.col(f"_c_{c}")) ** 2 for c in columns), F.lit(0.0))
-    b = per.crossJoin(F.broadcast(whole)).agg(
+    b = per.transform(with_row, whole).agg(
         F.sum(F.col("_n") * between).alias("_between"), F.count(F.lit(1)).alias("n_clusters"), F.max("_all").alias("_all")
     )
     # One row per cluster on the small side.
     w = points.join(F.broadcast(per), cluster).agg(F.sum(within).alias("_within"))
     k = F.col("n_clusters")
     score = ratio("_between", k - 1) / ratio("_within", F.col("_all") - k)
-    return b.crossJoin(F.broadcast(w)).select("n_clusters", round_even(score, 4).alias("calinski_harabasz_score"))
+    return b.transform(with_row, w).select("n_clusters", round_even(score, 4).alias("calinski_harabasz_score"))
 
 
 def clustering_metrics(vectors: DataFrame, clustered: DataFrame, key: str, width: int) -> DataFrame:
@@ -150,7 +151,7 @@ def with_class_weights(labelled: DataFrame, label: str) -> DataFrame:
     """weight = n / (2 * rows of the class)."""
     sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
     whole = sizes.agg(F.sum("_rows").alias("_all"))
-    weights = sizes.crossJoin(F.broadcast(whole)).select(label, (F.col("_all") / (F.col("_rows") * 2.0)).alias("weight"))
+    weights = sizes.transform(with_row, whole).select(label, (F.col("_all") / (F.col("_rows") * 2.0)).alias("weight"))
     return labelled.join(F.broadcast(weights), label)
 
 
@@ -239,7 +240,7 @@ def train_record(trained: TrainedModel) -> DataFrame:
     report = classification_report(scored).where(F.col("class") == "weighted")
     return (
         auc(scored)
-        .crossJoin(F.broadcast(report.select("precision", "recall", "f1", F.col("support").alias("test_rows"))))
+        .transform(with_row, report.select("precision", "recall", "f1", F.col("support").alias("test_rows")))
         .select(
             F.lit(trained.name).alias("model"), F.lit(trained.train_rows).alias("train_rows"), "test_rows",
             F.lit(trained.seconds).alias("training_seconds"), "auc", "precision", "recall", "f1",

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from cartloom.functions.numeric import dbl, flag_count, pct, ratio, round_even, whole_days
 from cartloom.functions.ordering import exact_quantiles, expand_copies
+from cartloom.functions.scalars import with_row
 from cartloom.operators.cleaning import RAW_DATE_FORMAT
 from cartloom.operators.sales import histogram
 
@@ -152,7 +153,7 @@ def numeric_summary(lines: DataFrame, columns: tuple[str, ...] = ("Quantity", "P
         )
         for c in columns
     ]
-    return sums.crossJoin(F.broadcast(medians)).select(F.inline(F.array(*rows)))
+    return sums.transform(with_row, medians).select(F.inline(F.array(*rows)))
 
 
 def sign_counts(lines: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def box_stats(lines: DataFrame, columns: tuple[str, ...] = ("Quantity", "Price")
     cells = {c: F.col(c) for c in columns}
     q = exact_quantiles(lines, cells, [0.25, 0.5, 0.75])
     pairs = [F.struct(F.lit(c).alias("column_name"), dbl(c).alias("v"), *[F.col(f"{c}_q{i}").alias(f"q{i}") for i in range(3)]) for c in columns]
-    spread = lines.crossJoin(F.broadcast(q)).select(F.inline(F.array(*pairs)))
+    spread = lines.transform(with_row, q).select(F.inline(F.array(*pairs)))
     low = F.col("q0") - F.lit(WHISKER) * (F.col("q2") - F.col("q0"))
     high = F.col("q2") + F.lit(WHISKER) * (F.col("q2") - F.col("q0"))
     inside = (F.col("v") >= low) & (F.col("v") <= high)

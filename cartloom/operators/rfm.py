@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartloom.functions import rules
 from cartloom.functions.numeric import ratio, whole_days
 from cartloom.functions.ordering import bucket_scores
+from cartloom.functions.scalars import with_row
 
 
 def rfm_metrics(orders: DataFrame, reference_date: str | None = None) -> DataFrame:
@@ -24,8 +25,7 @@ def rfm_metrics(orders: DataFrame, reference_date: str | None = None) -> DataFra
         .where(F.col("monetary") > 0)
     )
     if reference_date is None:
-        anchor = F.broadcast(orders.agg(F.max("order_date").alias("_reference")))
-        per = per.crossJoin(anchor)
+        per = per.transform(with_row, orders.agg(F.max("order_date").alias("_reference")))
     else:
         per = per.withColumn("_reference", F.lit(reference_date).cast("timestamp"))
     return per.select(

@@ -14,6 +14,7 @@ from pyspark.sql import Window
 
 from cartloom.functions.numeric import dbl, pct, ratio, right_closed_band, round_even, total, whole_days
 from cartloom.functions.ordering import exact_quantiles, running_total, value_frequencies
+from cartloom.functions.scalars import with_row
 
 # Weekday order, tier edges and labels.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -94,7 +95,7 @@ def financial_performance(lines: DataFrame) -> DataFrame:
         F.count(F.when(sale, F.lit(1))).alias("sale_lines"),
         total(F.when(sale, F.col("Quantity"))).alias("items_sold"),
     )
-    return sums.crossJoin(F.broadcast(median)).select(
+    return sums.transform(with_row, median).select(
         "gross_revenue",
         "returns_amount",
         (F.col("gross_revenue") - F.col("returns_amount")).alias("net_revenue"),
@@ -115,7 +116,7 @@ def sales_daily(sales: DataFrame) -> DataFrame:
         .agg(revenue().alias("revenue"), invoices().alias("invoices"), buyers().alias("customers"))
     )
     mean = days.agg(round_even(mean_money("revenue"), 2).alias("mean_daily_revenue"))
-    return days.crossJoin(F.broadcast(mean)).select(
+    return days.transform(with_row, mean).select(
         F.date_format("_day", "yyyy-MM-dd").alias("day"), "revenue", "invoices", "customers", "mean_daily_revenue"
     )
 
@@ -123,7 +124,7 @@ def sales_daily(sales: DataFrame) -> DataFrame:
 def sales_hourly(sales: DataFrame) -> DataFrame:
     hours = dated(sales).groupBy(F.hour(AT).alias("hour")).agg(revenue().alias("revenue"))
     best = hours.agg(F.max_by("hour", F.struct("revenue", -F.col("hour"))).alias("_peak"))
-    return hours.crossJoin(F.broadcast(best)).select(
+    return hours.transform(with_row, best).select(
         "hour", "revenue", (F.col("hour") == F.col("_peak")).alias("is_peak")
     )
 
@@ -322,7 +323,7 @@ def tier_distribution(customers: DataFrame) -> DataFrame:
     everyone = counts.agg(F.sum("customers").alias("_all"))
     return (
         counts.where(F.col("tier").isNotNull())
-        .crossJoin(F.broadcast(everyone))
+        .transform(with_row, everyone)
         .select("tier", "customers", pct("customers", "_all").alias("share_pct"))
     )
 
@@ -347,7 +348,7 @@ def customer_metrics_all(facts: DataFrame) -> DataFrame:
         )
     )
     last = facts.agg(F.max(AT).alias("_last"))
-    return per.crossJoin(F.broadcast(last)).withColumns(
+    return per.transform(with_row, last).withColumns(
         {
             "lifetime_days": whole_days("last_purchase", "first_purchase"),
             "recency_days": whole_days("_last", "last_purchase"),
@@ -376,7 +377,7 @@ def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
     ends = values.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     place = F.floor(F.try_divide((F.col("_v") - F.col("_lo")) * F.lit(float(bins)), F.col("_hi") - F.col("_lo")))
     return (
-        values.crossJoin(F.broadcast(ends))
+        values.transform(with_row, ends)
         .withColumn("bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int"))
         .groupBy("bin", "_lo", "_hi")
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -459,7 +460,7 @@ def top_countries_share(sales: DataFrame, n: int = 10) -> DataFrame:
     )
     return (
         by_revenue.unionByName(by_customers)
-        .crossJoin(F.broadcast(everything))
+        .transform(with_row, everything)
         .withColumn("revenue_pct", pct("total_revenue", "_all"))
         .drop("_all")
     )
@@ -502,7 +503,7 @@ def top_share(df: DataFrame, value: Column, top: float = 0.2) -> DataFrame:
     n = n.withColumn("top_rows", F.floor(F.col("rows").cast("double") * F.lit(float(top))).cast("bigint"))
     taken = F.least(F.col("copies"), F.greatest(F.lit(0), F.col("top_rows") - F.col("before")))
     return (
-        placed.crossJoin(F.broadcast(n))
+        placed.transform(with_row, n)
         .groupBy("rows", "top_rows", "grand_total")
         .agg(F.sum(F.col("value") * taken).cast("double").alias("top_total"), F.max("value").cast("double").alias("largest"))
         .withColumn("grand_total", dbl("grand_total"))
@@ -517,7 +518,7 @@ def pareto_customers(facts: DataFrame) -> DataFrame:
     )
     share = top_share(per, F.col("amount"))
     orders = per.agg(round_even(ratio(F.sum("orders"), F.count(F.lit(1))), 4).alias("mean_orders"))
-    return share.crossJoin(F.broadcast(orders)).select(
+    return share.transform(with_row, orders).select(
         F.col("rows").alias("customers"),
         F.col("top_rows").alias("top_customers"),
         pct("top_total", "grand_total").alias("top_20_share_pct"),
@@ -536,12 +537,12 @@ def pareto_products(lines: DataFrame) -> DataFrame:
     ten = top_rows(per, "revenue", ["StockCode"], 10).agg(
         F.sum(F.col("revenue").cast("decimal(28,2)")).cast("double").alias("_ten")
     )
-    sums = per.crossJoin(F.broadcast(cut)).agg(
+    sums = per.transform(with_row, cut).agg(
         F.sum(F.col("revenue").cast("decimal(28,2)")).cast("double").alias("_all"),
         F.max("revenue").alias("best_product_revenue"),
         F.count(F.when(F.col("revenue") > F.col("revenue_q0"), 1)).alias("products_above_p80"),
     )
-    return sums.crossJoin(F.broadcast(ten)).select(
+    return sums.transform(with_row, ten).select(
         pct("_ten", "_all").alias("top_10_share_pct"), "best_product_revenue", "products_above_p80"
     )
 
@@ -558,7 +559,7 @@ def kpi_growth(facts: DataFrame) -> DataFrame:
     sums = facts.agg(
         invoices().alias("_orders"), buyers().alias("_customers"), whole_days(F.max(AT), F.min(AT)).alias("_days")
     )
-    return growth.crossJoin(F.broadcast(sums)).select(
+    return growth.transform(with_row, sums).select(
         "mean_monthly_revenue",
         round_even(F.coalesce(F.col("_growth"), F.lit(0.0)) * 100, 4).alias("last_month_growth_pct"),
         round_even(ratio("_customers", F.col("_days") / F.lit(30.0)), 4).alias("customers_per_month"),

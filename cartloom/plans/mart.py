@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartloom.functions.scalars import with_row
 from cartloom.functions.staging import new_path, stage
 from cartloom.operators import campaigns, churn, cleaning, customers, modelling, rfm, sales
 from cartloom.session import pin_time_zone
@@ -155,7 +156,7 @@ class Mart:
             part = modelling.auc(fitted.score(fitted.test)).select(F.lit(name).alias("model"), "auc")
             out = part if out is None else out.unionByName(part)
         best = out.agg(F.max_by("model", F.struct("auc", "model")).alias("_best"))
-        marked = out.crossJoin(F.broadcast(best)).withColumn("is_best", F.col("model") == F.col("_best"))
+        marked = out.transform(with_row, best).withColumn("is_best", F.col("model") == F.col("_best"))
         return stage(marked.drop("_best"), "model-scores")
 
     @cached_property

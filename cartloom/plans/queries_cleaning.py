@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cartloom.functions.numeric import stamp_text
+from cartloom.functions.scalars import with_row
 from cartloom.operators import cleaning
 from cartloom.plans.catalog import query
 
@@ -57,7 +58,7 @@ def clean_detect_returns(m):
 )
 def clean_business_rules(m):
     notes = cleaning.business_rule_notes(cleaning.detect_returns(m.raw))
-    return _plain(cleaning.apply_business_rules(m.raw)).crossJoin(F.broadcast(notes))
+    return _plain(cleaning.apply_business_rules(m.raw)).transform(with_row, notes)
 
 
 @query(
@@ -139,7 +140,7 @@ def clean_outliers_nb(m):
     fences = cleaning.outlier_fences(m.cleaned).select(
         round_even("Price_fence", 4).alias("price_fence"), round_even("Quantity_fence", 4).alias("quantity_fence")
     )
-    return counts.crossJoin(F.broadcast(fences))
+    return counts.transform(with_row, fences)
 
 
 @query("clean_composite_nb", f"SELECT {_LOGIC} FROM cleaned")

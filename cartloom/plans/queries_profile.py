@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cartloom.functions.numeric import stamp_text
+from cartloom.functions.scalars import with_row
 from cartloom.operators import profile
 from cartloom.plans.catalog import query
 from cartloom.sources.fixtures import INVOICE_COLUMNS
@@ -29,7 +30,7 @@ WITH e AS (SELECT *, 'head' AS part FROM (SELECT * FROM raw ORDER BY "Invoice" N
 SELECT e.* REPLACE ("Price"::DOUBLE AS "Price"), (SELECT count(*) FROM raw) AS rows, 8 AS columns FROM e""",
 )
 def profile_shape(m):
-    return _price_as_number(profile.ends(m.raw).crossJoin(F.broadcast(profile.shape(m.raw))))
+    return _price_as_number(profile.ends(m.raw).transform(with_row, profile.shape(m.raw)))
 
 
 @query(

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Separators in order of preference, and how much of a file is sniffed.
+from cartloom.functions.scalars import with_row
+
+#: Separators in order of preference.
 SEPARATORS = [",", ";", "\t", "|"]
-SNIFF_BYTES = 10_000
 CORRUPT = "_corrupt_record"
 CSV_HEADER = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"]
 
@@ -53,20 +54,13 @@ def detect_separator(spark: SparkSession, path: str) -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """utf-8 when the head of every file is valid utf-8, else iso-8859-1.
+    """utf-8 when every line is valid utf-8, else iso-8859-1.
 
-    A cut in the middle of a character must not count against utf-8, so the
-    head also passes when dropping up to three trailing bytes makes it valid.
+    The lines keep their raw bytes, so the check runs where the files are
+    split; it stops at the first bad line.  Name the encoding to skip it.
     """
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    head = content.select(F.substring("content", 1, SNIFF_BYTES).alias("h"), F.length("content").alias("n"))
-    whole = F.is_valid_utf8(F.col("h").cast("string"))
-    cut = F.lit(False)
-    for k in (1, 2, 3):
-        cut = cut | F.is_valid_utf8(F.substring("h", 1, SNIFF_BYTES - k).cast("string"))
-    valid = whole | ((F.col("n") > SNIFF_BYTES) & cut)
-    bad = head.where(~valid).limit(1).count()
-    return "iso-8859-1" if bad else "utf-8"
+    lines = spark.read.text(path)
+    return "utf-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "iso-8859-1"
 
 
 def csv_scan(
@@ -119,7 +113,7 @@ def file_preview(spark: SparkSession, path: str, n: int = 5, **options) -> DataF
     info = file_catalog(spark, path).agg(
         F.round(F.sum("length") / F.lit(1024.0 * 1024.0), 2).alias("size_mb"), F.max("modificationTime").alias("modified")
     )
-    return csv_scan(spark, path, **options).limit(n).crossJoin(F.broadcast(info))
+    return csv_scan(spark, path, **options).limit(n).transform(with_row, info)
 
 
 def load_metrics(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None) -> DataFrame:
@@ -130,7 +124,7 @@ def load_metrics(spark: SparkSession, path: str, encoding: str | None = None, se
     rows = scanned.agg(F.count(F.lit(1)).alias("rows"))
     size = file_catalog(spark, path).agg((F.sum("length") / F.lit(1024.0 * 1024.0)).alias("file_size_mb"))
     planned = time.perf_counter() - began
-    return rows.crossJoin(F.broadcast(size)).select(
+    return rows.transform(with_row, size).select(
         "rows",
         F.lit(len(scanned.columns)).alias("columns"),
         "file_size_mb",

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 def write_clean(lines: DataFrame, path: str) -> None:
     """Cleaned lines by year and month, so later reads prune to the months they need.
 
-    Rows are gathered per month with a few files each: a month is hashed
-    together with a small salt, so a peak month is not one task's work.
+    Rows are gathered per month before the write; the rebalance hint lets
+    adaptive execution split a peak month over as many tasks as its size asks
+    for and merge the quiet ones.
     """
     parts = lines.withColumns({"year": F.year("InvoiceDate"), "month": F.month("InvoiceDate")})
-    salt = F.pmod(F.xxhash64("Invoice", "StockCode", "CustomerID"), F.lit(16))
-    parts.repartition("year", "month", salt).write.mode("overwrite").partitionBy("year", "month").parquet(path)
+    parts.hint("rebalance", "year", "month").write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +27,7 @@ def read_clean(spark: SparkSession, path: str) -> DataFrame:
 
 def write_segments(tagged: DataFrame, path: str) -> None:
     """Target lists as one table with a partition per target."""
-    tagged.write.mode("overwrite").partitionBy("target").parquet(path)
+    tagged.hint("rebalance", "target").write.mode("overwrite").partitionBy("target").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str, targets: list[str], like: DataFrame | None = None) -> DataFrame:
