@@ -4,8 +4,8 @@ A conversion shares its revenue among the customer's touches up to that
 moment.  Pairing every conversion with every touch would square a busy
 customer's rows, so each model is expressed through running values: how many
 touches (or how much decayed weight) each channel has had so far, and the
-latest touch so far.  The running values are built per (customer, day) and
-carried over the days, so one busy customer is spread over many tasks.
+latest touch so far.  The running values are built per (customer, hour)
+and carried over the hours, so one busy customer is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from cartloom.functions.numeric import MICROS_PER_DAY, ratio, round_even
 from cartloom.functions.scalars import with_row
 
 HALF_LIFE_DAYS = 7.0
+MAX_HALF_LIVES = 1000.0
 MODELS = ("last_touch", "first_touch", "linear", "time_decay")
-_DAY = "_day"
+_SLOT = "_slot"
 
 
 def _timeline(touches: DataFrame, conversions: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def _timeline(touches: DataFrame, conversions: DataFrame) -> DataFrame:
         "customer_id", "ts", F.lit(1).alias("_kind"), F.col("conversion_id").alias("_id"),
         F.lit(None).cast("string").alias("channel"), "revenue",
     )
-    return left.unionByName(right).withColumn(_DAY, F.to_date("ts"))
+    return left.unionByName(right).withColumn(_SLOT, F.date_trunc("hour", "ts"))
 
 
 def _running_values(timeline: DataFrame, values: dict[str, tuple[Column, str]]) -> DataFrame:
@@ -44,29 +45,29 @@ def _running_values(timeline: DataFrame, values: dict[str, tuple[Column, str]])
     """
     rows = timeline.withColumns({name: expression for name, (expression, _) in values.items()})
     functions = {"sum": F.sum, "max": F.max}
-    daily = rows.where(F.col("_kind") == 0).groupBy("customer_id", _DAY).agg(
+    # Conversions carry null values, so the slot totals are totals of touches.
+    slots = rows.groupBy("customer_id", _SLOT).agg(
         *[functions[how](name).alias(name) for name, (_, how) in values.items()]
     )
-    # One row per customer and day: a busy customer still has few rows here.
-    past = Window.partitionBy("customer_id").orderBy(_DAY).rowsBetween(Window.unboundedPreceding, -1)
-    days = timeline.select("customer_id", _DAY).distinct().join(daily, ["customer_id", _DAY], "left")
-    carried = days.select(
-        "customer_id", _DAY, *[functions[how](name).over(past).alias(f"_past_{name}") for name, (_, how) in values.items()]
+    # One row per customer and hour: a busy customer still has few rows here.
+    past = Window.partitionBy("customer_id").orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.select(
+        "customer_id", _SLOT, *[functions[how](name).over(past).alias(f"_past_{name}") for name, (_, how) in values.items()]
     )
-    today = Window.partitionBy("customer_id", _DAY).orderBy("ts", "_kind", "_id")
-    today = today.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = Window.partitionBy("customer_id", _SLOT).orderBy("ts", "_kind", "_id")
+    now = now.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = rows.select(
-        "customer_id", _DAY, "ts", "_kind", "_id", "revenue",
-        *[functions[how](name).over(today).alias(f"_today_{name}") for name, (_, how) in values.items()],
+        "customer_id", _SLOT, "ts", "_kind", "_id", "revenue",
+        *[functions[how](name).over(now).alias(f"_now_{name}") for name, (_, how) in values.items()],
     ).where(F.col("_kind") == 1)
 
     def merged(name: str, how: str) -> Column:
-        a, b = F.col(f"_past_{name}"), F.col(f"_today_{name}")
+        a, b = F.col(f"_past_{name}"), F.col(f"_now_{name}")
         if how == "max":
             return F.greatest(a, b)
         return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
-    return inside.join(carried, ["customer_id", _DAY]).select(
+    return inside.join(carried, ["customer_id", _SLOT]).select(
         "customer_id", F.col("_id").alias("conversion_id"), "ts", "revenue",
         *[merged(name, how).alias(name) for name, (_, how) in values.items()],
     )
@@ -106,13 +107,15 @@ def time_decay(
     """Weight halves with every half-life of age.
 
     The weights 2^(-age/h) of one conversion's touches stand to each other
-    as 2^(ts/h), so only the touch's own time matters; it is measured from
-    the customer's first touch to keep the powers small.
+    as 2^(ts/h), so only the touch's own time matters.  It is measured back
+    from the customer's last touch and ends at a thousand half-lives, where
+    the weight is still a positive double.
     """
-    first = touches.groupBy("customer_id").agg(F.min("ts").alias("_start"))
-    age = (F.unix_micros("ts") - F.unix_micros("_start")) / F.lit(float(MICROS_PER_DAY) * half_life_days)
-    timeline = _timeline(touches, conversions).join(first, "customer_id")
-    return _shares(timeline, channels or channels_of(touches), F.pow(F.lit(2.0), age))
+    last = touches.groupBy("customer_id").agg(F.max("ts").alias("_last"))
+    back = (F.unix_micros("ts") - F.unix_micros("_last")) / F.lit(float(MICROS_PER_DAY) * half_life_days)
+    weight = F.pow(F.lit(2.0), F.greatest(back, F.lit(-MAX_HALF_LIVES)))
+    timeline = _timeline(touches, conversions).join(last, "customer_id")
+    return _shares(timeline, channels or channels_of(touches), weight)
 
 
 def last_touch(touches: DataFrame, conversions: DataFrame) -> DataFrame:

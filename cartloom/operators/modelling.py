@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -57,18 +59,20 @@ def vector_table(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 # -- clustering -----------------------------------------------------------------------
-def best_kmeans(vectors: DataFrame, k: int = 5, restarts: int = 10, seed: int = SEED):
+def best_kmeans(vectors: DataFrame, k: int = 5, restarts: int = 10, seed: int = SEED, parallelism: int = 4):
     """The cheapest of several seeded runs over the same cached vectors."""
-    best = None
     vectors = vectors.cache()
+
+    def fit(i: int):
+        return KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(vectors)
+
     try:
-        for i in range(restarts):
-            model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(vectors)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
+        # The driver only starts the fits; a few at a time keep the cluster busy between iterations.
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts)))
     finally:
         vectors.unpersist()
-    return best
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def kmeans_clusters(features: DataFrame, key: str, columns: list[str], k: int = 5, restarts: int = 10, seed: int = SEED) -> DataFrame:
@@ -80,13 +84,18 @@ def kmeans_clusters(features: DataFrame, key: str, columns: list[str], k: int =
     return projected.select(key, "cluster", point[0].alias("pca_1"), point[1].alias("pca_2"))
 
 
-def kmeans_elbow(vectors: DataFrame, ks: range = range(2, 11), seed: int = SEED) -> DataFrame:
+def kmeans_elbow(vectors: DataFrame, ks: range = range(2, 11), seed: int = SEED, parallelism: int = 4) -> DataFrame:
     spark = vectors.sparkSession
     vectors = vectors.cache()
-    costs = []
-    for k in ks:
-        costs.append((k, float(KMeans(k=k, seed=seed, featuresCol="features").fit(vectors).summary.trainingCost)))
-    vectors.unpersist()
+
+    def cost(k: int) -> tuple[int, float]:
+        return k, float(KMeans(k=k, seed=seed, featuresCol="features").fit(vectors).summary.trainingCost)
+
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            costs = list(pool.map(inheritable_thread_target(spark)(cost), ks))
+    finally:
+        vectors.unpersist()
     return spark.createDataFrame(costs, "k int, inertia double")
 
 
