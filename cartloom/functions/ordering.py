@@ -49,12 +49,8 @@ def global_rank(df: DataFrame, keys: Sequence[Column], name: str = "rank") -> Da
     )
 
 
-def running_total(df: DataFrame, keys: Sequence[Column], weight: str, name: str = "before") -> DataFrame:
-    """Add the sum of ``weight`` over all rows that sort before this one.
-
-    Feed it grouped rows: each sort task then walks its own short run.
-    """
-    staged = _sorted_stage(df, keys, "running")
+def _accumulated(staged: DataFrame, weight: str, name: str) -> DataFrame:
+    """Sum of ``weight`` over all rows of a sorted stage that come before each row."""
     sizes = staged.groupBy(_PART).agg(F.sum(weight).alias("_size"))
     inside = Window.partitionBy(_PART).orderBy(_LOCAL).rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -65,6 +61,14 @@ def running_total(df: DataFrame, keys: Sequence[Column], weight: str, name: str
     )
 
 
+def running_total(df: DataFrame, keys: Sequence[Column], weight: str, name: str = "before") -> DataFrame:
+    """Add the sum of ``weight`` over all rows that sort before this one.
+
+    Feed it grouped rows: each sort task then walks its own short run.
+    """
+    return _accumulated(_sorted_stage(df, keys, "running"), weight, name)
+
+
 def value_frequencies(
     df: DataFrame, columns: dict[str, Column], by: Sequence[str] = (), value_type: str = "double"
 ) -> DataFrame:
@@ -93,16 +97,19 @@ def exact_quantiles(
     Columns are named ``<metric>_q<i>`` for the i-th probability.  ``by`` must
     be a label with a fixed, small set of values (segments, bands, clusters).
     """
-    counted = running_total(
-        value_frequencies(df, columns, by),
-        [F.col(c) for c in (*by, "metric", "value")],
-        "copies",
-        "before",
+    group = [*by, "metric"]
+    staged = _sorted_stage(
+        value_frequencies(df, columns, by), [F.col(c) for c in (*group, "value")], "quantiles"
     )
-    extents = counted.groupBy(*by, "metric").agg(
-        F.sum("copies").alias("_n"), F.min("before").alias("_start")
+    counted = _accumulated(staged, "copies", "before")
+    # One row per group and metric, so a plain window over them is bounded.
+    earlier = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
+    extents = (
+        staged.groupBy(*group)
+        .agg(F.sum("copies").alias("_n"))
+        .withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     )
-    placed = counted.join(F.broadcast(extents), [*by, "metric"]).withColumn(
+    placed = counted.join(F.broadcast(extents), group).withColumn(
         "_first", F.col("before") - F.col("_start")
     )
     picks, outs = [], [F.col(c) for c in by]
