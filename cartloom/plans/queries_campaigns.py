@@ -23,11 +23,10 @@ def _calendar(m):
 @query(
     "campaign_churn_enrich",
     """SELECT r.customer_id, rfm_segment, round_even(coalesce(churn_probability,0.1),4) AS churn_probability, coalesce(risk_category,'Low') AS risk_category
-FROM rfm_lib r LEFT JOIN (SELECT * FROM predictions WHERE churn_probability>=0.5) p USING (customer_id)""",
+FROM rfm_lib r LEFT JOIN predictions p USING (customer_id)""",
 )
 def campaign_churn_enrich(m):
-    # Only the riskier half is passed on, so the defaults of the rest show.
-    out = campaigns.with_churn_risk(m.rfm_lib, m.predictions.where(F.col("churn_probability") >= 0.5))
+    out = campaigns.with_churn_risk(m.rfm_lib, m.predictions)
     return out.select("customer_id", "rfm_segment", round_even("churn_probability", 4).alias("churn_probability"), "risk_category")
 
 

@@ -62,7 +62,12 @@ def profile_missing(m):
     return profile.missing_values(m.raw)
 
 
-@query("profile_dtypes")
+@query(
+    "profile_dtypes",
+    _per_column("""SELECT '{c}' AS column_name, count("{c}") AS filled, 'text' AS kind, 5 AS columns_of_kind FROM raw""", TEXT)
+    + " UNION ALL "
+    + _per_column("""SELECT '{c}' AS column_name, count("{c}") AS filled, 'number' AS kind, 3 AS columns_of_kind FROM raw""", NUMBERS),
+)
 def profile_dtypes(m):
     return profile.column_types(m.raw)
 

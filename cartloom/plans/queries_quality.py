@@ -65,7 +65,7 @@ def validate_numeric_text(m):
     return quality.numeric_text_columns(m.raw)
 
 
-@query("validate_date_like_names")
+@query("validate_date_like_names", """SELECT 'InvoiceDate' AS column_name, count(*) AS rows, count("InvoiceDate") AS filled FROM raw""")
 def validate_date_like_names(m):
     return quality.date_like_columns(m.raw)
 

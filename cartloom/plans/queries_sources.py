@@ -21,13 +21,13 @@ def csv_scan(m):
     return _plain(files.typed_invoice_lines(files.csv_scan(m.spark, m.csv_folder(";"))))
 
 
-@query("csv_detect_separator")
+@query("csv_detect_separator", "SELECT s AS written_with, s AS detected FROM (VALUES (','),(';'),(chr(9)),('|')) v(s)")
 def csv_detect_separator(m):
     rows = [(s, files.detect_separator(m.spark, m.csv_folder(s))) for s in files.SEPARATORS]
     return _labelled(m.spark, rows, "written_with string, detected string")
 
 
-@query("csv_detect_encoding")
+@query("csv_detect_encoding", "SELECT s AS written_with, s AS detected FROM (VALUES ('utf-8'),('iso-8859-1')) v(s)")
 def csv_detect_encoding(m):
     folders = {"utf-8": m.csv_folder(","), "iso-8859-1": m.latin_folder}
     rows = [(e, files.detect_encoding(m.spark, p)) for e, p in folders.items()]
@@ -49,7 +49,7 @@ def load_metrics(m):
     return files.load_metrics(m.spark, m.csv_folder("\t"))
 
 
-@query("scan_cache")
+@query("scan_cache", 'SELECT "Country", count(*) AS lines, true AS served_from_cache FROM raw GROUP BY 1')
 def scan_cache(m):
     """Lines per country from a cached scan, read twice and reloaded once."""
     cache = files.ScanCache(m.spark)
@@ -60,7 +60,11 @@ def scan_cache(m):
     return reloaded.groupBy("Country").agg(F.count(F.lit(1)).alias("lines")).withColumn("served_from_cache", same)
 
 
-@query("named_sources")
+@query(
+    "named_sources",
+    """SELECT 'main' AS source, count(*) AS rows FROM raw UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL SELECT 'products', count(*) FROM part
+UNION ALL SELECT 'orders', count(*) FROM orders""",
+)
 def named_sources(m):
     """Files of the raw folder read by their registered names."""
     registry = m.named_sources
@@ -71,23 +75,28 @@ def named_sources(m):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-_CLEAN = """SELECT coalesce(year("InvoiceDate"),-1) AS year, coalesce(month("InvoiceDate"),-1) AS month, count(*) AS lines, sum("Total_Amount")::DOUBLE AS amount FROM cleaned {w} GROUP BY 1,2"""
-
-
-def _by_month(df):
-    return df.groupBy(
-        F.coalesce(F.col("year"), F.lit(-1)).alias("year"), F.coalesce(F.col("month"), F.lit(-1)).alias("month")
-    ).agg(F.count(F.lit(1)).alias("lines"), F.sum("Total_Amount").cast("double").alias("amount"))
-
-
-@query("table_sink_clean", _CLEAN.replace("{w}", ""))
+@query(
+    "table_sink_clean",
+    """SELECT coalesce(year("InvoiceDate"),-1) AS year, coalesce(month("InvoiceDate"),-1) AS month, count(*) AS lines, sum("Total_Amount")::DOUBLE AS amount FROM cleaned GROUP BY 1,2""",
+)
 def table_sink_clean(m):
-    return _by_month(tables.read_clean(m.spark, m.clean_table))
-
-
-@query("table_scan_clean", _CLEAN.replace("{w}", 'WHERE year("InvoiceDate")=1998'))
+    """Lines and amount of every partition that was written."""
+    parts = [F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in ("year", "month")]
+    return (
+        tables.read_clean(m.spark, m.clean_table)
+        .groupBy(*parts)
+        .agg(F.count(F.lit(1)).alias("lines"), F.sum("Total_Amount").cast("double").alias("amount"))
+    )
+
+
+@query(
+    "table_scan_clean",
+    """SELECT "Invoice","StockCode","Description","Quantity",strftime("InvoiceDate",'%Y-%m-%d %H:%M:%S') AS "InvoiceDate","Price"::DOUBLE AS "Price","CustomerID","Country",
+ "Transaction_Type","Total_Amount"::DOUBLE AS "Total_Amount" FROM cleaned""",
+)
 def table_scan_clean(m):
-    return _by_month(tables.read_clean(m.spark, m.clean_table).where(F.col("year") == 1998))
+    wanted = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "CustomerID", "Country", "Transaction_Type", "Total_Amount"]
+    return _plain(tables.read_clean(m.spark, m.clean_table).select(*wanted))
 
 
 @query("segment_sink", "SELECT customer_id, recency, frequency, monetary, target FROM targets")
