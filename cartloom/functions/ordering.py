@@ -148,7 +148,7 @@ def bucket_scores(
         "_p.metric", "_p.value", "_key"
     )
     ranked = global_rank(narrow, [F.col("metric"), F.col("value"), F.col("_key")], "_rank")
-    place = F.col("_rank") - F.lit(1) - F.col("metric") * F.lit(rows)
+    place = F.col("_rank") - F.lit(1) - F.col("metric") * F.lit(rows).cast("bigint")
     picks = []
     for i in range(len(metrics)):
         for b, position in limits:

@@ -13,6 +13,7 @@ from cartloom.operators.sales import AT, buyers, dated, invoices, revenue
 
 FENCE = 1.5
 Z_LIMIT = 2.0
+FOREST_FEATURES = ["total_spent", "avg_transaction", "transactions", "products", "items_per_order"]
 
 
 def order_values(lines: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions.numeric import flag_count, ratio, round_even
-from cartloom.functions.ordering import exact_quantiles, expand_copies, running_total
+from cartloom.functions.ordering import exact_quantiles, expand_copies, global_rank
 from cartloom.functions.scalars import with_row
 
 RAW_DATE_FORMAT = "M/d/yyyy H:mm"
@@ -221,17 +221,16 @@ def guest_lines(lines: DataFrame) -> DataFrame:
     """Anonymous lines only, each with its own guest id.
 
     Guests are numbered from 0 in the order of all columns (nulls first).
-    Equal lines are counted first and numbered as a run, so a hot group of
-    copies is one row until it is spread out again.
+    Equal lines are counted first and spread out again with an ordinal, which
+    is the last sort key: a hot group of copies is split like any other range.
     """
     rest = [c for c in lines.columns if c != "CustomerID"]
     counted = (
         lines.where(F.col("CustomerID").isNull()).groupBy(*rest).agg(F.count(F.lit(1)).alias("_copies"))
     )
-    numbered = running_total(counted, [F.col(c).asc_nulls_first() for c in sorted(rest)], "_copies", "_start")
-    spread = expand_copies(numbered, "_copies", "_nth")
-    guest = F.format_string(GUEST_FORMAT, F.col("_start") + F.col("_nth"))
-    return spread.withColumn("CustomerID", guest).select(*lines.columns)
+    keys = [F.col(c).asc_nulls_first() for c in sorted(rest)]
+    numbered = global_rank(expand_copies(counted, "_copies", "_nth"), [*keys, F.col("_nth")], "_number")
+    return numbered.withColumn("CustomerID", F.format_string(GUEST_FORMAT, F.col("_number") - 1)).select(*lines.columns)
 
 
 def assign_guests(lines: DataFrame) -> DataFrame:

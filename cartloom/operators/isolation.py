@@ -125,7 +125,8 @@ def _scorer(forest: pd.DataFrame, bag_rows: int):
 
 def isolation_forest(rows: DataFrame, key: str, columns: list[str], contamination: float = CONTAMINATION, trees: int = TREES, bag_rows: int = BAG_ROWS, seed: int = SEED) -> DataFrame:
     """Add anomaly_score (negative is unusual) and anomaly (-1 unusual, 1 normal)."""
-    numbers = rows.withColumns({c: F.coalesce(dbl(c), F.lit(0.0)) for c in columns})
+    # Read three times (size, bags, scores), so written once.
+    numbers = stage(rows.withColumns({c: F.coalesce(dbl(c), F.lit(0.0)) for c in columns}), "isolation-input")
     forest = grow_forest(numbers, key, columns, trees, bag_rows, seed).toPandas()
     rate = F.pandas_udf(_scorer(forest, bag_rows), "double")
     scored = stage(numbers.withColumn("_raw", -rate(*[F.col(c) for c in columns])), "isolation")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.scalars import with_row
 from cartloom.functions.staging import new_path, stage
-from cartloom.operators import campaigns, churn, cleaning, customers, modelling, rfm, sales
+from cartloom.operators import anomalies, campaigns, churn, cleaning, customers, modelling, rfm, sales
+from cartloom.operators.isolation import isolation_forest
 from cartloom.session import pin_time_zone
 from cartloom.sources import files, fixtures, tables
 
@@ -61,6 +62,13 @@ class Mart:
     def sales_facts(self) -> DataFrame:
         return self.facts.where(F.col("Transaction_Type") == "SALE")
 
+    @cached_property
+    def customer_anomalies(self) -> DataFrame:
+        """Isolation-forest label and score of every customer."""
+        columns = anomalies.FOREST_FEATURES
+        features = anomalies.customer_anomaly_features(self.cleaned).fillna(0, subset=columns)
+        return isolation_forest(modelling.standardized(features, columns), "CustomerID", columns)
+
     # -- orders --------------------------------------------------------------
     @cached_property
     def orders(self) -> DataFrame:

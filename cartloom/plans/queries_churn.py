@@ -1,7 +1,5 @@
 """Churn queries."""
 
-from pyspark.sql import functions as F
-
 from cartloom.functions.numeric import round_even, stamp_text
 from cartloom.operators import churn
 from cartloom.plans.catalog import query

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from cartloom.functions import staging
 from cartloom.functions.numeric import round_even
 from cartloom.operators import churn, modelling
 from cartloom.plans.catalog import query

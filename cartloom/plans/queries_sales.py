@@ -4,14 +4,12 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.numeric import stamp_text
 from cartloom.operators import anomalies, sales
-from cartloom.operators.isolation import isolation_forest
 from cartloom.plans.catalog import query
 
 _REV = 'sum("Total_Amount")::DOUBLE'
 _INV = 'count(DISTINCT "Invoice")'
 _CUS = 'count(DISTINCT "CustomerID")'
 _MEAN = 'sum("Total_Amount")::DOUBLE/count("Total_Amount")'
-_ANOM_FEATURES = ["total_spent", "avg_transaction", "transactions", "products", "items_per_order"]
 
 
 @query(
@@ -327,16 +325,9 @@ def customer_anomaly_features(m):
     return anomalies.customer_anomaly_features(m.cleaned)
 
 
-def _forest(m):
-    from cartloom.operators.modelling import standardized
-
-    features = anomalies.customer_anomaly_features(m.cleaned).fillna(0, subset=_ANOM_FEATURES)
-    return isolation_forest(standardized(features, _ANOM_FEATURES), "CustomerID", _ANOM_FEATURES)
-
-
 @query("customer_anomalies_iforest")
 def customer_anomalies_iforest(m):
-    return _forest(m).select("CustomerID", "anomaly", "anomaly_score")
+    return m.customer_anomalies.select("CustomerID", "anomaly", "anomaly_score")
 
 
 @query(
@@ -351,7 +342,7 @@ def daily_anomalies_zscore(m):
 
 @query("anomaly_summary")
 def anomaly_summary(m):
-    return anomalies.anomaly_summary(m.cleaned, m.facts, _forest(m))
+    return anomalies.anomaly_summary(m.cleaned, m.facts, m.customer_anomalies)
 
 
 @query(
