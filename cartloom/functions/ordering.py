@@ -168,7 +168,7 @@ def bucket_scores(
 def task_count(df: DataFrame) -> int:
     """Tasks of a shuffle that must stay spread although its rows are few."""
     spark = df.sparkSession
-    wanted = spark.conf.get("spark.sql.shuffle.partitions", "")
+    wanted = spark.conf.get("spark.sql.shuffle.partitions") or ""
     return max(int(wanted) if wanted.isdigit() else 0, spark.sparkContext.defaultParallelism)
 
 
