@@ -215,7 +215,7 @@ _HIST = """SELECT '{c}' AS column_name, bin, round_even(lo+(hi-lo)*bin/50.0,4) A
     _HIST.replace("{c}", "Quantity").replace("{top}", "100") + " UNION ALL " + _HIST.replace("{c}", "Price").replace("{top}", "60000"),
 )
 def profile_histograms(m):
-    # The reference limits fit unit prices; the given prices are line totals, so the price limit is wider.
+    # The default limits fit unit prices; the given prices are line totals, so the price limit is wider.
     return profile.bounded_histogram(m.raw, "Quantity").unionByName(profile.bounded_histogram(m.raw, "Price", high=60000))
 
 
