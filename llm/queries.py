@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from llm.common import table
 from llm.decontamination import decontaminate
+from llm.embedding_join import epsilon_grid_join
 from llm.langid import predict_languages
 from llm.ngram_join import ngram_jaccard_join
 from llm.packing import best_fit_packing
 from llm.sanitisation import personal_data
 from llm.sharding import feistel_shards
+from llm.substring_dedup import substring_dedup
 
 #: The packing tokenizer, one of the public tokenizers of the installed package.
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +35,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -49,15 +55,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_grid_join(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
         op2_benchmark_decontamination,
+        op3_substring_dedup,
         op5_personal_data,
         op6_feistel_sharding,
         op7_best_fit_packing,
         op8_language_id,
+        op9_epsilon_grid_join,
     )
 }
 
