@@ -14,9 +14,10 @@ Method: a prefix-tree join over globally ordered n-gram sets.
    compression).  The sets below a node are compared with a few hubs of the
    node, tree order by tree order: neighbours in the order share a path, and
    the overlap along it is counted once; a subtree is left as soon as the
-   remaining lengths can't reach the needed overlap.  Linked sets are
+   remaining lengths can't reach the needed overlap.  A pair whose bit
+   signatures differ in more places than linked sets can is not compared.  Linked sets are
    joined into components, and only pairs in different components are looked
-   at again, with eight times as many hubs a round, until no node has two
+   at again, with 32 times as many hubs a round, until no node has two
    components with unseen pairs.  A node of m near copies costs m comparisons
    for each hub, not m squared.
 
@@ -38,8 +39,10 @@ from llm.common import connected_components, small_batches, stage, text_rows
 from llm.hashing import mix, shingle_set, word_hashes
 
 WIDTH = 5
-#: A fiftieth or so of a set must be shared among the leading grams before the set counts as a candidate.
-LEAD = 20
+#: One gram in so many, of all of a set, must be shared among its leading grams for the set to be a candidate.
+LEAD = 8
+#: Words of a set's signature.
+WORDS = 8
 #: Members compared with a hub in one task.
 BLOCK = 2000
 
@@ -53,10 +56,6 @@ def _needed(n: str) -> Column:
     return F.expr(f"({n} * 4 + 4) div 5")
 
 
-def _lead(n: str) -> Column:
-    return F.expr(f"greatest(1, ({n} + {LEAD - 1}) div {LEAD})")
-
-
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, two digests and leading grams of each text's set."""
     for part, texts in text_rows(batches):
@@ -141,31 +140,36 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """Sets that share enough leading grams with others."""
-    grams = classes.where("n > 0").select("x", "n", F.explode("lead").alias("gram"))
+    grams = classes.where("n > 0").select("x", F.explode("lead").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1").select("gram")
     least = F.expr(f"greatest(1, ((n * 4 + 4) div 5 + {LEAD - 1}) div {LEAD})")
-    return (
-        grams.join(shared, "gram").groupBy("x", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("x")
-    )
+    counted = grams.join(shared, "gram").groupBy("x").agg(F.count("*").alias("k"))
+    return counted.join(classes.select("x", "n"), "x").where(F.col("k") >= least).select("x")
 
 
 def _reduced(texts: DataFrame) -> DataFrame:
-    """(x, n, grams): the shared grams of each candidate, rarest first."""
+    """(x, n, grams, s0...): the shared grams of each candidate, rarest first, and a signature with a bit for each."""
     grams = stage(texts.mapInArrow(_grams, "x bigint, n bigint, gram bigint"), "grams")
     counts = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
     return (
         grams.join(counts, "gram")
         .groupBy("x", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("pairs"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("pairs"),
+            *(F.expr(f"bit_or(if((gram >> 6) & {WORDS - 1} = {i}, shiftleft(1L, cast(gram & 63 as int)), 0L))").alias(f"s{i}") for i in range(WORDS)),
+        )
         .where(F.size("pairs") >= _needed("n"))
-        .select("x", "n", F.col("pairs.gram").alias("grams"))
+        .select("x", "n", F.col("pairs.gram").alias("grams"), *_SIGNATURE)
     )
 
 
+_SIGNATURE = [f"s{i}" for i in range(WORDS)]
+
+
 def _nodes(sets: DataFrame) -> DataFrame:
-    """(node, x, n): the sets below each leading gram; grams with the same sets make one node."""
+    """(node, x, n, own, s0...): the sets below each leading gram; grams with the same sets make one node."""
     lead = F.expr("n - (n * 4 + 4) div 5 + 1 - (n - size(grams))")
-    below = sets.select("x", "n", F.explode(F.slice("grams", F.lit(1), F.least(lead, F.size("grams")).cast("int"))).alias("gram"))
+    below = sets.select("x", "n", (F.col("n") - F.size("grams")).alias("own"), *_SIGNATURE, F.explode(F.slice("grams", F.lit(1), F.least(lead, F.size("grams")).cast("int"))).alias("gram"))
     prints = (
         below.groupBy("gram")
         .agg(
@@ -181,6 +185,9 @@ def _nodes(sets: DataFrame) -> DataFrame:
     return below.join(prints, "gram").withColumnRenamed("gram", "node")
 
 
+_NODE = ["node", "x", "n", "own", *_SIGNATURE]
+
+
 def _pairs(nodes: DataFrame, component: DataFrame | None, round_: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (h, x) for this round, and the nodes with the hubs taken out.
 
@@ -191,7 +198,7 @@ def _pairs(nodes: DataFrame, component: DataFrame | None, round_: int) -> tuple[
         nodes = nodes.withColumn("c", F.col("x"))
     else:
         nodes = nodes.join(component.select(F.col("v").alias("x"), "component"), "x", "left").select(
-            "node", "x", "n", F.coalesce("component", "x").alias("c")
+            *_NODE, F.coalesce("component", "x").alias("c")
         )
     nodes = stage(nodes, "nodes")
     if component is None:
@@ -202,19 +209,24 @@ def _pairs(nodes: DataFrame, component: DataFrame | None, round_: int) -> tuple[
             F.max_by("c", F.struct("k", "c")).alias("largest"), (F.sum("k") - F.max("k")).alias("others"), F.count("*").alias("cs")
         )
         open_ = largest.where("cs > 1").select("node", "largest", "others")
-        # about 8 ** round_ hubs a node; all of them where there are fewer
+        # about 32 ** round_ hubs a node; all of them where there are fewer
         hubs = (
             nodes.join(open_, "node")
             .where("c <> largest")
-            .where(F.pmod(F.xxhash64("x", F.lit(round_)), F.expr(f"(others + {8**round_ - 1}) div {8**round_}")) == 0)
+            .where(F.pmod(F.xxhash64("x", F.lit(round_)), F.expr(f"(others + {32**round_ - 1}) div {32**round_}")) == 0)
             .select("node", "x")
         )
         nodes = nodes.join(open_.select("node"), "node", "left_semi")
     hubs = stage(hubs, "hubs")
-    heads = nodes.join(hubs, ["node", "x"], "left_semi").select("node", F.col("x").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"))
+    heads = nodes.join(hubs, ["node", "x"], "left_semi").select(
+        "node", F.col("x").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("own").alias("hown"), *(F.col(w).alias(f"h{w}") for w in _SIGNATURE)
+    )
     near = (F.col("n") * 5 >= F.col("hn") * 4) & (F.col("hn") * 5 >= F.col("n") * 4)
+    # grams in one set only: at most a ninth of both together; every bit that differs and every unshared gram is one
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"h{w}"))) for w in _SIGNATURE), F.col("own") + F.col("hown"))
+    near = near & (differ * 9 <= F.col("n") + F.col("hn"))
     pairs = nodes.join(heads, "node").where(near & (F.col("c") != F.col("hc"))).select("h", "x")
-    left = nodes.join(hubs, ["node", "x"], "left_anti").select("node", "x", "n")
+    left = nodes.join(hubs, ["node", "x"], "left_anti").select(_NODE)
     # two hubs may meet as (a, b) and (b, a)
     return pairs.distinct(), left
 
@@ -228,7 +240,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     rows = (
         heads.join(sets, heads["h"] == sets["x"])
         .select("h", "salt", F.lit(0).alias("member"), "x", "n", "grams")
-        .unionByName(members.join(sets, "x").select("h", "salt", F.lit(1).alias("member"), "x", "n", "grams"))
+        .unionByName(members.join(sets.drop(*_SIGNATURE), "x").select("h", "salt", F.lit(1).alias("member"), "x", "n", "grams"))
     )
     ordered = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "member", "grams")
     return ordered.mapInArrow(_walk, "a bigint, b bigint")

@@ -16,15 +16,16 @@ is run on short strings of bounded length, cut around repeated anchors:
 
 1. Each window of LENGTH bytes names the grams of ``GRAM`` bytes with the
    smallest hash in it; equal windows name equal grams.  The 48-bit hashes
-   of named grams, about 7 in 100 bytes, are gathered by hash; those of one
+   of named grams, about 6 in 100 bytes, are gathered by hash; those of one
    document only are dropped.  Other windows can't repeat.
 2. Around each remaining anchor lies a segment that holds all windows with
    it, cut at the ends of the document.  Equal segments are aggregated to
-   their smallest and largest id before they move.
+   their smallest and largest id before they move.  An anchor in more than ``HOT``
+   documents has its windows cut out one by one, each a segment by itself that
+   goes by its content, so that a line which a third of all documents hold
+   is no group in one task.
 3. The segments of an anchor meet in one task, which runs the rounds above over
-   blocks of segments.  Anchors in more than ``HOT`` documents go another
-   way: their windows are aggregated by content, so that a line which a
-   third of all documents hold is no group in one task.
+   blocks of segments.
 4. Each segment finds out from which windows a smaller id is known; the bytes
    of those windows are removed.
 
@@ -45,13 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import is_small, small_batches, stage, text_rows
-from llm.hashing import mix, running
+from llm.hashing import mix, running, slice_hashes
 
 LENGTH = 50
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
-GRAM = 25
-#: Documents with an anchor from which its windows are aggregated instead of gathered.
+GRAM = 20
+#: Documents with an anchor from which its windows go by their content.
 HOT = 20_000
 #: Segments in one construction, up to the end of the last anchor's.
 BLOCK = 60_000
@@ -161,7 +162,7 @@ _GATHERED = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa
 
 
 def _shared(hot: int):
-    """Per document the hashes that other documents have too; hashes of very many documents in rows of their own."""
+    """Per document the hashes that other documents have too, and which of them very many have."""
 
     def run(key, table):
         ids, keys, hashes = [], [], []
@@ -178,19 +179,16 @@ def _shared(hot: int):
         many = np.repeat(counts, counts)
         own = order[many > 1]
         by = own[np.lexsort((keys[own], ids[own]))]
-        out = {"id": [], "rk": [], "hashes": [], "hot": []}
+        out = {"id": [], "rk": [], "hashes": [], "common": []}
         if len(by):
             start = np.flatnonzero(np.append(True, (ids[by][1:] != ids[by][:-1]) | (keys[by][1:] != keys[by][:-1])))
+            very = np.isin(hashes, ordered[first[counts > hot]])
             for a, b in zip(start, np.append(start[1:], len(by))):
-                out["id"].append(int(ids[by[a]]))
-                out["rk"].append(int(keys[by[a]]))
-                out["hashes"].append(_packed(hashes[by[a:b]]))
-                out["hot"].append(None)
-        for h in ordered[first[counts > hot]]:
-            for name, value in (("id", None), ("rk", None), ("hashes", None), ("hot", int(h))):
-                out[name].append(value)
-        types = {"id": pa.int64(), "rk": pa.int64(), "hashes": pa.binary(), "hot": pa.int64()}
-        return pa.table({n: pa.array(v, types[n]) for n, v in out.items()})
+                at = by[a:b]
+                for name, value in zip(out, (int(ids[at[0]]), int(keys[at[0]]), _packed(hashes[at]), _packed(hashes[at[very[at]]]))):
+                    out[name].append(value)
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types)})
 
     return run
 
@@ -223,17 +221,37 @@ def _around(batches: Iterator[pa.RecordBatch], size: int):
     window = np.arange(_SEGMENT)
     for part, texts in text_rows(batches, size):
         rows, hs, at, segs = [], [], [], []
-        for i, ((pos, hashes), blobs) in enumerate(zip(anchors(texts), part.column("shared").to_pylist())):
-            keep = np.isin(hashes, np.concatenate([_unpacked(b) for b in blobs]))
+        shared, common = (part.column(c).to_pylist() for c in ("shared", "common"))
+        for i, (pos, hashes) in enumerate(anchors(texts)):
+            keep = np.isin(hashes, _unpacked(b"".join(shared[i])))
             pos, hashes = pos[keep], hashes[keep]
             codes = np.frombuffer(pad + texts[i] + pad, np.uint8)
-            rows.append(np.full(len(pos), i))
-            hs.append(hashes)
-            at.append(pos - _REACH)
-            segs.append(codes[pos[:, None] + window])
+            own = codes[pos[:, None] + window]
+            very = np.isin(hashes, _unpacked(b"".join(common[i])))
+            for h, p, seg in ((hashes[~very], pos[~very], own[~very]), _single_windows(hashes[very], pos[very], own[very])):
+                rows.append(np.full(len(p), i))
+                hs.append(h)
+                at.append(p - _REACH)
+                segs.append(seg)
         yield part, np.concatenate(rows), np.concatenate(hs).astype(np.int64), np.concatenate(at).astype(np.int64), np.concatenate(segs)
 
 
+def _single_windows(hashes: np.ndarray, pos: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window of the segments as a segment with nothing else in it, and a hash of its content in the anchor's place."""
+    hs, at, out = [hashes[:0]], [pos[:0]], [segments[:0]]
+    if len(pos):
+        for j in range(_REACH + 1):
+            windows = segments[:, j : j + LENGTH]
+            inside = (windows != 0xFF).all(axis=1)
+            alone = np.full((int(inside.sum()), _SEGMENT), 0xFF, np.uint8)
+            alone[:, j : j + LENGTH] = windows[inside]
+            begin = np.arange(len(alone)) * LENGTH
+            hs.append(slice_hashes(windows[inside].ravel(), begin, begin + LENGTH) & _BITS)
+            at.append(pos[inside])
+            out.append(alone)
+    return np.concatenate(hs), np.concatenate(at), np.concatenate(out)
+
+
 def _range_minimum(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The least of values[left..right], by a table of spans of powers of two."""
     width = right - left + 1
@@ -331,17 +349,6 @@ def _construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solved(held).to_batches()
 
 
-def _common_windows(classes: DataFrame) -> DataFrame:
-    """(h, sid, runs) of the segments of very common anchors: windows are aggregated by content."""
-    starts = F.explode(F.sequence(F.lit(0), F.lit(_REACH))).alias("j")
-    each = classes.select("h", "sid", "seg", "low", "high", starts).withColumn("w", F.expr(f"substring(seg, j + 1, {LENGTH})")).drop("seg")
-    each = each.where(~F.contains(F.col("w"), F.lit(b"\xff")))
-    least = each.groupBy("h", "j", "w").agg(F.min("low").alias("least"))
-    known = each.join(least, ["h", "j", "w"]).where("least < high")
-    run = F.array(F.col("j").cast("bigint"), F.col("j").cast("bigint"), F.col("least"))
-    return known.groupBy("h", "sid").agg(F.flatten(F.collect_list(run)).alias("runs"))
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text without its covered intervals."""
     for part, texts in text_rows(batches):
@@ -392,21 +399,13 @@ def covered_bytes(rows: DataFrame, hot: int = HOT) -> DataFrame:
     gathered = long.join(dropped, key, "left_anti").mapInArrow(
         _gathered(buckets), "bucket int, ids array<bigint>, keys array<bigint>, counts array<int>, hashes binary"
     )
-    shared = stage(gathered.groupBy("bucket").applyInArrow(_shared(hot), "id bigint, rk bigint, hashes binary, hot bigint"), "shared")
-    common = shared.where("hot is not null").select(F.col("hot").alias("h"))
-    own = shared.where("hot is null").groupBy(key).agg(F.collect_list("hashes").alias("shared"))
+    shared = stage(gathered.groupBy("bucket").applyInArrow(_shared(hot), "id bigint, rk bigint, hashes binary, common binary"), "shared")
+    own = shared.groupBy(key).agg(F.collect_list("hashes").alias("shared"), F.collect_list("common").alias("common"))
     # one exchange of the texts serves this join twice and the last one of all
     texts = rows.join(own, key)
     segments = texts.mapInArrow(_distinct_segments, "h bigint, seg binary, low bigint, high bigint").withColumn("sid", F.xxhash64("seg"))
     classes = segments.repartition("h").groupBy("h", "sid", "seg").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    runs = "h bigint, sid bigint, runs array<bigint>"
-    if common.isEmpty():
-        known = classes.sortWithinPartitions("h").mapInArrow(_construct, runs)
-    else:
-        common = F.broadcast(common) if is_small(common) else common
-        spread = segments.join(common, "h", "left_semi").groupBy("h", "sid", "seg").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        rare = segments.join(common, "h", "left_anti").repartition("h").groupBy("h", "sid", "seg").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        known = rare.sortWithinPartitions("h").mapInArrow(_construct, runs).unionByName(_common_windows(spread))
+    known = classes.sortWithinPartitions("h").mapInArrow(_construct, "h bigint, sid bigint, runs array<bigint>")
     found = texts.mapInArrow(_segments, "id bigint, rk bigint, h bigint, pos bigint, seg binary").withColumn("sid", F.xxhash64("seg")).drop("seg")
     at = F.sequence(F.lit(0), F.size("runs") - 1, F.lit(3))
     lost = F.filter(at, lambda i: F.get("runs", i + 2) < F.col("id"))
