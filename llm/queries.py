@@ -7,18 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import table
+from llm.chat_formatting import linked_conversations
+from llm.common import stage, table
 from llm.decontamination import decontaminate
 from llm.embedding_join import epsilon_grid_join
 from llm.langid import predict_languages
 from llm.ngram_join import ngram_jaccard_join
 from llm.packing import best_fit_packing
-from llm.sanitisation import personal_data
+from llm.sanitisation import REPLACED, base_spans, personal_data, text_rows_of
 from llm.sharding import feistel_shards
 from llm.substring_dedup import substring_dedup
+from llm.token_counts import edited_token_counts
 
-#: The packing tokenizer, one of the public tokenizers of the installed package.
+#: Files of the installed package of public tokenizers.
 PACKING_TOKENIZER = "word_bpe_49k.json"
+COUNTING_TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +42,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after their personal data is replaced."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    spans = base_spans(text_rows_of(docs))
+    put = F.coalesce(*(F.when(F.col("kind") == kind, F.lit(tag)) for kind, tag in REPLACED.items()))
+    edits = stage(spans.select("doc_id", "key", "start", "end", put.alias("put")), "edits")
+    return edited_token_counts(docs, edits, tokenizer_path(COUNTING_TOKENIZER), public_tokenizers.PATTERN)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -59,17 +73,23 @@ def op9_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsilon_grid_join(table(spark, sf_dir, "embeddings"))
 
 
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
         op2_benchmark_decontamination,
         op3_substring_dedup,
+        op4_token_counts,
         op5_personal_data,
         op6_feistel_sharding,
         op7_best_fit_packing,
         op8_language_id,
         op9_epsilon_grid_join,
+        op10_quotation_linking,
     )
 }
 

@@ -45,7 +45,8 @@ _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[1-9])?"
 _WORD = r"\p{L}++"
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def text_rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, t): the key is xxhash64 of the text, which is empty where it was null."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("t"))
 
@@ -169,7 +170,7 @@ _SAME = F.col("key") == F.col("o_key")
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
-    rows = _rows(docs)
+    rows = text_rows_of(docs)
     listed = _listed(all_spans(rows))
     joined = rows.select("doc_id", "key").join(listed, (F.col("key") == F.col("o_key")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
 
@@ -190,7 +191,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by their kind, and disclosing terms removed or generalised, in ``text``."""
-    rows = _rows(docs)
+    rows = text_rows_of(docs)
     spans = all_spans(rows)
     # spans that overlap are replaced one after the other, each from where the one before ended
     by = Window.partitionBy("doc_id", "key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
