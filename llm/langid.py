@@ -173,7 +173,7 @@ def _sampled_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for part, texts in text_rows(batches):
         for lang, text in zip(part.column("lang").to_pylist(), texts):
             codes, counts = np.unique(grams([text])[0], return_counts=True)
-            yield pa.record_batch({"lang": [lang] * len(codes), "code": codes.astype(np.int64), "n": counts.astype(np.int64)})
+            yield pa.record_batch({"lang": pa.array([lang] * len(codes), pa.string()), "code": codes.astype(np.int64), "n": counts.astype(np.int64)})
 
 
 def remainder(doc_id: str = "doc_id") -> Column:

@@ -165,9 +165,6 @@ def _listed(spans: DataFrame) -> DataFrame:
     return listed.select(F.col("doc_id").alias("o_id"), F.col("key").alias("o_key"), "spans")
 
 
-_SAME = F.col("key") == F.col("o_key")
-
-
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     rows = text_rows_of(docs)
