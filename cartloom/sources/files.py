@@ -64,13 +64,23 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def csv_scan(
-    spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, keep_corrupt: bool = False
+    spark: SparkSession,
+    path: str,
+    encoding: str | None = None,
+    separator: str | None = None,
+    keep_corrupt: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """All columns as text, exactly as written; short or long lines are kept."""
+    """All columns as text, exactly as written; short or long lines are kept.
+
+    A doubled quote inside quotes is a quote.  ``multi_line`` allows line
+    breaks inside quotes; a file is then read by one task.
+    """
     try:
         encoding = encoding or detect_encoding(spark, path)
         separator = separator or detect_separator(spark, path)
         reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding)
+        reader = reader.option("escape", '"').option("multiLine", multi_line)
         names = reader.csv(path).columns
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
@@ -87,7 +97,7 @@ def typed_invoice_lines(raw: DataFrame) -> DataFrame:
     """Cast scanned text to the invoice-line types; what does not fit becomes null."""
     casts: dict[str, Column] = {
         "Quantity": F.col("Quantity").try_cast("int"),
-        "Price": F.col("Price").try_cast("decimal(18,2)"),
+        "Price": F.col("Price").try_cast("decimal(18,4)"),
         "CustomerID": F.col("Customer ID").try_cast("double").try_cast("bigint"),
     }
     names = ["CustomerID" if c == "Customer ID" else c for c in CSV_HEADER]
@@ -96,7 +106,8 @@ def typed_invoice_lines(raw: DataFrame) -> DataFrame:
 
 def write_csv(lines: DataFrame, path: str, separator: str = ",", encoding: str = "utf-8") -> None:
     named = lines.withColumnRenamed("CustomerID", "Customer ID")
-    named.write.option("header", True).option("sep", separator).option("encoding", encoding).csv(path)
+    writer = named.write.option("header", True).option("sep", separator).option("encoding", encoding).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def file_catalog(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:

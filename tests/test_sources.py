@@ -1,6 +1,7 @@
 """CSV scanning, tables, models on disk, and the incremental form of cleaning."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cartloom.operators import cleaning
 from cartloom.sources import files, tables
@@ -23,6 +24,7 @@ def test_missing_file_raises(spark, tmp_path):
 @pytest.mark.parametrize("separator", files.SEPARATORS)
 def test_round_trip_of_each_separator(spark, tmp_path, lines, separator):
     df = lines([{"CustomerID": None}, {"Description": "a;b|c", "Price": 3.25}])
+    df = df.withColumn("Price", F.col("Price").cast("decimal(18,4)"))
     path = str(tmp_path / "out.csv")
     files.write_csv(df, path, separator)
     assert files.detect_separator(spark, path) == separator
@@ -67,3 +69,20 @@ def test_stream_equals_batch(spark, tmp_path, mart):
     batch = cleaning.clean_dataset_lib(mart.raw).select(*streamed.columns)
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_csv_quotes_and_small_prices(spark, tmp_path):
+    from cartloom.sources.files import csv_scan, typed_invoice_lines, write_csv
+
+    header = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+    body = '1,A,"BOX 12"" RED, LARGE",3,12/1/2010 8:26,0.001,17.0,France\n2,B,"say ""hi""",1,12/1/2010 8:26,2.5,,Spain\n'
+    (tmp_path / "plain.csv").write_bytes((header + body).encode())
+    rows = typed_invoice_lines(csv_scan(spark, str(tmp_path / "plain.csv"))).orderBy("Invoice").collect()
+    assert [(r["Description"], r["Quantity"], float(r["Price"]), r["CustomerID"]) for r in rows] == [
+        ('BOX 12" RED, LARGE', 3, 0.001, 17), ('say "hi"', 1, 2.5, None)
+    ]
+    (tmp_path / "broken.csv").write_bytes((header + '1,A,"two\nlines",3,12/1/2010 8:26,1,17,France\n').encode())
+    assert csv_scan(spark, str(tmp_path / "broken.csv"), multi_line=True).first()["Description"] == "two\nlines"
+    kept = csv_scan(spark, str(tmp_path / "plain.csv")).withColumn("Description", F.lit('  a "b", c '))
+    write_csv(kept, str(tmp_path / "again"))
+    assert {r["Description"] for r in csv_scan(spark, str(tmp_path / "again")).collect()} == {'  a "b", c '}
