@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from cartloom.functions.scalars import with_row
@@ -139,9 +140,12 @@ def bucket_scores(
     limits in place, without moving the customer table.
     """
     rows = df.count()
+    # exact numbers are compared as such, any others as doubles
+    kinds = [df.select(c).schema[0].dataType for c in metrics.values()]
+    kind = "double" if any(isinstance(k, (T.DoubleType, T.FloatType)) for k in kinds) else "decimal(38,4)"
     limits = sorted({(b, b * (rows - 1) // buckets) for b in range(1, buckets)})
     pairs = [
-        F.struct(F.lit(i).alias("metric"), F.col(c).cast("decimal(38,4)").alias("value"))
+        F.struct(F.lit(i).alias("metric"), F.col(c).cast(kind).alias("value"))
         for i, c in enumerate(metrics.values())
     ]
     narrow = df.select(F.explode(F.array(*pairs)).alias("_p"), F.col(key).alias("_key")).select(
@@ -157,7 +161,7 @@ def bucket_scores(
     wanted = ranked.where(place.isin([p for _, p in limits] or [0]))
     out = df.transform(with_row, wanted.agg(*picks))
     for i, (name, column) in enumerate(metrics.items()):
-        mine = F.struct(F.col(column).cast("decimal(38,4)").alias("value"), F.col(key).alias("_key"))
+        mine = F.struct(F.col(column).cast(kind).alias("value"), F.col(key).alias("_key"))
         score = F.lit(1)
         for b, _ in limits:
             score = score + F.when(mine > F.col(f"_limit_{i}_{b}"), 1).otherwise(0)

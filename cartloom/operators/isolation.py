@@ -103,7 +103,8 @@ def _scorer(forest: pd.DataFrame, bag_rows: int):
         part = part.sort_values("node")
         leaf = part["depth"].to_numpy() + mean_path(part["rows"].to_numpy())
         trees.append(tuple(part[c].to_numpy() for c in ("feature", "cut", "low", "high")) + (leaf,))
-    scale = float(mean_path(bag_rows))
+    # bags of a small input hold fewer rows than they may
+    scale = float(mean_path(min(bag_rows, int(forest.loc[forest["depth"] == 0, "rows"].max()))))
 
     def score(*columns: pd.Series) -> pd.Series:
         data = np.column_stack([c.to_numpy(dtype=float) for c in columns])

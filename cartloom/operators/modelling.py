@@ -59,12 +59,16 @@ def vector_table(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 # -- clustering -----------------------------------------------------------------------
+#: Lloyd steps at most.
+STEPS = 300
+
+
 def best_kmeans(vectors: DataFrame, k: int = 5, restarts: int = 10, seed: int = SEED, parallelism: int = 4):
     """The cheapest of several seeded runs over the same cached vectors."""
     vectors = vectors.cache()
 
     def fit(i: int):
-        return KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(vectors)
+        return KMeans(k=k, seed=seed + i, maxIter=STEPS, featuresCol="features", predictionCol="cluster").fit(vectors)
 
     try:
         # The driver only starts the fits; a few at a time keep the cluster busy between iterations.
@@ -84,18 +88,24 @@ def kmeans_clusters(features: DataFrame, key: str, columns: list[str], k: int =
     return projected.select(key, "cluster", point[0].alias("pca_1"), point[1].alias("pca_2"))
 
 
-def kmeans_elbow(vectors: DataFrame, ks: range = range(2, 11), seed: int = SEED, parallelism: int = 4) -> DataFrame:
+def kmeans_elbow(
+    vectors: DataFrame, ks: range = range(2, 11), restarts: int = 10, seed: int = SEED, parallelism: int = 4
+) -> DataFrame:
+    """Inertia of the cheapest of several runs for each number of clusters."""
     spark = vectors.sparkSession
     vectors = vectors.cache()
 
-    def cost(k: int) -> tuple[int, float]:
-        return k, float(KMeans(k=k, seed=seed, featuresCol="features").fit(vectors).summary.trainingCost)
+    def cost(run: tuple[int, int]) -> tuple[int, float]:
+        k, i = run
+        return k, float(KMeans(k=k, seed=seed + i, maxIter=STEPS, featuresCol="features").fit(vectors).summary.trainingCost)
 
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            costs = list(pool.map(inheritable_thread_target(spark)(cost), ks))
+            runs = [(k, i) for k in ks for i in range(restarts)]
+            tried = list(pool.map(inheritable_thread_target(spark)(cost), runs))
     finally:
         vectors.unpersist()
+    costs = [(k, min(c for own, c in tried if own == k)) for k in ks]
     return spark.createDataFrame(costs, "k int, inertia double")
 
 
@@ -164,7 +174,13 @@ def with_class_weights(labelled: DataFrame, label: str) -> DataFrame:
     return labelled.join(F.broadcast(weights), label)
 
 
-def classifier(name: str, rows: int, variant: str = "lib", rounds: int = 100, trees: int = 100) -> Estimator:
+#: The deepest tree the engine grows; the library variant has no limit of its own.
+DEEPEST = 30
+
+
+def classifier(
+    name: str, rows: int, variant: str = "lib", rounds: int = 100, trees: int = 100, depth: int | None = None
+) -> Estimator:
     """The three churn models with their settings in either variant."""
     common = {"labelCol": "label", "featuresCol": "features"}
     if name == "logistic":
@@ -173,7 +189,7 @@ def classifier(name: str, rows: int, variant: str = "lib", rounds: int = 100, tr
             weightCol="weight", regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, maxIter=100, **common
         )
     if name == "random_forest":
-        depth = 10 if variant == "nb" else 15
+        depth = depth or (10 if variant == "nb" else DEEPEST)
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, weightCol="weight", **common)
     if name == "gradient_boosting":
         return GBTClassifier(
@@ -183,11 +199,11 @@ def classifier(name: str, rows: int, variant: str = "lib", rounds: int = 100, tr
 
 
 def prepared(labelled: DataFrame, features: list[str], label: str = "is_churned") -> DataFrame:
-    """Finite features, a double label and balanced weights."""
+    """Finite features and a double label."""
     clean = {
         c: F.when(dbl(c).isNull() | F.isnan(dbl(c)) | (F.abs(dbl(c)) == float("inf")), 0.0).otherwise(dbl(c)) for c in features
     }
-    return with_class_weights(labelled.withColumns(clean).withColumn("label", dbl(label)), "label")
+    return labelled.withColumns(clean).withColumn("label", dbl(label))
 
 
 def pipeline_for(name: str, features: list[str], rows: int, variant: str = "lib", **options) -> Pipeline:
@@ -224,7 +240,8 @@ class TrainedModel:
 
 def train(labelled: DataFrame, name: str, features: list[str], key: str = "customer_id", label: str = "is_churned", variant: str = "lib", **options) -> TrainedModel:
     split = stage(stratified_split(prepared(labelled, features, label), key), "split")
-    fit_rows, test = split.where("is_train"), split.where("NOT is_train")
+    # the test rows have no say in the weights
+    fit_rows, test = with_class_weights(split.where("is_train"), "label"), split.where("NOT is_train")
     rows = fit_rows.count()
     began = time.perf_counter()
     model = pipeline_for(name, features, rows, variant, **options).fit(fit_rows)
@@ -259,7 +276,8 @@ def train_record(trained: TrainedModel) -> DataFrame:
 
 def cross_validation(labelled: DataFrame, name: str, features: list[str], folds: int = 5, key: str = "customer_id", label: str = "is_churned", variant: str = "lib", parallelism: int = 2, **options) -> DataFrame:
     """Mean and spread of the fold AUC; folds come from the id hash."""
-    data = prepared(labelled, features, label).withColumn("fold", split_bucket(key, "fold") % folds)
+    weighed = with_class_weights(prepared(labelled, features, label), "label")
+    data = weighed.withColumn("fold", split_bucket(key, "fold") % folds)
     data = stage(data.select("fold", "label", "weight", *features), "folds")
     search = CrossValidator(
         estimator=pipeline_for(name, features, data.count(), variant, **options),
