@@ -64,22 +64,23 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     Alternating large and small stars: every round is two grouped minima and
     two joins, of as many rows as edges at most, and is written to the shared
     folder.  The number of rounds follows the logarithm of the longest path.
+    It ends when every vertex has one edge to a smaller one and the large star
+    moves none of them: then all of them lead to a smallest vertex.
     """
-    found = stage(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label
-    )
+    found = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), label)
+    rows = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")]
     before = None
     while True:
-        print_of = found.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if print_of == before or not print_of["n"]:
-            break
-        before = print_of
-        both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = found.select("u", "v").unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage(large, label)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        found = stage(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), label)
+        large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), label)
+        after = large.agg(*rows, F.lit(False).alias("moved")).first()
+        if not after["n"] or after == before:
+            break
+        least = large.groupBy("u").agg(F.min("v").alias("v"))
+        moved = large.join(least.withColumnRenamed("v", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both = least.withColumn("moved", F.lit(False)).unionByName(moved.withColumn("moved", F.lit(True)))
+        found = stage(both.groupBy("u", "v").agg(F.max("moved").alias("moved")), label)
+        before = found.agg(*rows, F.coalesce(F.max("moved"), F.lit(False)).alias("moved")).first()
     roots = found.select(F.col("v").alias("u"), "v").distinct()
-    return found.unionByName(roots).select(F.col("u").alias("v"), F.col("v").alias("component")).distinct()
+    return found.select("u", "v").unionByName(roots).select(F.col("u").alias("v"), F.col("v").alias("component"))

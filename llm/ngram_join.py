@@ -139,12 +139,11 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Sets that share enough leading grams with others."""
-    grams = classes.where("n > 0").select("x", F.explode("lead").alias("gram"))
+    """The sets (x) that share enough leading grams with others."""
+    grams = classes.select("x", "n", F.explode("lead").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1").select("gram")
     least = F.expr(f"greatest(1, ((n * 4 + 4) div 5 + {LEAD - 1}) div {LEAD})")
-    counted = grams.join(shared, "gram").groupBy("x").agg(F.count("*").alias("k"))
-    return counted.join(classes.select("x", "n"), "x").where(F.col("k") >= least).select("x")
+    return grams.join(shared, "gram").groupBy("x", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("x")
 
 
 def _reduced(texts: DataFrame) -> DataFrame:
@@ -188,36 +187,31 @@ def _nodes(sets: DataFrame) -> DataFrame:
 _NODE = ["node", "x", "n", "own", *_SIGNATURE]
 
 
-def _pairs(nodes: DataFrame, component: DataFrame | None, round_: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (h, x) for this round, and the nodes with the hubs taken out.
+def _hubs(nodes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
+    """The hubs (node, x) of this round, and the nodes (node) that have pairs to look at.
 
-    A hub is compared with all other members of its node in other components.
     The largest component of a node gives no hubs once there are components.
     """
-    if component is None:
-        nodes = nodes.withColumn("c", F.col("x"))
-    else:
-        nodes = nodes.join(component.select(F.col("v").alias("x"), "component"), "x", "left").select(
-            *_NODE, F.coalesce("component", "x").alias("c")
-        )
-    nodes = stage(nodes, "nodes")
-    if component is None:
+    if not round_:
         hubs = nodes.groupBy("node").agg(F.min_by("x", F.struct("n", "x")).alias("x"))
-    else:
-        parts = nodes.groupBy("node", "c").agg(F.count("*").alias("k"))
-        largest = parts.groupBy("node").agg(
-            F.max_by("c", F.struct("k", "c")).alias("largest"), (F.sum("k") - F.max("k")).alias("others"), F.count("*").alias("cs")
-        )
-        open_ = largest.where("cs > 1").select("node", "largest", "others")
-        # about 32 ** round_ hubs a node; all of them where there are fewer
-        hubs = (
-            nodes.join(open_, "node")
-            .where("c <> largest")
-            .where(F.pmod(F.xxhash64("x", F.lit(round_)), F.expr(f"(others + {32**round_ - 1}) div {32**round_}")) == 0)
-            .select("node", "x")
-        )
-        nodes = nodes.join(open_.select("node"), "node", "left_semi")
-    hubs = stage(hubs, "hubs")
+        return hubs, hubs.select("node")
+    parts = nodes.groupBy("node", "c").agg(F.count("*").alias("k"))
+    largest = parts.groupBy("node").agg(
+        F.max_by("c", F.struct("k", "c")).alias("largest"), (F.sum("k") - F.max("k")).alias("others"), F.count("*").alias("cs")
+    )
+    open_ = largest.where("cs > 1").select("node", "largest", "others")
+    # about 32 ** round_ hubs a node; all of them where there are fewer
+    hubs = (
+        nodes.join(open_, "node")
+        .where("c <> largest")
+        .where(F.pmod(F.xxhash64("x", F.lit(round_)), F.expr(f"(others + {32**round_ - 1}) div {32**round_}")) == 0)
+        .select("node", "x")
+    )
+    return hubs, open_.select("node")
+
+
+def _pairs(nodes: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs (h, x) of a hub and the other members of its node in other components."""
     heads = nodes.join(hubs, ["node", "x"], "left_semi").select(
         "node", F.col("x").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("own").alias("hown"), *(F.col(w).alias(f"h{w}") for w in _SIGNATURE)
     )
@@ -225,10 +219,8 @@ def _pairs(nodes: DataFrame, component: DataFrame | None, round_: int) -> tuple[
     # grams in one set only: at most a ninth of both together; every bit that differs and every unshared gram is one
     differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"h{w}"))) for w in _SIGNATURE), F.col("own") + F.col("hown"))
     near = near & (differ * 9 <= F.col("n") + F.col("hn"))
-    pairs = nodes.join(heads, "node").where(near & (F.col("c") != F.col("hc"))).select("h", "x")
-    left = nodes.join(hubs, ["node", "x"], "left_anti").select(_NODE)
     # two hubs may meet as (a, b) and (b, a)
-    return pairs.distinct(), left
+    return nodes.join(heads, "node").where(near & (F.col("c") != F.col("hc"))).select("h", "x").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -237,11 +229,8 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     blocks = pairs.groupBy("h").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
     members = pairs.join(blocks, "h").select("h", "x", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("salt"))
     heads = blocks.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("salt"))
-    rows = (
-        heads.join(sets, heads["h"] == sets["x"])
-        .select("h", "salt", F.lit(0).alias("member"), "x", "n", "grams")
-        .unionByName(members.join(sets.drop(*_SIGNATURE), "x").select("h", "salt", F.lit(1).alias("member"), "x", "n", "grams"))
-    )
+    keyed = heads.select("h", "salt", F.lit(0).alias("member"), F.col("h").alias("x")).unionByName(members.withColumn("member", F.lit(1)))
+    rows = keyed.join(sets.drop(*_SIGNATURE), "x").select("h", "salt", "member", "x", "n", "grams")
     ordered = rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "member", "grams")
     return ordered.mapInArrow(_walk, "a bigint, b bigint")
 
@@ -254,47 +243,39 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key")
-    )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("text", "doc_id"))
     profiles = stage(
         rows.mapInArrow(_profiles, "doc_id bigint, key bigint, n bigint, h1 bigint, h2 bigint, lead array<bigint>"), "profiles"
     )
     digest = ["n", "h1", "h2"]
-    # x, a class of equal sets: the smallest hash of its texts.  One row (key, rep) shows the text.
-    classes = (
-        profiles.where("n > 0")
-        .groupBy(*digest)
-        .agg(F.min("key").alias("x"), F.min_by("doc_id", F.struct("key", "doc_id")).alias("rep"))
-    )
-    classes = stage(classes, "classes")
-    shown = classes.select("x", "rep")
-    leads = (
-        profiles.select("key", "doc_id", "n", "lead")
-        .join(shown, (F.col("key") == F.col("x")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-        .select("x", "n", "lead")
-        .dropDuplicates(["x"])
-    )
-    candidates = stage(_candidates(leads).join(shown, "x"), "candidates")
-    texts = (
-        rows.join(candidates, (F.col("key") == F.col("x")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-        .select("x", "text")
-        .dropDuplicates(["x"])
-    )
+    # x, a class of equal sets: the smallest key of its rows, which leads to a text.  Equal sets have equal leading grams.
+    classes = stage(profiles.where("n > 0").groupBy(*digest).agg(F.min("key").alias("x"), F.first("lead").alias("lead")), "classes")
+    candidates = stage(_candidates(classes), "candidates")
+    texts = rows.join(candidates, F.col("key") == F.col("x")).select("x", "text").dropDuplicates(["x"])
     sets = stage(_reduced(texts), "sets")
-    nodes, component, edges, round_ = _nodes(sets), None, None, 0
+    nodes, component, edges, round_ = stage(_nodes(sets).withColumn("c", F.col("x")), "nodes"), None, None, 0
     while True:
-        pairs, nodes = _pairs(nodes, component, round_)
-        found = stage(_links(pairs, sets), "links")
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            component = stage(connected_components(edges), "component")
-            edges = component.select(F.col("v").alias("a"), F.col("component").alias("b"))
-        elif component is None:
-            component = spark.createDataFrame([], "v bigint, component bigint")
-        if round_ and nodes.isEmpty():
+        hubs, open_ = _hubs(nodes, round_)
+        hubs = stage(hubs, "hubs")
+        if not hubs.isEmpty():
+            found = stage(_links(_pairs(nodes, hubs), sets), "links")
+            if not found.isEmpty():
+                edges = found if edges is None else edges.unionByName(found)
+                component = stage(connected_components(edges), "component")
+                edges = component.select(F.col("v").alias("a"), F.col("component").alias("b"))
+            nodes = nodes.join(open_, "node", "left_semi").join(hubs, ["node", "x"], "left_anti").select(_NODE)
+            if component is None:
+                nodes = nodes.withColumn("c", F.col("x"))
+            else:
+                known = component.select(F.col("v").alias("x"), "component")
+                nodes = nodes.join(known, "x", "left").select(*_NODE, F.coalesce("component", "x").alias("c"))
+            nodes = stage(nodes, "nodes")
+        elif open_.isEmpty():
             break
         round_ += 1
+    if component is None:
+        component = spark.createDataFrame([], "v bigint, component bigint")
     reached = classes.join(component.withColumnRenamed("v", "x"), "x", "left").select(
         *digest, F.coalesce("component", "x").alias("component")
     )
