@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.functions.staging import stage
+from cartloom.functions import staging
 
 __all__ = ["stage", "table", "small_batches", "text_rows", "connected_components", "sha256_of_sorted", "is_small"]
 
@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    The shuffle files behind a written table serve nobody any more, but Spark
+    removes them only once the driver's collector has found their plans dead; so it is
+    asked to look, lest the shuffles of all steps pile up on the executors' disks.
+    """
+    written = staging.stage(df, label)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return written
+
+
 def small_batches(spark: SparkSession) -> None:
     """Python workers get batches bounded in rows and in bytes, so that long texts don't pile up in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
