@@ -29,8 +29,13 @@ FENCE = 1.5
 
 # -- variant with dropped lines ----------------------------------------------
 def clean_missing(lines: DataFrame) -> DataFrame:
-    """Drop lines without product, invoice, quantity or a non-zero price; keep null customers."""
-    return lines.na.drop(subset=[*KEY_COLUMNS, "Price", "Quantity"]).where(F.col("Price") != 0)
+    """Drop lines without product, invoice, quantity or a non-zero price; keep null customers.
+
+    Like every step of this variant it passes over columns that are absent.
+    """
+    present = [c for c in [*KEY_COLUMNS, "Price", "Quantity"] if c in lines.columns]
+    kept = lines.na.drop(subset=present) if present else lines
+    return kept.where(F.col("Price") != 0) if "Price" in present else kept
 
 
 def drop_duplicates(lines: DataFrame) -> DataFrame:
@@ -39,6 +44,8 @@ def drop_duplicates(lines: DataFrame) -> DataFrame:
 
 def parse_dates(lines: DataFrame, fmt: str = RAW_DATE_FORMAT) -> DataFrame:
     """Parse the fixed format (unreadable dates become null) and add the calendar parts."""
+    if "InvoiceDate" not in lines.columns:
+        return lines
     at = F.col("InvoiceDate")
     return lines.withColumn("InvoiceDate", F.try_to_timestamp(at, F.lit(fmt))).withColumns(
         {
@@ -51,6 +58,8 @@ def parse_dates(lines: DataFrame, fmt: str = RAW_DATE_FORMAT) -> DataFrame:
 
 
 def detect_returns(lines: DataFrame) -> DataFrame:
+    if "Invoice" not in lines.columns:
+        return lines
     return lines.withColumns(
         {
             "IsReturn": F.coalesce(F.col("Invoice").startswith("C"), F.lit(False)),
@@ -62,9 +71,10 @@ def detect_returns(lines: DataFrame) -> DataFrame:
 def apply_business_rules(lines: DataFrame) -> DataFrame:
     """Drop non-positive customer ids (null stays) and add the line amount."""
     customer = F.col("CustomerID")
-    return lines.where(customer.isNull() | (customer > 0)).withColumn(
-        "TotalAmount", (F.col("Price") * F.col("Quantity")).cast("decimal(18,2)")
-    )
+    out = lines.where(customer.isNull() | (customer > 0)) if "CustomerID" in lines.columns else lines
+    if not {"Price", "Quantity"} <= set(lines.columns):
+        return out
+    return out.withColumn("TotalAmount", (F.col("Price") * F.col("Quantity")).cast("decimal(18,2)"))
 
 
 def business_rule_notes(lines: DataFrame) -> DataFrame:
@@ -88,7 +98,7 @@ def narrow_types(lines: DataFrame) -> DataFrame:
         "IsReturn": "boolean",
     }
     present = {c: F.col(c).cast(t) for c, t in wanted.items() if c in lines.columns}
-    return lines.withColumns(present)
+    return lines.withColumns(present) if present else lines
 
 
 def category_candidates(lines: DataFrame) -> DataFrame:

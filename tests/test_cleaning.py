@@ -87,3 +87,10 @@ def test_validation_rules(lines):
     assert looks["StockCode"] and looks["Invoice"] and not looks["Country"]
     score = quality.quality_score(quality.quality_metrics(df)).first()["quality_score"]
     assert 0 <= score <= 100
+
+
+def test_absent_columns_are_passed_over(spark):
+    frame = spark.createDataFrame([(1,), (2,), (3,)], "RandomColumn int")
+    assert sorted(r.RandomColumn for r in cleaning.clean_dataset_lib(frame).collect()) == [1, 2, 3]
+    priced = spark.createDataFrame([("536365", 0.0), (None, 2.0), ("C536366", 3.0)], "Invoice string, Price double")
+    assert [(r.Invoice, r.InvoiceClean, r.IsReturn) for r in cleaning.clean_dataset_lib(priced).collect()] == [("C536366", "536366", True)]
