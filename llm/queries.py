@@ -5,19 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from llm.chat_formatting import linked_conversations
-from llm.common import stage, table
+from llm.common import table
 from llm.decontamination import decontaminate
 from llm.embedding_join import epsilon_grid_join
 from llm.langid import predict_languages
 from llm.ngram_join import ngram_jaccard_join
 from llm.packing import best_fit_packing
-from llm.sanitisation import REPLACED, base_spans, personal_data, text_rows_of
+from llm.sanitisation import REPLACED, personal_data
 from llm.sharding import feistel_shards
 from llm.substring_dedup import substring_dedup
-from llm.token_counts import edited_token_counts
+from llm.token_counts import replaced_token_counts
 
 #: Files of the installed package of public tokenizers.
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -47,10 +46,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    spans = base_spans(text_rows_of(docs))
-    put = F.coalesce(*(F.when(F.col("kind") == kind, F.lit(tag)) for kind, tag in REPLACED.items()))
-    edits = stage(spans.select("doc_id", "key", "start", "end", put.alias("put")), "edits")
-    return edited_token_counts(docs, edits, tokenizer_path(COUNTING_TOKENIZER), public_tokenizers.PATTERN)
+    return replaced_token_counts(docs, REPLACED, tokenizer_path(COUNTING_TOKENIZER), public_tokenizers.PATTERN)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,28 +69,53 @@ def luhn(digits: Column) -> Column:
     return value % 10 == 0
 
 
-def _valid() -> Column:
-    digits = F.regexp_replace("match", "[^0-9]", "")
+def valid_match(kind: str, match: Column) -> Column:
+    """Whether a match of the kind's pattern passes its check."""
+    if kind == "email":
+        return F.lit(True)
+    if kind == "ip":
+        return match.rlike(rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$")
+    digits = F.regexp_replace(match, "[^0-9]", "")
     n = F.length(digits)
-    return (
-        F.when(F.col("kind") == "email", F.lit(True))
-        .when(F.col("kind") == "ip", F.col("match").rlike(rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"))
-        .when(F.col("kind") == "card", F.when(n.between(14, 19), luhn(digits)).otherwise(False))
-        .otherwise(n.between(10, 15))
-    )
+    return F.when(n.between(14, 19), luhn(digits)).otherwise(False) if kind == "card" else n.between(10, 15)
+
+
+def _valid() -> Column:
+    return F.coalesce(*(F.when(F.col("kind") == kind, valid_match(kind, F.col("match"))) for kind in PATTERNS))
+
+
+def _hinted(kind: str) -> Column:
+    return F.col("t").contains("@") if kind == "email" else F.col("t").rlike(HINTS[kind])
+
+
+def base_matches() -> Column:
+    """For each kind that column ``t`` may hold: the kind, the characters before each match since the last one, each match's length and validity.
+
+    The places stay with their row, so that no text has to move.
+    """
+
+    def tried(kind: str) -> Column:
+        matches = F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(0))
+        found = F.struct(
+            F.lit(kind).alias("kind"),
+            F.transform(F.split("t", PATTERNS[kind]), F.length).alias("gaps"),
+            F.transform(matches, lambda m: F.struct(F.length(m).alias("length"), valid_match(kind, m).alias("valid"))).alias("matches"),
+        )
+        return F.when(_hinted(kind), found)
+
+    return F.array_compact(F.array(*map(tried, PATTERNS)))
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
     """(doc_id, key, kind, start, end, match, before, after) of valid personal data in ``rows`` (doc_id, key, t)."""
 
     def tried(kind: str) -> Column:
-        hint = F.col("t").contains("@") if kind == "email" else F.col("t").rlike(HINTS[kind])
         gaps = F.transform(
             F.split("t", PATTERNS[kind]),
             lambda g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(AROUND)).alias("before"), F.left(g, F.lit(AROUND)).alias("after")),
         )
         return F.when(
-            hint, F.struct(F.lit(kind).alias("kind"), gaps.alias("gaps"), F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(0)).alias("matches"))
+            _hinted(kind), F.struct(F.lit(kind).alias("kind"), gaps.alias("gaps"), F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(0)).alias("matches"))
         )
 
     found = rows.select("doc_id", "key", F.explode(F.array(*map(tried, PATTERNS))).alias("f")).where("size(f.matches) > 0")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.common import small_batches, text_rows
+from llm.sanitisation import base_matches
 
 #: Parts whose counts a Python worker remembers.
 REMEMBERED = 1_000_000
@@ -139,13 +140,34 @@ def _counter(path: str, pattern: str) -> Counter:
     return _WORKER[path]
 
 
-def _counted(path: str, pattern: str):
+def _listed(edits: list[dict] | None) -> list[tuple[int, int, str]]:
+    return [(e["start"], e["end"], e["put"] or "") for e in edits or [] if e["start"] is not None and e["end"] is not None]
+
+
+def _placed(put: dict[str, str]):
+    """Edits that put a text by its kind in the place of each valid match."""
+
+    def run(found: list[dict] | None) -> list[tuple[int, int, str]]:
+        out = []
+        for f in found or []:
+            lengths = np.array([m["length"] for m in f["matches"]], np.int64)
+            ends = np.cumsum(np.array(f["gaps"][: len(lengths)], np.int64) + lengths)
+            spans = zip((ends - lengths).tolist(), ends.tolist(), f["matches"])
+            out += [(start, end, put[f["kind"]]) for start, end, m in spans if m["valid"]]
+        return out
+
+    return run
+
+
+def _counted(path: str, pattern: str, edits_of):
+    """Rows (doc_id, text, edits) before and after the edits, which ``edits_of`` reads from the column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, pattern)
         for batch, texts in text_rows(batches, 4 << 20):
             before, edits_n, after, again = [], [], [], []
-            for text, edits in zip(texts, batch.column("edits").to_pylist()):
-                edits = [(e["start"], e["end"], e["put"] or "") for e in edits or [] if e["start"] is not None and e["end"] is not None]
+            for text, listed in zip(texts, batch.column("edits").to_pylist()):
+                edits = edits_of(listed)
                 if not edits:  # no tree is needed to know the sum
                     before.append(sum(counter(parts(text.decode()))))
                     after.append(before[-1])
@@ -163,16 +185,30 @@ def _counted(path: str, pattern: str):
     return run
 
 
+_COUNTS = "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_parts_encoded bigint"
+
+
 def edited_token_counts(docs: DataFrame, edits: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, n_edits, n_tokens_after, n_parts_encoded.
 
     ``edits`` are (doc_id, key, start, end, put), the key being xxhash64 of the text.
+    They may come from anywhere, so texts meet them by a join.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     listed = edits.groupBy(F.col("doc_id").alias("e_id"), F.col("key").alias("e_key")).agg(F.collect_list(F.struct("start", "end", "put")).alias("edits"))
     joined = rows.join(listed, (F.col("key") == F.col("e_key")) & F.col("doc_id").eqNullSafe(F.col("e_id")), "left")
-    return joined.select("doc_id", "text", "edits").mapInArrow(
-        _counted(rank_file, pattern), "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_parts_encoded bigint"
-    )
+    return joined.select("doc_id", "text", "edits").mapInArrow(_counted(rank_file, pattern, _listed), _COUNTS)
+
+
+def replaced_token_counts(docs: DataFrame, put: dict[str, str], rank_file: str, pattern: str) -> DataFrame:
+    """Like ``edited_token_counts``, the edits putting ``put[kind]`` in the place of each piece of personal data.
+
+    Edits are found in the row they belong to: nothing is shuffled.
+    """
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("t"))
+    rows = rows.select("doc_id", F.col("t").alias("text"), base_matches().alias("edits"))
+    return rows.mapInArrow(_counted(rank_file, pattern, _placed(put)), _COUNTS)

@@ -378,6 +378,11 @@ def test_edited_token_counts(spark, docs, nothing):
             assert got[i]["n_tokens_after"] == len(counter.encoding.encode_ordinary(text))
     assert got[13]["n_edits"] == 4
     assert token_counts.edited_token_counts(nothing, spans, path, public_tokenizers.PATTERN).count() == 0
+    # edits found in the row and edits that come by a join count the same
+    put = dict.fromkeys(sanitisation.REPLACED, "[X]")
+    in_place = token_counts.replaced_token_counts(docs, put, path, public_tokenizers.PATTERN)
+    assert Bag(map(tuple, in_place.collect())) == Bag(map(tuple, token_counts.edited_token_counts(docs, spans, path, public_tokenizers.PATTERN).collect()))
+    assert token_counts.replaced_token_counts(nothing, put, path, public_tokenizers.PATTERN).count() == 0
 
 
 def test_quotation_linking(spark):
