@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import stage, table
+from llm.common import is_small, stage, table
 from llm.decontamination import decontaminate
 from llm.langid import predict_languages
-from llm.ngram_join import ngram_jaccard_join
+from llm.ngram_join import row_components, row_key
 from llm.packing import best_fit_packing
 from llm.queries import PACKING_TOKENIZER, tokenizer_path
 from llm.sanitisation import sanitised
@@ -27,9 +27,28 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id.  Rows with that id and another text stay."""
-    groups = ngram_jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates: the one with the smallest id, null ids last, and among rows of that id the one with the smallest key.
+
+    Rows without words are in no group and stay, repeated ones too.
+    """
+    found = row_components(docs).where("component is not null")
+    rows = stage(found.groupBy("component", "doc_id", "key").agg(F.count("*").alias("copies")), "group_rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first"))
+    kept = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    # rows that don't stay as they are: they go (0 copies), or one of several equal rows stays
+    marks = rows.join(first, "component").select(
+        F.col("doc_id").alias("o_id"), F.col("key").alias("o_key"), F.when(kept, F.col("copies")).otherwise(F.lit(0)).alias("o_copies")
+    )
+    marks = stage(marks.where("o_copies <> 1"), "group_marks")
+    small = F.broadcast(marks) if is_small(marks) else marks
+    on = (F.col("o_row") == F.col("o_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("o_id"))
+    marked = docs.withColumn("o_row", row_key()).join(small, on, "left")
+    out = marked.where("o_copies is null").select(docs.columns)
+    if marks.where("o_copies > 1").isEmpty():
+        return out
+    # they have one id and text; where other columns differ, a hash of them decides
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    return out.unionByName(marked.where("o_copies > 1").groupBy("o_id", "o_key").agg(row).select("row.*"))
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,16 +235,20 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_walk, "a bigint, b bigint")
 
 
-def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+def row_key() -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("doc_id").cast("bigint"))
 
-    component_id is the smallest doc_id that links reach; a text without words keeps its own.
-    A null doc_id takes part like others and is never the smallest.
+
+def row_components(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, key, n, component; null for a text without words.
+
+    ``key`` is ``row_key``, which with doc_id tells the row; rows that links connect have one component.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("text", "doc_id"))
+    rows = rows.withColumn("key", row_key())
     profiles = stage(
         rows.mapInArrow(_profiles, "doc_id bigint, key bigint, n bigint, h1 bigint, h2 bigint, lead array<bigint>"), "profiles"
     )
@@ -279,7 +283,16 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     reached = classes.join(component.withColumnRenamed("v", "x"), "x", "left").select(
         *digest, F.coalesce("component", "x").alias("component")
     )
-    found = stage(profiles.drop("lead", "key").join(reached, digest, "left"), "reached")
+    return stage(profiles.drop("lead").join(reached, digest, "left").drop("h1", "h2"), "reached")
+
+
+def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    component_id is the smallest doc_id that links reach; a text without words keeps its own.
+    A null doc_id takes part like others and is never the smallest.
+    """
+    found = row_components(docs)
     smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(smallest, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")

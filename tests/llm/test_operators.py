@@ -424,3 +424,25 @@ def test_pipeline_stages(spark, sf_dir):
         else:
             assert set(after) == set(before) and not any(brute_base(r["text"]) for r in after.values())
         docs = spark.createDataFrame([tuple(r) for r in after.values()], out.schema)
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d, e = (words(60, 200 + i) for i in range(5))
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    texts = [
+        (3, a), (5, near(a)), (5, b), (7, c), (7, near(c)), (9, d), (9, d), (9, d), (None, near(a)), (None, e), (None, near(e)), (None, e),
+        (8, ""), (8, ""), (None, None), (None, None), (11, None), (3, "..."), (12, b.upper()),
+    ]
+    rows = [(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(texts)]
+    out = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    sets = [shingles(t) for _, t in texts]
+    links = [(x, y) for x, s in enumerate(sets) for y, r in enumerate(sets) if s and r and 100 * len(s & r) >= 80 * len(s | r)]
+    of = components(range(len(texts)), links)
+    got = Bag(of[int(r["source"][1:])] for r in out)
+    assert got == Bag(set(of.values()))
+    for r in out:
+        k = int(r["source"][1:])
+        assert tuple(r) == rows[k]
+        ids = [texts[j][0] for j in of if of[j] == of[k]]
+        assert r["doc_id"] == min((i for i in ids if i is not None), default=None)
+    assert (5, b) in {(r["doc_id"], r["text"]) for r in out}
