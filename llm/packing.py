@@ -111,14 +111,17 @@ class WordIds:
 
     The tokenizer splits a text into words first and encodes each for itself,
     so a word is encoded once and remembered.  A text with a character beyond
-    ASCII that is no plain letter goes through the tokenizer as a whole.
+    ASCII that is no plain letter, or with an added token such as
+    ``<|endoftext|>`` in it, goes through the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # whether it stands in a text is asked in small letters, since some tokens are looked for in normalised text
+        added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
@@ -154,13 +157,15 @@ class WordIds:
         self.known.update((w, e.tobytes()) for (w, _), e in zip(others, self._encode([t for _, t in others])))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [_WORDS.findall(t.lower()) for t in texts]
+        lowered = [t.lower() for t in texts]
+        # None: the whole text goes through the tokenizer, which cuts added tokens out first
+        split = [None if self.added and self.added.search(t) else _WORDS.findall(t) for t in lowered]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        self._learn([w for w in {w for words in split for w in words} if w not in self.known])
+        self._learn([w for w in {w for words in split if words is not None for w in words} if w not in self.known])
         out = []
         for text, words in zip(texts, split):
-            ids = list(map(self.known.__getitem__, words))
+            ids = [None] if words is None else list(map(self.known.__getitem__, words))
             out.append(self._encode([text.decode()])[0].tobytes() if None in ids else b"".join(ids))
         return out
 

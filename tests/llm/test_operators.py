@@ -446,3 +446,16 @@ def test_one_row_of_each_group_stays(spark):
         ids = [texts[j][0] for j in of if of[j] == of[k]]
         assert r["doc_id"] == min((i for i in ids if i is not None), default=None)
     assert (5, b) in {(r["doc_id"], r["text"]) for r in out}
+
+
+def test_added_tokens_are_tokenised_as_by_a_fresh_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(queries.PACKING_TOKENIZER)
+    fresh = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>one two<|endoftext|>" * 40, "<|ENDOFTEXT|> x", "<|endoftext", "plain words", "<|<|endoftext|>|>", "é<|startoftext|>É “", None]
+    ids = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 49407 in ids[0] and packing.WordIds(path)([(t or "").encode() for t in texts]) == [np.array(i, "<u4").tobytes() for i in ids]
+    out = packing.best_fit_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path, 16).collect()
+    pieces = [(k, n, at, i[at : at + 16]) for k, i in enumerate([*i, 0] for i in ids) for n, at in enumerate(range(0, len(i), 16))]
+    assert Bag(tuple(r)[:5] for r in out) == Bag((k, n, at, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k, n, at, p in pieces)
