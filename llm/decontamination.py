@@ -5,8 +5,14 @@ of the benchmark are counted over all documents; a window of ``WINDOW``
 benchmark words is looked up from its two rarest terms: their posting lists,
 shifted by the term's offset in the window, are intersected, and each start that
 both name is compared with the whole phrase.  Only lists of such terms are built, for
-other lists are never read.  ``proximity_matches`` intersects the same lists
-with some slack instead.
+other lists are never read.
+
+``proximity_matches`` finds altered passages: four words in five of a window
+(``near_words``) stand at most ``slack`` words out of line.  So at most a fifth
+is missing, and of the rarest terms two more than may be missing, at
+least two are there: their shifted lists are intersected with slack, and the
+words around each meeting are compared with the window.  Terms that occur
+nowhere count among the missing.
 
 Benchmark tables are fixed test sets; their vocabulary is broadcast after it
 has been counted, and joined by shuffle if it is larger than expected.
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from llm.common import LOWER, UPPER, is_small, sha256_of_sorted, stage
 
 WINDOW = 10
+#: Words by which the starts of a near window's words may differ.
+SLACK = 5
 #: Bytes between words; capitals are letters here and made small afterwards.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -63,13 +71,18 @@ def _terms(phrases: DataFrame) -> DataFrame:
     return phrases.select("phrase", "len", F.posexplode(F.split("phrase", " ")).alias("offset", "term")).withColumn("term", F.lower("term"))
 
 
-def _rarest(rows: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, len, rank, offset, term): the two rarest terms of each phrase whose terms all occur."""
+def _counted(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, len, offset, term, n): the terms of each phrase and how often the documents have them, null for never."""
     terms = _terms(phrases)
     vocabulary = stage(terms.select("term").distinct(), "vocabulary")
     seen = rows.select(F.explode("w").alias("term")).select(F.lower("term").alias("term"))
     counts = seen.join(_sized(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
-    counted = terms.join(stage(counts, "term_counts"), "term", "left")
+    return terms.join(stage(counts, "term_counts"), "term", "left")
+
+
+def _rarest(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, len, rank, offset, term): the two rarest terms of each phrase whose terms all occur."""
+    counted = _counted(rows, phrases)
     order = Window.partitionBy("phrase").orderBy("n", "offset")
     return (
         counted.withColumn("absent", F.max(F.isnull("n")).over(Window.partitionBy("phrase")))
@@ -100,8 +113,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def phrase_starts(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slack: int | None = None) -> DataFrame:
-    """(doc_id, key, phrase, len, start): exact occurrences, or with ``slack`` starts near which both rarest terms lie."""
+def phrase_starts(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(doc_id, key, phrase, len, start): exact occurrences."""
     rows = _rows(docs)
     phrases = stage(windows(benchmark, width).select("phrase", "len").distinct(), "phrases")
     rarest = stage(_rarest(rows, phrases), "rarest")
@@ -111,13 +124,6 @@ def phrase_starts(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     # a phrase of one word has one list only
     second = both.where("rank = 2").select("doc_id", "key", "phrase", F.col("start").alias("other"))
     same = ["key", "phrase"]
-    if slack is not None:
-        block = slack + 1
-        near = second.withColumn("block", F.explode(F.array(*(F.floor(F.col("other") / block) + d for d in (-1, 0, 1)))))
-        near = near.withColumnRenamed("doc_id", "other_id")
-        first = first.withColumn("block", F.floor(F.col("start") / block))
-        found = first.join(near, [*same, "block"]).where("other_id <=> doc_id AND abs(start - other) <= " + str(slack))
-        return found.select("doc_id", *same, "len", "start").distinct()
     # the rarest term's list is short, its candidates look the phrase up in the words around them
     shift = F.least(F.col("pos"), F.lit(width - 1)) - F.col("offset")
     phrase_there = F.array_join(F.slice(F.split("around", " "), F.greatest(shift + 1, F.lit(1)), F.col("len")), " ")
@@ -128,10 +134,79 @@ def phrase_starts(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     return found.select("doc_id", *same, "len", "start").distinct()
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int = 5, width: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id): documents where the two rarest terms of a window lie at most ``slack`` words from their places."""
-    found = phrase_starts(docs, benchmark, width, slack).select("doc_id", "phrase").distinct()
-    return found.join(windows(benchmark, width), "phrase").select("doc_id", "item_id").distinct()
+def near_words(n: str) -> Column:
+    """How many of a window's ``n`` words must be near: four in five, rounded up."""
+    return F.expr(f"({n} * 4 + 4) div 5").cast("int")
+
+
+def near_items(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK, width: int = WINDOW) -> DataFrame:
+    """(doc_id, key, item_id): documents that a window of the item is near.
+
+    A word of the window at offset o that stands at position p of the document
+    starts at p - o.  The window is near if for some s at least ``near_words``
+    of its offsets, on as many different positions, start from s to s + slack.
+    """
+    rows = _rows(docs)
+    phrases = stage(windows(benchmark, width).select("phrase", "len").distinct(), "near_phrases")
+    every = Window.partitionBy("phrase")
+    looked_up = (
+        _counted(rows, phrases)
+        .withColumn("missing", F.col("len") - near_words("len") - F.count(F.when(F.isnull("n"), 1)).over(every))
+        .where("missing >= 0 AND n is not null")
+        .withColumn("rank", F.row_number().over(every.orderBy("n", "offset")))
+        .where("rank <= missing + 2")
+        .select(F.xxhash64("phrase").alias("p"), "len", "offset", "term")
+    )
+    looked_up = stage(looked_up, "near_terms")
+    lists = rows.select("doc_id", "key", F.posexplode("w").alias("pos", "term")).withColumn("term", F.lower("term"))
+    # the few words looked up move once, before each meets the windows that hold it
+    lists = lists.join(_sized(looked_up.select("term").distinct()), "term", "left_semi").repartition("doc_id", "key")
+    found = lists.join(_sized(looked_up), "term").select("doc_id", "key", "p", "len", "offset", (F.col("pos") - F.col("offset")).alias("start"))
+    # of two different offsets within the slack, some two are neighbours in the order of starts
+    by = Window.partitionBy("doc_id", "key", "p").orderBy("start", "offset")
+    meets = (F.lead("offset").over(by) != F.col("offset")) & (F.lead("start").over(by) - F.col("start") <= slack)
+    meetings = found.where("len > 1").withColumn("meets", meets).where("meets").unionByName(found.where("len = 1").withColumn("meets", F.lit(True)))
+    meetings = stage(meetings.select(F.col("doc_id").alias("o_id"), F.col("key").alias("o_key"), "p", "start").distinct(), "meetings")
+    on = (F.col("key") == F.col("o_key")) & F.col("doc_id").eqNullSafe(F.col("o_id"))
+    low = F.greatest(F.col("start") - slack, F.lit(0))
+    # positions low to start + slack + len - 1
+    around = F.slice("w", low + 1, F.greatest(F.col("start") + slack + width - low, F.lit(0)))
+    near = rows.join(_sized(meetings), on).select("doc_id", "key", "p", "start", low.alias("low"), F.transform(around, F.lower).alias("around"))
+    terms = phrases.select(F.xxhash64("phrase").alias("p"), "phrase", "len", F.transform(F.split("phrase", " "), F.lower).alias("terms"))
+    near = near.join(_sized(terms), "p")
+    hits = F.flatten(
+        F.transform(
+            "around",
+            lambda x, i: F.transform(
+                F.filter(F.transform("terms", lambda t, o: F.struct(t.alias("t"), o.alias("o"))), lambda t: t["t"] == x),
+                lambda t: F.struct((F.col("low") + i - t["o"]).alias("s"), t["o"].alias("o"), (F.col("low") + i).alias("at")),
+            ),
+        )
+    )
+    near = near.withColumn("hits", hits).where(F.size("hits") >= near_words("len"))
+
+    def enough(s: Column) -> Column:
+        here = F.filter("hits", lambda h: (h["s"] >= s) & (h["s"] <= s + slack))
+        offsets, places = (F.size(F.array_distinct(x)) for x in (F.transform(here, lambda h: h["o"]), F.transform(here, lambda h: h["at"])))
+        return F.least(offsets, places) >= near_words("len")
+
+    near = near.where(F.exists(F.sequence(F.col("start") - slack, F.col("start")), enough))
+    return near.select("doc_id", "key", "phrase").distinct().join(windows(benchmark, width), "phrase").select("doc_id", "key", "item_id").distinct()
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK, width: int = WINDOW) -> DataFrame:
+    """(doc_id, item_id): documents that a window of the item is near, exact occurrences included."""
+    return near_items(docs, benchmark, slack, width).select("doc_id", "item_id").distinct()
+
+
+def with_proximity(found: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``found`` (doc_id, key, ...) with n_near_items and near_items_sha256, exact occurrences included."""
+    items = stage(near_items(docs, benchmark), "near_items").groupBy(F.col("doc_id").alias("o_id"), F.col("key").alias("o_key"))
+    items = items.agg(F.collect_set("item_id").alias("near"))
+    joined = found.join(items, (F.col("key") == F.col("o_key")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
+    none = F.array().cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>")
+    near = F.coalesce("near", none)
+    return joined.select(found["*"], F.size(near).cast("bigint").alias("n_near_items"), sha256_of_sorted(near).alias("near_items_sha256"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.chat_formatting import linked_conversations
 from llm.common import table
-from llm.decontamination import decontaminate
+from llm.decontamination import decontaminate, with_proximity
 from llm.embedding_join import epsilon_grid_join
 from llm.langid import predict_languages
 from llm.ngram_join import ngram_jaccard_join
@@ -34,7 +34,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+    """Exact benchmark passages of all documents, and the items whose passages are near in them."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return with_proximity(decontaminate(docs, benchmark), docs, benchmark).drop("key")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

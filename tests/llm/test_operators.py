@@ -459,3 +459,38 @@ def test_added_tokens_are_tokenised_as_by_a_fresh_tokenizer(spark):
     out = packing.best_fit_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path, 16).collect()
     pieces = [(k, n, at, i[at : at + 16]) for k, i in enumerate([*i, 0] for i in ids) for n, at in enumerate(range(0, len(i), 16))]
     assert Bag(tuple(r)[:5] for r in out) == Bag((k, n, at, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k, n, at, p in pieces)
+
+
+def test_altered_passages_are_near(spark, tmp_path):
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    rng, passage = random.Random(8), words(14, 301, 400).split()
+    items = [(1, " ".join(passage)), (2, "rarename won the great prize of science twice"), (3, "solo"), (4, "go go go go"), (5, words(6, 302, 400)), (None, "solo"), (6, "nowhere " * 9)]
+    altered = ["othername" if i % 6 == 3 else w for i, w in enumerate(passage)]
+    texts = [
+        "x y " + " ".join(altered), "In 1903 Uniquename won the great prize of science twice.", "a SOLO part", "go on", "go, go, go, go",
+        " ".join(passage[:4] + ["and", "then"] + passage[4:]), " ".join(reversed(passage)), "won the prize", None, "", words(40, 303),
+    ]
+    texts += [" ".join(rng.choice([*passage, *"abc"]) for _ in range(60)) for _ in range(30)]
+    texts += [" ".join(w if rng.random() < 0.75 else rng.choice("abc") for w in passage[rng.randint(0, 4) :]) for _ in range(40)]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts, 1)]
+    want = []
+    for i, t in rows:
+        w, near = find(small(t)), set()
+        if not small(t)[:1].isalnum():
+            w = ["", *w]
+        for item, text in items:
+            b = find(small(text))
+            for at in range(max(1, len(b) - 9)) if item is not None else ():
+                x = b[at : at + 10]
+                hits = [(p - o, o, p) for o, a in enumerate(x) for p, c in enumerate(w) if a == c]
+                need = -(-4 * len(x) // 5)
+                for s, *_ in hits:
+                    here = [h for h in hits if s <= h[0] <= s + decontamination.SLACK]
+                    if min(len({h[1] for h in here}), len({h[2] for h in here})) >= need:
+                        near.add(item)
+        want.append((i, len(near), hashlib.sha256(",".join(sorted(map(str, near))).encode()).hexdigest()))
+    assert [x[1] for x in want[:6]] == [1, 1, 1, 0, 1, 1] and 3 < sum(x[1] for x in want[11:41]) + sum(x[1] for x in want[41:])
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = queries.op2_benchmark_decontamination(spark, str(tmp_path))
+    assert rows_of(out.select("doc_id", "n_near_items", "near_items_sha256")) == sorted(want, key=repr)
