@@ -6,12 +6,14 @@ check (octets, Luhn, digit counts).  Their values are the protected entities.
 Method: information-theoretic sanitisation.  Terms that stand within ``AROUND``
 characters of an entity co-occur with it.  With the documents as
 observations, -log2 P(entity | term) is the uncertainty that is left about
-the entity for someone who reads the term.  A term that occurs in at least
-``SUPPORT`` different contexts of the entity and leaves at most ``REMOVE_BITS`` is
-removed from the documents that hold the entity, one that leaves at most
-``GENERALISE_BITS`` is generalised to its first letter.  P is estimated over the
-whole corpus: documents in which term and entity stand together, over documents
-with the term.  Base spans stay as they are; a term that overlaps one is left out.
+the entity for someone who reads the term.  A term that leaves at most
+``REMOVE_BITS`` is removed from the documents that hold the entity, one that
+leaves at most ``GENERALISE_BITS`` is generalised to its first letter.  P is
+estimated over the whole corpus: documents in which term and entity stand
+together, over documents with the term and ``UNSEEN`` more that might have it
+without the entity, so that few observations leave more uncertainty and no
+entity is too rare to have terms.  A word that the edge of the context cuts is
+not within it.  Base spans stay as they are; a term that overlaps one is left out.
 
 The patterns are those of the contract, with possessive quantifiers and a look
 behind so that long runs of letters or digits cost linear time; they match the
@@ -38,7 +40,8 @@ PATTERNS = {
 #: What a text must contain for a pattern to be tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 -]{13}", "phone": r"\+[0-9]"}
 AROUND = 120
-SUPPORT = 3
+#: Documents with the term and without the entity that an estimate adds to those seen.
+UNSEEN = 1
 REMOVE_BITS = 1.0
 GENERALISE_BITS = 3.0
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[1-9])?"
@@ -106,13 +109,18 @@ def base_matches() -> Column:
     return F.array_compact(F.array(*map(tried, PATTERNS)))
 
 
+def _whole_words(context: Column, edge: str) -> Column:
+    """A context of a character too many without that character, and without the word that it cuts."""
+    return F.when(F.length(context) > AROUND, F.regexp_replace(context, "(?s)" + edge, "")).otherwise(context)
+
+
 def base_spans(rows: DataFrame) -> DataFrame:
     """(doc_id, key, kind, start, end, match, before, after) of valid personal data in ``rows`` (doc_id, key, t)."""
 
     def tried(kind: str) -> Column:
         gaps = F.transform(
             F.split("t", PATTERNS[kind]),
-            lambda g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(AROUND)).alias("before"), F.left(g, F.lit(AROUND)).alias("after")),
+            lambda g: F.struct(F.length(g).alias("gap"), _whole_words(F.right(g, F.lit(AROUND + 1)), r"^(?:.(?!\p{L})|\p{L}+)").alias("before"), _whole_words(F.left(g, F.lit(AROUND + 1)), r"(?:(?<!\p{L}).|\p{L}+)$").alias("after")),
         )
         return F.when(
             _hinted(kind), F.struct(F.lit(kind).alias("kind"), gaps.alias("gaps"), F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(0)).alias("matches"))
@@ -129,21 +137,33 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return _positions(once, ["doc_id", "key", "kind"]).where(_valid()).drop("i", "gap")
 
 
+def document_counts(rows: DataFrame) -> DataFrame:
+    """(term, n): in how many documents a term occurs; rows with equal ids and texts count once."""
+    terms = F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+")).alias("terms")
+    copies = rows.groupBy(F.col("doc_id").alias("o_id"), F.col("key").alias("o_key")).agg(F.count("*").alias("c")).where("c > 1")
+    copies = stage(copies.select("o_id", "o_key"), "repeated_rows")
+    if copies.isEmpty():
+        return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    small = F.broadcast(copies) if is_small(copies) else copies
+    on = (F.col("key") == F.col("o_key")) & F.col("doc_id").eqNullSafe(F.col("o_id"))
+    once = rows.join(small, on, "left_anti").select(F.explode(terms).alias("term"))
+    again = rows.join(small, on, "left_semi").select("doc_id", "key", F.explode(terms).alias("term")).distinct().select("term")
+    return once.unionByName(again).groupBy("term").agg(F.count("*").alias("n"))
+
+
 def disclosing_terms(rows: DataFrame, spans: DataFrame) -> DataFrame | None:
-    """(e, term, bits): uncertainty in bits that a term leaves about entity e; None if no term has support."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "before", "after")), r"[^\p{L}]+"), lambda w: F.length(w) > 2))
-    pairs = spans.select(entity().alias("e"), F.xxhash64("before", "after").alias("context"), "doc_id", "key", F.explode(words).alias("term"))
-    seen = pairs.groupBy("e", "term", "context", "doc_id", "key").agg(F.lit(1).alias("one"))
-    contexts = seen.groupBy("e", "term", "context").agg(F.lit(1).alias("one")).groupBy("e", "term").agg(F.count("*").alias("contexts"))
-    together = seen.groupBy("e", "term", "doc_id", "key").agg(F.lit(1).alias("one")).groupBy("e", "term").agg(F.count("*").alias("both"))
-    supported = stage(contexts.where(F.col("contexts") >= SUPPORT).join(together, ["e", "term"]), "supported")
-    if supported.isEmpty():
+    """(e, term, bits): uncertainty in bits that a term leaves about entity e; None if no entity has words around it."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "before", "after")), r"[^\p{L}]+"), lambda w: w != ""))
+    pairs = spans.select(entity().alias("e"), "doc_id", "key", F.explode(words).alias("term")).distinct()
+    together = stage(pairs.groupBy("e", "term").agg(F.count("*").alias("both")), "together")
+    if together.isEmpty():
         return None
-    terms = stage(supported.select("term").distinct(), "terms")
-    terms = F.broadcast(terms) if is_small(terms) else terms
-    everywhere = rows.select("doc_id", "key", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("term")).join(terms, "term")
-    counts = everywhere.groupBy("term", "doc_id", "key").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n"))
-    left = supported.join(counts, "term").select("e", "term", F.log2(F.greatest(F.col("n"), F.col("both")) / F.col("both")).alias("bits"))
+    # what no entity can have often enough needs no meeting: the commonest terms go here
+    most = together.groupBy("term").agg(F.max("both").alias("most"))
+    counts = document_counts(rows).join(most, "term").where(F.col("n") + UNSEEN <= F.col("most") * 2**GENERALISE_BITS)
+    counts = stage(counts.select("term", "n"), "term_documents")
+    left = together.join(F.broadcast(counts) if is_small(counts) else counts, "term")
+    left = left.select("e", "term", F.log2((F.greatest(F.col("n"), F.col("both")) + UNSEEN) / F.col("both")).alias("bits"))
     return left.where(F.col("bits") <= GENERALISE_BITS)
 
 

@@ -494,3 +494,23 @@ def test_altered_passages_are_near(spark, tmp_path):
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = queries.op2_benchmark_decontamination(spark, str(tmp_path))
     assert rows_of(out.select("doc_id", "n_near_items", "near_items_sha256")) == sorted(want, key=repr)
+
+
+def test_terms_of_entities_seen_once(spark):
+    common = "we all met in the old hall and then"
+    once = f"{common} Zyxwname \u674e \u674e\u660e wrote from solo@mail.com {common}"
+    cut = "abcdefghijkl " + "the " * 28 + "x@mail.com " + "the " * 28 + "mnopqrstuvw"
+    rows = [(1, once), (2, cut), (3, "abcdef here"), *((10 + i, f"{common} wrote from {words(9, i)}") for i in range(20)), (4, "quux to twice@mail.com"), (4, "quux to twice@mail.com"), (5, "quux")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    n = Bag(w for t in {r for r in rows} for w in set(re.findall(r"[^\W\d_]+", t[1].lower())))
+    text_rows = sanitisation.text_rows_of(frame)
+    spans = sanitisation.base_spans(text_rows)
+    names = {r["e"]: r["match"] for r in spans.select(sanitisation.entity().alias("e"), "match").collect()}
+    got = {(names[r["e"]], r["term"]): r["bits"] for r in sanitisation.disclosing_terms(text_rows, spans).collect()}
+    want = {("solo@mail.com", w): math.log2((n[w] + 1) / 1) for w in ("zyxwname", "\u674e", "\u674e\u660e")} | {("twice@mail.com", "quux"): math.log2(3)}
+    # of the twelve letters at the edge nine would be inside: no word of the text, so no term
+    want |= {("twice@mail.com", "to"): math.log2(n["to"] + 1)}
+    assert got == pytest.approx(want)
+    clean = {r["doc_id"]: r["text"] for r in sanitisation.sanitised(frame).collect()}
+    assert "Zyxwname" not in clean[1] and "\u674e" not in clean[1] and common in clean[1]
+    assert "abcdefghijkl" in clean[2] and "mnopqrstuvw" in clean[2] and "q* to [EMAIL]" not in clean[5]
