@@ -2,12 +2,12 @@
 
 Method: Apriori, level by level.  A phrase of k words can only be frequent if
 both phrases of k - 1 words in it are, so words are counted first, then pairs of frequent
-words, then triples of frequent pairs; what is left, with the runs of four words whose
-two triples are frequent, are the candidates.  They go into a double-array trie
-that is broadcast, and numpy moves the states of all word starts of a shard
-of text forward together, one byte a step; the accepting states are
-counted with bincount, and the counts of all shards are added up.  Only these counts
-are used for the result, and the trie compares bytes, so they are exact.
+words, then triples of frequent pairs, then runs of four words.  What is left are
+the candidates.  They go into a double-array trie that is broadcast.  Numpy moves
+the states of all word starts of a shard of text forward together, level by
+level; the accepting states are counted with bincount, and the counts of all
+shards are added up.  Only these counts are used for the result, and the trie
+compares bytes, so they are exact.
 
 The search for candidates works on 64-bit hashes.  What was frequent on a level is
 told to the next by a bitmap of a fixed size: a shared bit lets too much
@@ -33,18 +33,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from cartloom.functions.ordering import global_rank
 from llm.common import is_small, small_batches, stage, text_rows
 from llm.double_array import DoubleArray
 from llm.hashing import mix, slice_hashes
 from llm.sieve import as_array, passes, sieve
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
-BITS = 27
-TRIE_BYTES = 32 << 20
+BITS = 26
+TRIE_BYTES = 24 << 20
 #: Bytes of text worked on at once, and counted keys held by a task.
 SHARD, HELD = 1 << 20, 2_000_000
 
@@ -174,7 +175,7 @@ def _counted(k: int, shared: list, names: list[str]):
 
 
 def _spelled(shared: list, names: list[str]):
-    """Distinct frequent words, pairs and triples, and the runs of four words that may be."""
+    """Distinct words and runs of words that may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieves = [s.value for s in shared]
@@ -184,9 +185,8 @@ def _spelled(shared: list, names: list[str]):
             data = shard.codes.tobytes()
             langs, phrases, new = [], [], []
             for k, (hashes, at) in enumerate(shard.levels(LONGEST, sieves), 1):
-                if k < LONGEST:
-                    passing = passes(sieves[k - 1], hashes)
-                    hashes, at = hashes[passing], at[passing]
+                passing = passes(sieves[k - 1], hashes)
+                hashes, at = hashes[passing], at[passing]
                 hashes, first = np.unique(hashes, return_index=True)
                 fresh = seen[np.minimum(np.searchsorted(seen, hashes), max(0, len(seen) - 1))] != hashes if len(seen) else np.ones(len(hashes), bool)
                 at = at[first[fresh]]
@@ -204,23 +204,29 @@ def _found(shared, names: list[str], roots: list[int], total: bool):
     """How often each phrase of the trie occurs; with ``total`` also the words of each language, below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
+        (trie, number), root = shared.value, np.array(roots, np.int32)
         languages = {name: i for i, name in enumerate(names)}
-        root, counts = np.array(roots), np.zeros(int(trie.accept.max()) + 1, np.int64)
-        words = np.zeros(len(names), np.int64)
+        counts, words = np.zeros(len(number), np.int64), np.zeros(len(names), np.int64)
         for shard in shards(batches, languages):
             starts, language = shard.starts[shard.owned], shard.language[shard.owned]
             words += np.bincount(language, minlength=len(names))
             known = root[language] >= 0
-            found = trie.matches(shard.codes, starts[known], root[language[known]].astype(np.int32), _BOUNDARY)
-            counts += np.bincount(found, minlength=len(counts))
+            counts += np.bincount(trie.matches(shard.codes, starts[known], root[language[known]], _BOUNDARY), minlength=len(counts))
         numbers = np.flatnonzero(counts)
         below = np.flatnonzero(words) if total else np.empty(0, np.int64)
-        yield pa.record_batch({"number": np.concatenate([-1 - below, numbers]), "n": np.concatenate([words[below], counts[numbers]])})
+        yield pa.record_batch({"number": np.concatenate([-1 - below, number[numbers]]), "n": np.concatenate([words[below], counts[numbers]])})
 
     return run
 
 
+def _trie(part: pa.Table) -> DoubleArray:
+    """The trie of the sorted ``key`` column, straight from its buffers."""
+    keys = pa.concat_arrays([*part["key"].chunks, pa.array([], pa.binary())])  # one array that starts at its first byte
+    lengths = pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(keys.buffers()[2] or b"", np.uint8)
+    return DoubleArray(data[: int(lengths.sum())], lengths)
+
+
 def _frequent(rows: DataFrame, k: int, sieves: list, names: list[str], least: int) -> np.ndarray:
     counted = rows.mapInArrow(_counted(k, sieves, names), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     return as_array(sieve(counted.where(F.col("n") >= least).select("key"), BITS), BITS)
@@ -237,29 +243,31 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, trie_bytes: int = TRIE_BY
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]  # languages
     sieves: list = []
-    for k in range(1, LONGEST):
+    for k in range(1, LONGEST + 1):
         sieves.append(context.broadcast(_frequent(rows, k, sieves, names, least)))
     candidates = stage(rows.mapInArrow(_spelled(sieves, names), "lang string, phrase string").distinct(), "candidates")
     size = candidates.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 1)).first()[0] or 0
     slices = 1 + size // trie_bytes
-    counted, words, number = None, None, {name: x for x, name in enumerate(names)}
-    schema = StructType([StructField("number", IntegerType()), StructField("lang", StringType()), StructField("phrase", StringType())])
+    position = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(str(i)))]) if names else F.lit(None).cast("map<string,string>")
+    keyed = candidates.withColumn("key", F.concat(position[F.col("lang")], F.lit("\n"), F.col("phrase")).cast("binary"))
+    numbered = stage(global_rank(keyed, [F.col("key")], "number"), "numbered")
+    counted, words = None, None
     for i in range(slices):
-        part = candidates.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(slices)) == i).toArrow()  # trie_bytes at most
-        keys = [f"{number[a]}\n{b}".encode() for a, b in zip(part["lang"].to_pylist(), part["phrase"].to_pylist())]
-        part = part.append_column("key", pa.array(keys, pa.binary()))
-        part = part.sort_by("key")
-        trie = DoubleArray(part["key"].to_pylist())
+        # about trie_bytes come to the driver
+        part = numbered.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == i).select("number", "key").toArrow().sort_by("number")
+        trie, number = _trie(part), part["number"].to_numpy()
+        del part
         roots = [trie.find(f"{x}\n".encode()) for x in range(len(names))]
-        found = rows.mapInArrow(_found(context.broadcast(trie), names, roots, i == 0), "number bigint, n bigint")
+        shared = context.broadcast((trie, number))
+        del trie, number
+        found = rows.mapInArrow(_found(shared, names, roots, i == 0), "number bigint, n bigint")
         found = stage(found.groupBy("number").agg(F.sum("n").alias("f")), "counts")
+        shared.unpersist()
         if i == 0:
             lengths = found.where("number < 0").select((-1 - F.col("number")).alias("number"), F.col("f").alias("words"))
             languages = spark.createDataFrame(list(enumerate(names)), "number bigint, lang string")
             words = languages.join(F.broadcast(lengths), "number").select("lang", "words")
-        phrases = part.drop_columns(["key"]).add_column(0, "number", pa.array(range(len(part)), pa.int32()))
-        phrases = spark.createDataFrame(phrases) if len(part) else spark.createDataFrame([], schema)
-        known = phrases.join(found.where(F.col("f") >= least), "number").select("lang", "phrase", "f")
+        known = numbered.join(found.where(F.col("f") >= least), "number").select("lang", "phrase", "f")
         counted = known if counted is None else counted.unionByName(known)
     return stage(counted, "phrases"), words
 
