@@ -17,48 +17,48 @@ from pyspark.sql import Window
 from cartloom.functions.scalars import with_row
 from cartloom.functions.staging import stage
 
-_SEQ, _PART, _LOCAL = "_seq", "_part", "_local"
+_SEQ, PART, LOCAL = "_seq", "_part", "_local"
 _LOCAL_BITS = 33
 _COPIES_PER_BLOCK = 100_000
 
 
-def _sorted_stage(df: DataFrame, keys: Sequence[Column], label: str) -> DataFrame:
+def sorted_stage(df: DataFrame, keys: Sequence[Column], label: str) -> DataFrame:
     """Range-sort on ``keys`` and stage with (part, position in part)."""
     ordered = df.orderBy(*keys).withColumn(_SEQ, F.monotonically_increasing_id())
     return (
         stage(ordered, label)
-        .withColumn(_PART, F.shiftright(_SEQ, _LOCAL_BITS))
-        .withColumn(_LOCAL, F.col(_SEQ).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+        .withColumn(PART, F.shiftright(_SEQ, _LOCAL_BITS))
+        .withColumn(LOCAL, F.col(_SEQ).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
         .drop(_SEQ)
     )
 
 
 def _before(per_part: DataFrame, amount: str) -> DataFrame:
     """Total of all earlier parts; one row per sort task, so a plain window is bounded."""
-    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    return per_part.select(_PART, F.coalesce(F.sum(amount).over(earlier), F.lit(0)).alias("_offset"))
+    earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    return per_part.select(PART, F.coalesce(F.sum(amount).over(earlier), F.lit(0)).alias("_offset"))
 
 
 def global_rank(df: DataFrame, keys: Sequence[Column], name: str = "rank") -> DataFrame:
     """Add the 1-based position of each row in the order of ``keys``."""
-    staged = _sorted_stage(df, keys, "rank")
-    sizes = staged.groupBy(_PART).agg(F.count(F.lit(1)).alias("_size"))
+    staged = sorted_stage(df, keys, "rank")
+    sizes = staged.groupBy(PART).agg(F.count(F.lit(1)).alias("_size"))
     return (
-        staged.join(F.broadcast(_before(sizes, "_size")), _PART)
-        .withColumn(name, F.col("_offset") + F.col(_LOCAL) + F.lit(1))
-        .drop(_PART, _LOCAL, "_offset")
+        staged.join(F.broadcast(_before(sizes, "_size")), PART)
+        .withColumn(name, F.col("_offset") + F.col(LOCAL) + F.lit(1))
+        .drop(PART, LOCAL, "_offset")
     )
 
 
 def _accumulated(staged: DataFrame, weight: str, name: str) -> DataFrame:
     """Sum of ``weight`` over all rows of a sorted stage that come before each row."""
-    sizes = staged.groupBy(_PART).agg(F.sum(weight).alias("_size"))
-    inside = Window.partitionBy(_PART).orderBy(_LOCAL).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = staged.groupBy(PART).agg(F.sum(weight).alias("_size"))
+    inside = Window.partitionBy(PART).orderBy(LOCAL).rowsBetween(Window.unboundedPreceding, -1)
     return (
         staged.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(F.broadcast(_before(sizes, "_size")), _PART)
+        .join(F.broadcast(_before(sizes, "_size")), PART)
         .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop(_PART, _LOCAL, "_offset", "_inside")
+        .drop(PART, LOCAL, "_offset", "_inside")
     )
 
 
@@ -67,7 +67,7 @@ def running_total(df: DataFrame, keys: Sequence[Column], weight: str, name: str
 
     Feed it grouped rows: each sort task then walks its own short run.
     """
-    return _accumulated(_sorted_stage(df, keys, "running"), weight, name)
+    return _accumulated(sorted_stage(df, keys, "running"), weight, name)
 
 
 def value_frequencies(
@@ -99,7 +99,7 @@ def exact_quantiles(
     be a label with a fixed, small set of values (segments, bands, clusters).
     """
     group = [*by, "metric"]
-    staged = _sorted_stage(
+    staged = sorted_stage(
         value_frequencies(df, columns, by), [F.col(c) for c in (*group, "value")], "quantiles"
     )
     counted = _accumulated(staged, "copies", "before")
