@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartloom.functions.numeric import flag_count, ratio, round_even
-from cartloom.functions.ordering import exact_quantiles, expand_copies, global_rank
+from cartloom.functions.ordering import exact_quantiles, global_rank
 from cartloom.functions.scalars import with_row
 
 RAW_DATE_FORMAT = "M/d/yyyy H:mm"
@@ -68,13 +69,20 @@ def detect_returns(lines: DataFrame) -> DataFrame:
     )
 
 
+def line_amount(lines: DataFrame) -> Column:
+    """Price times quantity with all decimals of the price."""
+    kind, amount = lines.schema["Price"].dataType, F.col("Price") * F.col("Quantity")
+    # up to 18 digits a decimal is one machine word
+    return amount.cast(T.DecimalType(18, kind.scale)) if isinstance(kind, T.DecimalType) and kind.precision <= 18 else amount
+
+
 def apply_business_rules(lines: DataFrame) -> DataFrame:
     """Drop non-positive customer ids (null stays) and add the line amount."""
     customer = F.col("CustomerID")
     out = lines.where(customer.isNull() | (customer > 0)) if "CustomerID" in lines.columns else lines
     if not {"Price", "Quantity"} <= set(lines.columns):
         return out
-    return out.withColumn("TotalAmount", (F.col("Price") * F.col("Quantity")).cast("decimal(18,2)"))
+    return out.withColumn("TotalAmount", line_amount(out))
 
 
 def business_rule_notes(lines: DataFrame) -> DataFrame:
@@ -162,58 +170,74 @@ def clean_dataset_lib(
     return out.transform(apply_business_rules).transform(narrow_types)
 
 
-def cleaning_report(lines: DataFrame) -> DataFrame:
-    """Rows before and after and the steps that had something to do, in one pass over grouped rows."""
-    copies = lines.groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    price, customer = F.col("Price"), F.col("CustomerID")
-    complete = F.lit(True)
-    for c in [*KEY_COLUMNS, "Price", "Quantity"]:
-        complete = complete & F.col(c).isNotNull()
-    kept = complete & (price != 0)
-    valid = customer.isNull() | (customer > 0)
-    is_return = F.coalesce(F.col("Invoice").startswith("C"), F.lit(False))
+def cleaning_report(
+    lines: DataFrame,
+    handle_missing: bool = True,
+    remove_duplicates: bool = True,
+    parse: bool = True,
+    returns: bool = True,
+) -> DataFrame:
+    """Rows and columns before and after :func:`clean_dataset_lib` with the same switches, and the steps that had something to do.
 
-    def lines_where(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col("_copies")).otherwise(0))
+    One pass over grouped rows.  Steps over absent columns are left out, as in the cleaning.
+    """
+    copies = lines.groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    has = set(lines.columns).__contains__
+    always, never = F.lit(True), F.lit(False)
+    nulls = {c: F.col(c).isNull() for c in [*KEY_COLUMNS, "Quantity"] if has(c)}
+    if has("Price"):
+        nulls["Price"] = F.col("Price").isNull() | (F.col("Price") == 0)
+    kept = always
+    if handle_missing:
+        for gap in nulls.values():
+            kept = kept & ~gap
+    kept = F.coalesce(kept, never)
+    valid = F.col("CustomerID").isNull() | (F.col("CustomerID") > 0) if has("CustomerID") else always
+    returned = F.coalesce(F.col("Invoice").startswith("C"), never) if has("Invoice") else never
+    returned = returned & (F.col("Quantity") > 0) if has("Quantity") else never
+    expensive = F.col("Price") > HIGH_PRICE if has("Price") else never
+    # copies of a row count once when duplicates go
+    weight = F.lit(1) if remove_duplicates else F.col("_copies")
+
+    def rows_where(condition: Column, each: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, each)), F.lit(0))
 
     stats = copies.agg(
-        F.sum("_copies").alias("rows_before"),
-        flag_count(kept & valid).alias("rows_after"),
-        lines_where(customer.isNull()).alias("null_customers"),
-        *[lines_where(F.col(c).isNull()).alias(f"null_{c}") for c in [*KEY_COLUMNS, "Quantity"]],
-        lines_where(price.isNull() | (price == 0)).alias("bad_prices"),
-        (lines_where(kept) - flag_count(kept)).alias("duplicates"),
-        flag_count(kept & is_return & (F.col("Quantity") > 0)).alias("odd_returns"),
-        flag_count(kept & (price > HIGH_PRICE)).alias("expensive"),
-        flag_count(kept & ~valid).alias("bad_customers"),
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_before"),
+        rows_where(kept & valid, weight).alias("rows_after"),
+        *[rows_where(gap, F.col("_copies")).alias(f"null_{c}") for c, gap in nulls.items()],
+        rows_where(kept, F.col("_copies") - 1).alias("duplicates"),
+        rows_where(kept & returned, weight).alias("odd_returns"),
+        rows_where(kept & expensive, weight).alias("expensive"),
+        rows_where(kept & ~valid, weight).alias("bad_customers"),
     )
+    any_gap = sum((F.col(f"null_{c}") for c in nulls), F.lit(0)) > 0
     # Step tags are fixed values.
-    tags = [
-        (F.col("null_customers") >= 0, "customer_id_nulls_preserved"),
-        (F.col("null_Description") > 0, "missing_descriptions_removed"),
-        (F.col("null_Invoice") > 0, "missing_invoices_removed"),
-        (F.col("null_StockCode") > 0, "missing_stockcodes_removed"),
-        (F.col("bad_prices") > 0, "invalid_prices_removed"),
-        (F.col("null_Quantity") > 0, "missing_quantities_removed"),
-        (F.lit(True), "missing_values_handled"),
-        (F.col("duplicates") > 0, "duplicates_removed"),
-        (F.lit(True), "date_parsing"),
-        (F.lit(True), "temporal_features_created"),
-        (F.lit(True), "returns_detected"),
-        (F.lit(True), "invoice_cleaned"),
-        (F.col("odd_returns") > 0, "return_quantity_inconsistency_noted"),
-        (F.col("expensive") > 0, "expensive_items_flagged"),
-        (F.col("bad_customers") > 0, "invalid_customer_ids_removed"),
-        (F.lit(True), "total_amount_calculated"),
-        (F.lit(True), "business_rules_validated"),
-        (F.lit(True), "data_types_optimized"),
-    ]
+    gaps = {
+        "Description": "missing_descriptions_removed",
+        "Invoice": "missing_invoices_removed",
+        "StockCode": "missing_stockcodes_removed",
+        "Price": "invalid_prices_removed",
+        "Quantity": "missing_quantities_removed",
+    }
+    tags = []
+    if handle_missing:
+        tags += [(always, "customer_id_nulls_preserved")] * has("CustomerID")
+        tags += [(F.col(f"null_{c}") > 0, tag) for c, tag in gaps.items() if c in nulls]
+        tags += [(always if has("CustomerID") else any_gap, "missing_values_handled")]
+    tags += [(F.col("duplicates") > 0, "duplicates_removed")] * remove_duplicates
+    tags += [(always, "date_parsing"), (always, "temporal_features_created")] * (parse and has("InvoiceDate"))
+    tags += [(always, "returns_detected"), (always, "invoice_cleaned"), (F.col("odd_returns") > 0, "return_quantity_inconsistency_noted")] * (returns and has("Invoice"))
+    tags += [(F.col("expensive") > 0, "expensive_items_flagged"), (F.col("bad_customers") > 0, "invalid_customer_ids_removed")]
+    tags += [(always, "total_amount_calculated")] * (has("Price") and has("Quantity"))
+    tags += [(always, "business_rules_validated"), (always, "data_types_optimized")]
+    added = 4 * (parse and has("InvoiceDate")) + 2 * (returns and has("Invoice")) + (has("Price") and has("Quantity"))
     steps = F.array_compact(F.array(*[F.when(cond, F.lit(tag)) for cond, tag in tags]))
     return stats.select(
         "rows_before",
         "rows_after",
         F.lit(len(lines.columns)).alias("columns_before"),
-        F.lit(len(lines.columns) + 7).alias("columns_after"),
+        F.lit(len(lines.columns) + added).alias("columns_after"),
         F.array_join(steps, ", ").alias("steps"),
     )
 
@@ -231,15 +255,14 @@ def guest_lines(lines: DataFrame) -> DataFrame:
     """Anonymous lines only, each with its own guest id.
 
     Guests are numbered from 0 in the order of all columns (nulls first).
-    Equal lines are counted first and spread out again with an ordinal, which
-    is the last sort key: a hot group of copies is split like any other range.
+    The lines move once, into sorted files; a guest's number is the line's
+    position in its file and the length of the files before.  Where a line
+    was read comes last in the order, so a hot group of equal lines is split like any other range.
     """
-    rest = [c for c in lines.columns if c != "CustomerID"]
-    counted = (
-        lines.where(F.col("CustomerID").isNull()).groupBy(*rest).agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    keys = [F.col(c).asc_nulls_first() for c in sorted(rest)]
-    numbered = global_rank(expand_copies(counted, "_copies", "_nth"), [*keys, F.col("_nth")], "_number")
+    rest = sorted(c for c in lines.columns if c != "CustomerID")
+    anonymous = lines.where(F.col("CustomerID").isNull()).drop("CustomerID").withColumn("_read", F.monotonically_increasing_id())
+    keys = [*(F.col(c).asc_nulls_first() for c in rest), F.col("_read")]
+    numbered = global_rank(anonymous, keys, "_number")
     return numbered.withColumn("CustomerID", F.format_string(GUEST_FORMAT, F.col("_number") - 1)).select(*lines.columns)
 
 
@@ -249,7 +272,7 @@ def assign_guests(lines: DataFrame) -> DataFrame:
 
 
 def business_logic(lines: DataFrame) -> DataFrame:
-    amount = (F.col("Quantity") * F.col("Price")).cast("decimal(18,2)")
+    amount = line_amount(lines)
     is_return = F.coalesce(F.col("Invoice").startswith("C"), F.lit(False))
     doubtful = (F.col("Price") <= 0) | (F.col("Quantity") == 0) | (F.col("Total_Amount") == 0)
     return lines.withColumns(

@@ -61,7 +61,7 @@ SELECT * FROM raw WHERE "Description" IS NOT NULL AND "Invoice" IS NOT NULL AND
 SELECT "Invoice","StockCode","Description","Quantity", parsed_at AS "InvoiceDate","Price","CustomerID","Country",
  year(parsed_at) AS "Year", month(parsed_at) AS "Month", isodow(parsed_at)-1 AS "DayOfWeek", hour(parsed_at) AS "Hour",
  starts_with("Invoice",'C') AS "IsReturn", regexp_replace("Invoice",'^C','') AS "InvoiceClean",
- CAST("Price"*"Quantity" AS DECIMAL(18,2)) AS "TotalAmount"
+ "Price"*"Quantity" AS "TotalAmount"
 FROM (SELECT DISTINCT *, try_strptime("InvoiceDate", '%m/%d/%Y %H:%M') AS parsed_at FROM kept_lib)
 WHERE "CustomerID" IS NULL OR "CustomerID" > 0""",
     "typed_nb": """
@@ -75,7 +75,7 @@ FROM typed_nb WHERE "CustomerID" IS NULL
 UNION ALL SELECT * FROM typed_nb WHERE "CustomerID" IS NOT NULL""",
     "logic_nb": """
 SELECT *, CASE WHEN coalesce(starts_with("Invoice",'C'),false) THEN 'RETURN' ELSE 'SALE' END AS "Transaction_Type",
- CAST("Quantity"*"Price" AS DECIMAL(18,2)) AS "Total_Amount",
+ "Quantity"*"Price" AS "Total_Amount",
  coalesce("Price"<=0 OR "Quantity"=0 OR "Quantity"*"Price"=0, false) AS "Suspicious"
 FROM (SELECT DISTINCT * FROM guested)""",
     "fences": """

@@ -52,7 +52,7 @@ def clean_detect_returns(m):
 
 @query(
     "clean_business_rules",
-    f"""SELECT r.* REPLACE ({_P}), CAST("Price"*"Quantity" AS DECIMAL(18,2))::DOUBLE AS "TotalAmount", n.* FROM raw r,
+    f"""SELECT r.* REPLACE ({_P}), ("Price"*"Quantity")::DOUBLE AS "TotalAmount", n.* FROM raw r,
  (SELECT count(*) FILTER (starts_with("Invoice",'C') AND "Quantity">0) AS returns_with_positive_quantity, count(*) FILTER ("Price">1000) AS expensive_lines,
   count(*) FILTER ("CustomerID"<=0) AS invalid_customers FROM raw) n WHERE "CustomerID" IS NULL OR "CustomerID">0""",
 )
@@ -76,12 +76,12 @@ def clean_optimize_types(m):
 @query(
     "clean_quality_score",
     """SELECT *, round_even(least(100,greatest(0,(1-missing_cells::DOUBLE/(rows*5))*30+(1-(rows-distinct_rows)::DOUBLE/rows)*20+(1-bad_prices::DOUBLE/rows)*25+(1-bad_dates::DOUBLE/rows)*25)),4) AS quality_score FROM (
- SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM logic_nb)) AS distinct_rows,
+ SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM cleaned_lib)) AS distinct_rows,
  sum(("Invoice" IS NULL)::INTEGER+("StockCode" IS NULL)::INTEGER+("Description" IS NULL)::INTEGER+("Price" IS NULL)::INTEGER+("Quantity" IS NULL)::INTEGER)::BIGINT AS missing_cells,
- count(*) FILTER ("Price"<=0) AS bad_prices, count(*) FILTER ("InvoiceDate" IS NULL) AS bad_dates FROM logic_nb)""",
+ count(*) FILTER ("Price"<=0) AS bad_prices, count(*) FILTER ("InvoiceDate" IS NULL) AS bad_dates FROM cleaned_lib)""",
 )
 def clean_quality_score(m):
-    return cleaning.cleaned_quality_score(m.cleaned)
+    return cleaning.cleaned_quality_score(m.cleaned_lib)
 
 
 @query("clean_dataset_lib", f"""SELECT * REPLACE ({_AT}, {_P}, "TotalAmount"::DOUBLE AS "TotalAmount") FROM cleaned_lib""")

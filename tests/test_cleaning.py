@@ -94,3 +94,38 @@ def test_absent_columns_are_passed_over(spark):
     assert sorted(r.RandomColumn for r in cleaning.clean_dataset_lib(frame).collect()) == [1, 2, 3]
     priced = spark.createDataFrame([("536365", 0.0), (None, 2.0), ("C536366", 3.0)], "Invoice string, Price double")
     assert [(r.Invoice, r.InvoiceClean, r.IsReturn) for r in cleaning.clean_dataset_lib(priced).collect()] == [("C536366", "536366", True)]
+
+
+def test_amounts_keep_all_decimals_of_the_price(lines):
+    one = lines([{"Quantity": 1}]).withColumn("Price", F.lit("0.001").cast("decimal(18,4)"))
+    assert float(cleaning.clean_dataset_lib(one).first()["TotalAmount"]) == 0.001
+    assert float(cleaning.clean_dataset_nb(one).first()["Total_Amount"]) == 0.001
+    row = cleaning.clean_dataset_nb(one).first()
+    assert not row["Suspicious"]
+    assert cleaning.apply_business_rules(one.withColumn("Price", F.lit(0.0005))).first()["TotalAmount"] == 0.0005
+
+
+def test_report_follows_switches_and_columns(lines, spark):
+    switches = ("handle_missing", "remove_duplicates", "parse", "returns")
+    df = lines([{}, {}, {"Description": None}, {"Description": None}, {"Price": 2000, "Invoice": "C1"}, {"CustomerID": -4}, {"Price": 0}])
+    frames = [df, df.drop("CustomerID"), df.drop("Price"), df.drop("Quantity", "Invoice"), df.select("Country"), df.limit(0)]
+    for frame in frames:
+        for n in range(16):
+            chosen = {s: bool(n >> i & 1) for i, s in enumerate(switches)}
+            row, out = cleaning.cleaning_report(frame, **chosen).first(), cleaning.clean_dataset_lib(frame, **chosen)
+            assert (row["rows_before"], row["rows_after"]) == (frame.count(), out.count()), (frame.columns, chosen)
+            assert (row["columns_before"], row["columns_after"]) == (len(frame.columns), len(out.columns))
+            assert ("date_parsing" in row["steps"]) == ("Year" in out.columns)
+            assert ("returns_detected" in row["steps"]) == ("IsReturn" in out.columns)
+            assert ("total_amount_calculated" in row["steps"]) == ("TotalAmount" in out.columns)
+    steps = cleaning.cleaning_report(df, handle_missing=False, remove_duplicates=False).first()["steps"].split(", ")
+    assert "missing_values_handled" not in steps and "duplicates_removed" not in steps and "invalid_customer_ids_removed" in steps
+    assert cleaning.cleaning_report(df.select("Country")).first()["steps"] == "duplicates_removed, business_rules_validated, data_types_optimized"
+
+
+def test_guests_move_once_and_a_hot_line_is_split(lines, spark):
+    df = cleaning.infer_types(lines([{"CustomerID": None}] * 30 + [{"CustomerID": None, "Country": None}]))
+    plan = cleaning.guest_lines(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan
+    got = {r["Country"]: r["CustomerID"] for r in cleaning.guest_lines(df).collect() if r["Country"] is None}
+    assert got == {None: "GUEST_000000"}
