@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,14 +55,49 @@ def detect_separator(spark: SparkSession, path: str) -> str:
     return SEPARATORS[max(range(len(SEPARATORS)), key=lambda i: (row[i], -i))]
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """utf-8 when every line is valid utf-8, else iso-8859-1.
+#: Lines at the start of each split that the encoding is judged by.
+SAMPLE_LINES = 10_000
+#: What a reader puts where bytes fit no character.
+UNREADABLE = "\ufffd"
 
-    The lines keep their raw bytes, so the check runs where the files are
-    split; it stops at the first bad line.  Name the encoding to skip it.
+
+def _first_lines(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows and bad rows among the first ``limit`` of a split; the rest of it is not asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = bad = 0
+        for batch in batches:
+            part = batch.slice(0, limit - lines)
+            lines += part.num_rows
+            bad += int(part.column("bad").to_numpy(zero_copy_only=False).sum())
+            if lines >= limit:
+                break
+        yield pa.record_batch({"lines": pa.array([lines], pa.int64()), "bad": pa.array([bad], pa.int64())})
+
+    return run
+
+
+def detect_encoding(spark: SparkSession, path: str, sample_lines: int | None = SAMPLE_LINES) -> str:
+    """utf-8 when the sampled lines are valid utf-8, else iso-8859-1.
+
+    Each split of the files is read up to ``sample_lines``, so the bytes
+    looked at are bounded by the number of splits; None reads every line and stops at the first
+    bad one.  Name the encoding to skip it; :func:`unreadable_lines` tells
+    afterwards what an encoding did not fit.
     """
-    lines = spark.read.text(path)
-    return "utf-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "iso-8859-1"
+    lines = spark.read.text(path).select((~F.is_valid_utf8("value")).alias("bad"))
+    if sample_lines is None:
+        return "utf-8" if lines.where("bad").isEmpty() else "iso-8859-1"
+    found = lines.mapInArrow(_first_lines(sample_lines), "lines bigint, bad bigint").agg(F.sum("bad").alias("bad"))
+    return "iso-8859-1" if found.first()["bad"] else "utf-8"
+
+
+def unreadable_lines(scanned: DataFrame) -> Column:
+    """Number of lines with bytes that the encoding they were read with has no character for."""
+    bad = F.lit(False)
+    for c in scanned.columns:
+        bad = bad | F.coalesce(F.col(c).contains(UNREADABLE), F.lit(False))
+    return F.count(F.when(bad, 1))
 
 
 def csv_scan(
@@ -120,41 +157,66 @@ def file_catalog(spark: SparkSession, path: str, pattern: str = "*.csv") -> Data
 
 
 def file_preview(spark: SparkSession, path: str, n: int = 5, **options) -> DataFrame:
-    """Size and time of the source next to its first rows."""
+    """Size and time of the source next to its first rows in the order of all columns."""
     info = file_catalog(spark, path).agg(
         F.round(F.sum("length") / F.lit(1024.0 * 1024.0), 2).alias("size_mb"), F.max("modificationTime").alias("modified")
     )
-    return csv_scan(spark, path, **options).limit(n).transform(with_row, info)
+    scanned = csv_scan(spark, path, **options)
+    return scanned.orderBy(*[F.col(c).asc_nulls_first() for c in scanned.columns]).limit(n).transform(with_row, info)
 
 
 def load_metrics(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None) -> DataFrame:
-    """Rows, columns, megabytes, seconds and encoding of one load."""
+    """Rows, columns, megabytes, seconds and encoding of one load.
+
+    The load parses every line and column; it is timed from the first look at
+    the files to the last row, and counts its rows on the way.
+    """
     began = time.perf_counter()
     encoding = encoding or detect_encoding(spark, path)
-    scanned = csv_scan(spark, path, encoding, separator)
-    rows = scanned.agg(F.count(F.lit(1)).alias("rows"))
+    # observed in a session of its own: one that has observed can no longer ship models it has fitted
+    scanned = csv_scan(spark.newSession(), path, encoding, separator)
+    seen = Observation()
+    counted = scanned.observe(seen, F.count(F.lit(1)).alias("rows"), unreadable_lines(scanned).alias("unreadable"))
+    counted.write.format("noop").mode("overwrite").save()
+    seconds, found = time.perf_counter() - began, seen.get
     size = file_catalog(spark, path).agg((F.sum("length") / F.lit(1024.0 * 1024.0)).alias("file_size_mb"))
-    planned = time.perf_counter() - began
-    return rows.transform(with_row, size).select(
-        "rows",
+    return size.select(
+        F.lit(found["rows"]).cast("bigint").alias("rows"),
         F.lit(len(scanned.columns)).alias("columns"),
         "file_size_mb",
-        F.lit(planned).alias("planning_seconds"),
+        F.lit(seconds).alias("loading_seconds"),
         F.lit(encoding).alias("encoding"),
+        F.lit(found["unreadable"]).cast("bigint").alias("unreadable_lines"),
+    )
+
+
+def listing(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of the files below ``path`` from another: how many, their length, latest time and a hash of all."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    row = files.select("path", "length", "modificationTime").agg(
+        F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"),
+        F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")),
     )
+    return tuple(row.first())
 
 
 class ScanCache:
-    """Scans kept per (path, encoding, separator); ``force`` drops and rereads."""
+    """Scans kept per (path, encoding, separator) as long as the files stay as they are; ``force`` drops and rereads."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._kept: dict[tuple[str, str | None, str | None], DataFrame] = {}
+        self._kept: dict[tuple[str, str | None, str | None], tuple[tuple, DataFrame]] = {}
 
     def load(self, path: str, encoding: str | None = None, separator: str | None = None, force: bool = False) -> DataFrame:
         key = (path, encoding, separator)
-        if force and key in self._kept:
-            self._kept.pop(key).unpersist()
+        try:
+            now = listing(self.spark, path)
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" in str(error):
+                raise FileNotFoundError(path) from error
+            raise
+        if key in self._kept and (force or self._kept[key][0] != now):
+            self._kept.pop(key)[1].unpersist()
         if key not in self._kept:
-            self._kept[key] = csv_scan(self.spark, path, encoding, separator).persist(StorageLevel.MEMORY_AND_DISK)
-        return self._kept[key]
+            self._kept[key] = now, csv_scan(self.spark, path, encoding, separator).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._kept[key][1]

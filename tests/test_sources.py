@@ -51,6 +51,50 @@ def test_catalog_and_cache(spark, tmp_path):
     assert cache.load(path, force=True).count() == 1
 
 
+def test_a_changed_file_is_read_again(spark, tmp_path):
+    cache, path = files.ScanCache(spark), tmp_path / "a.csv"
+    path.write_text("x,y\n1,2\n")
+    first = cache.load(str(path))
+    assert [tuple(r) for r in first.collect()] == [("1", "2")]
+    path.write_text("x,y\n1,2\n30,40\n")
+    again = cache.load(str(path))
+    assert again is not first and again.count() == 2
+    assert cache.load(str(path)) is again
+    with pytest.raises(FileNotFoundError):
+        cache.load(str(tmp_path / "none.csv"))
+
+
+def test_a_changed_table_is_seen_by_the_next_query(spark, sf_dir, tmp_path):
+    import shutil
+
+    from cartloom.plans.mart import GIVEN, mart_for
+
+    for name in GIVEN:
+        shutil.copy(f"{sf_dir}/{name}.parquet", tmp_path / f"{name}.parquet")
+    mart = mart_for(spark, str(tmp_path))
+    before = mart.orders.count()
+    assert mart_for(spark, str(tmp_path)) is mart
+    fewer = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 2 = 0").toPandas()
+    fewer.to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    assert mart_for(spark, str(tmp_path)).orders.count() == len(fewer) < before
+
+
+def test_encoding_is_judged_by_the_first_lines_of_every_split(spark, tmp_path):
+    body = b"Invoice,Country\n" + b"1,France\n" * 50 + "2,Réunion\n".encode("iso-8859-1")
+    (tmp_path / "l.csv").write_bytes(body)
+    assert files.detect_encoding(spark, str(tmp_path), sample_lines=20) == "utf-8"
+    assert files.detect_encoding(spark, str(tmp_path), sample_lines=None) == "iso-8859-1"
+    wrong = files.csv_scan(spark, str(tmp_path), "utf-8", ",")
+    assert wrong.agg(files.unreadable_lines(wrong)).first()[0] == 1
+
+
+def test_a_load_counts_its_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x;y\n1;é\n2;\n")
+    row = files.load_metrics(spark, str(tmp_path / "a.csv")).first()
+    assert (row["rows"], row["columns"], row["encoding"], row["unreadable_lines"]) == (2, 2, "utf-8", 0)
+    assert row["loading_seconds"] > 0 and row["file_size_mb"] == (tmp_path / "a.csv").stat().st_size / 1024 / 1024
+
+
 def test_absent_targets_are_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, "A"), (2, "B")], "customer_id int, target string")
     path = str(tmp_path / "segments")
