@@ -320,9 +320,17 @@ def effort_impact(potential: DataFrame) -> DataFrame:
     )
 
 
-def message_assignment(targets: DataFrame) -> DataFrame:
-    messages = rules.frame(targets.sparkSession, rules.MESSAGES, rules.MESSAGE_SCHEMA)
-    return targets.select("customer_id", "target").join(F.broadcast(messages), "target")
+def message_assignment(targets: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """The message of each (customer, target).
+
+    ``templates`` is the caller's table of texts, one row for each target with
+    whatever columns it has; without it the built-in offers are sent.  Targets
+    without a template get no message.
+    """
+    messages = rules.frame(targets.sparkSession, rules.MESSAGES, rules.MESSAGE_SCHEMA) if templates is None else templates
+    chosen = targets.select("customer_id", "target")
+    # the built-in table has a row for each target; Spark sizes a caller's
+    return chosen.join(F.broadcast(messages) if templates is None else messages, "target")
 
 
 def message_costs(assigned: DataFrame) -> DataFrame:

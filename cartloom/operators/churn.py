@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from cartloom.functions.numeric import (
 )
 from cartloom.functions.ordering import exact_quantiles
 from cartloom.functions.scalars import with_row
+from cartloom.operators.modelling import prepared
+from cartloom.sources.tables import ModelRegistry
 
 CHURN_DAYS = 90
 RECENT_DAYS = 90
@@ -32,6 +35,13 @@ MODEL_FEATURES = [
     "order_frequency_trend", "spending_volatility", "engagement_score", "is_one_time_customer",
 ]
 OPTIONAL_FEATURES = ["product_diversity", "clv_estimated"]
+#: The model that scores unless another is named.
+DEFAULT_MODEL = "random_forest"
+
+
+def model_features(frame: DataFrame) -> list[str]:
+    """Inputs of the churn models, the optional ones where the frame has them."""
+    return MODEL_FEATURES + [c for c in OPTIONAL_FEATURES if c in frame.columns]
 
 
 def churn_features(orders: DataFrame, external: DataFrame | None = None) -> DataFrame:
@@ -223,17 +233,31 @@ def recency_score(labelled: DataFrame) -> DataFrame:
     )
 
 
-def as_predictions(scores: DataFrame, model: str, on: str) -> DataFrame:
+def as_predictions(scores: DataFrame, model: str, on: str | Column) -> DataFrame:
     """Score rows in the shape later steps expect."""
     return scores.select(
         "customer_id",
         F.col("score").alias("churn_probability"),
         risk_category(F.col("score")).alias("risk_category"),
         F.lit(model).alias("model_used"),
-        F.lit(on).alias("prediction_date"),
+        (F.lit(on) if isinstance(on, str) else on).alias("prediction_date"),
     )
 
 
+def predict_risk(registry: ModelRegistry, customers: DataFrame, model_name: str = DEFAULT_MODEL, on: str | None = None) -> DataFrame:
+    """Risk of every customer by a saved model, looked up by name; an unknown name is a ValueError.
+
+    The model's own feature list is used.  The date is that of the latest order the
+    customers have, where none is given.
+    """
+    model, info = registry.load(customers.sparkSession, model_name)
+    ready = prepared(customers, info["feature_names"])
+    latest = customers.agg(F.date_format(F.max("last_order_date"), "yyyy-MM-dd").alias("_on"))
+    dated = ready.withColumn("_on", F.lit(on)) if on else ready.transform(with_row, latest)
+    scores = model.transform(dated).select("customer_id", vector_to_array("probability")[1].alias("score"), "_on")
+    return as_predictions(scores, model_name, F.col("_on"))
+
+
 def risk_band_analysis(features: DataFrame, probability: str = "churn_probability") -> DataFrame:
     n, p = F.count(F.lit(1)), F.col(probability)
     return (

@@ -120,7 +120,7 @@ def segment_analysis(customers: DataFrame, by: str, with_diversity: bool = False
 
 
 def segment_insights(customers: DataFrame) -> DataFrame:
-    """Best segment by revenue, share of the top fifth, share of one-order customers."""
+    """Best segment by revenue, share of the top fifth, share of one-order customers, and the best cluster where there are clusters."""
     per = customers.groupBy("rfm_segment").agg(F.sum(F.col("monetary").cast("decimal(28,2)")).alias("_revenue"))
     best = per.agg(F.max_by("rfm_segment", F.struct("_revenue", "rfm_segment")).alias("top_segment"))
     share = top_share(customers, F.col("monetary"))
@@ -128,17 +128,11 @@ def segment_insights(customers: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_customers"),
         round_even(ratio(F.count(F.when(F.col("frequency") == 1, 1)), F.count(F.lit(1))) * 100, 1).alias("one_shot_pct"),
     )
-    return (
-        best.transform(with_row, share)
-        .transform(with_row, once)
-        .select(
-            "top_segment",
-            pct("top_total", "grand_total", 1).alias("top_20_revenue_share"),
-            "one_shot_pct",
-            "total_customers",
-            F.col("grand_total").alias("total_revenue"),
-        )
-    )
+    found = best.transform(with_row, share).transform(with_row, once)
+    names = ["top_segment", pct("top_total", "grand_total", 1).alias("top_20_revenue_share"), "one_shot_pct", "total_customers", F.col("grand_total").alias("total_revenue")]
+    if "cluster" in customers.columns:
+        found, names = found.transform(with_row, cluster_insight(customers)), [*names, "highest_value_cluster"]
+    return found.select(*names)
 
 
 def cluster_insight(customers: DataFrame) -> DataFrame:

@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import (
-    BinaryClassificationEvaluator,
-    ClusteringEvaluator,
-    MulticlassClassificationEvaluator,
-    RegressionEvaluator,
-)
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,13 +45,18 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.transform(with_row, stats).withColumns(scaled).drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
 
 
+def _for_iteration(df: DataFrame, label: str) -> DataFrame:
+    """Staged in files of a task's size: fits start thousands of small jobs, each with as many tasks as there are parts."""
+    return stage(df.hint("rebalance"), label)
+
+
 def vector_table(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, standardised feature vector) without incomplete rows, staged for iteration."""
     complete = df.select(key, *columns).dropna(subset=columns)
     scaled = standardized(complete, columns)
-    return stage(
-        scaled.select(key, F.array(*[dbl(c) for c in columns]).alias("_a")), "vectors"
-    ).select(key, array_to_vector("_a").alias("features"))
+    return _for_iteration(scaled.select(key, F.array(*[dbl(c) for c in columns]).alias("_a")), "vectors").select(
+        key, array_to_vector("_a").alias("features")
+    )
 
 
 # -- clustering -----------------------------------------------------------------------
@@ -63,7 +64,7 @@ def vector_table(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 STEPS = 300
 
 
-def best_kmeans(vectors: DataFrame, k: int = 5, restarts: int = 10, seed: int = SEED, parallelism: int = 4):
+def best_kmeans(vectors: DataFrame, k: int = 5, restarts: int = 10, seed: int = SEED, parallelism: int = 8):
     """The cheapest of several seeded runs over the same cached vectors."""
     vectors = vectors.cache()
 
@@ -79,17 +80,21 @@ def best_kmeans(vectors: DataFrame, k: int = 5, restarts: int = 10, seed: int =
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def kmeans_clusters(features: DataFrame, key: str, columns: list[str], k: int = 5, restarts: int = 10, seed: int = SEED) -> DataFrame:
-    """(key, cluster, pca_1, pca_2)."""
-    vectors = vector_table(features, key, columns)
+def kmeans_of(vectors: DataFrame, key: str, k: int = 5, restarts: int = 10, seed: int = SEED) -> DataFrame:
+    """(key, cluster, pca_1, pca_2) of standardised vectors."""
     model = best_kmeans(vectors, k, restarts, seed)
     projected = PCA(k=2, inputCol="features", outputCol="pca").fit(vectors).transform(model.transform(vectors))
     point = vector_to_array("pca")
     return projected.select(key, "cluster", point[0].alias("pca_1"), point[1].alias("pca_2"))
 
 
+def kmeans_clusters(features: DataFrame, key: str, columns: list[str], k: int = 5, restarts: int = 10, seed: int = SEED) -> DataFrame:
+    """(key, cluster, pca_1, pca_2)."""
+    return kmeans_of(vector_table(features, key, columns), key, k, restarts, seed)
+
+
 def kmeans_elbow(
-    vectors: DataFrame, ks: range = range(2, 11), restarts: int = 10, seed: int = SEED, parallelism: int = 4
+    vectors: DataFrame, ks: range = range(2, 11), restarts: int = 10, seed: int = SEED, parallelism: int = 8
 ) -> DataFrame:
     """Inertia of the cheapest of several runs for each number of clusters."""
     spark = vectors.sparkSession
@@ -199,11 +204,12 @@ def classifier(
 
 
 def prepared(labelled: DataFrame, features: list[str], label: str = "is_churned") -> DataFrame:
-    """Finite features and a double label."""
+    """Finite features and a double label, where there is one."""
     clean = {
         c: F.when(dbl(c).isNull() | F.isnan(dbl(c)) | (F.abs(dbl(c)) == float("inf")), 0.0).otherwise(dbl(c)) for c in features
     }
-    return labelled.withColumns(clean).withColumn("label", dbl(label))
+    out = labelled.withColumns(clean)
+    return out.withColumn("label", dbl(label)) if label in labelled.columns else out
 
 
 def pipeline_for(name: str, features: list[str], rows: int, variant: str = "lib", **options) -> Pipeline:
@@ -226,6 +232,15 @@ class TrainedModel:
     train_rows: int
     seconds: float
     test: DataFrame
+    fit_rows: DataFrame
+
+    @property
+    def info(self) -> dict:
+        """What is kept beside the saved model."""
+        return {
+            "model_name": self.name, "model_type": "classification", "feature_names": self.features,
+            "target_name": "is_churned", "train_rows": self.train_rows, "is_trained": True,
+        }
 
     @property
     def estimator(self):
@@ -239,13 +254,13 @@ class TrainedModel:
 
 
 def train(labelled: DataFrame, name: str, features: list[str], key: str = "customer_id", label: str = "is_churned", variant: str = "lib", **options) -> TrainedModel:
-    split = stage(stratified_split(prepared(labelled, features, label), key), "split")
+    split = _for_iteration(stratified_split(prepared(labelled, features, label), key), "split")
     # the test rows have no say in the weights
     fit_rows, test = with_class_weights(split.where("is_train"), "label"), split.where("NOT is_train")
     rows = fit_rows.count()
     began = time.perf_counter()
     model = pipeline_for(name, features, rows, variant, **options).fit(fit_rows)
-    return TrainedModel(name, model, features, rows, time.perf_counter() - began, test)
+    return TrainedModel(name, model, features, rows, time.perf_counter() - began, test, fit_rows)
 
 
 def feature_importance(trained: TrainedModel) -> DataFrame:
@@ -274,38 +289,77 @@ def train_record(trained: TrainedModel) -> DataFrame:
     )
 
 
-def cross_validation(labelled: DataFrame, name: str, features: list[str], folds: int = 5, key: str = "customer_id", label: str = "is_churned", variant: str = "lib", parallelism: int = 2, **options) -> DataFrame:
-    """Mean and spread of the fold AUC; folds come from the id hash."""
-    weighed = with_class_weights(prepared(labelled, features, label), "label")
-    data = weighed.withColumn("fold", split_bucket(key, "fold") % folds)
-    data = stage(data.select("fold", "label", "weight", *features), "folds")
-    search = CrossValidator(
-        estimator=pipeline_for(name, features, data.count(), variant, **options),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(labelCol="label"),
-        numFolds=folds, foldCol="fold", parallelism=parallelism, collectSubModels=False,
-    ).fit(data)
-    return data.sparkSession.createDataFrame(
-        [(name, folds, float(search.avgMetrics[0]), float(search.stdMetrics[0]))],
-        "model string, folds int, auc_mean double, auc_std double",
+def fold_predictions(
+    labelled: DataFrame, names: Sequence[str], features: list[str], folds: int = 5, key: str = "customer_id",
+    label: str = "is_churned", variant: str = "lib", parallelism: int = 8, **options,
+) -> DataFrame:
+    """(model, fold, key, label, score, prediction), staged: every row scored by models that have not seen its fold.
+
+    Folds come from the id hash, so they are the same in every run.
+    """
+    spark = labelled.sparkSession
+    data = prepared(labelled, features, label).withColumn("fold", split_bucket(key, "fold") % folds)
+    data = _for_iteration(data.select(key, "fold", "label", *features), "folds")
+
+    def scored(job: tuple[str, int]) -> DataFrame:
+        name, fold = job
+        rows = with_class_weights(data.where(F.col("fold") != fold), "label")
+        model = pipeline_for(name, features, rows.count(), variant, **options).fit(rows)
+        return model.transform(data.where(F.col("fold") == fold)).select(
+            F.lit(name).alias("model"), "fold", key, F.col("label").cast("int").alias("label"),
+            vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("prediction"),
+        )
+
+    # The driver only starts the fits; a few at a time keep the cluster busy between iterations.
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(scored), [(n, f) for n in names for f in range(folds)]))
+    return stage(reduce(DataFrame.unionByName, parts), "fold-predictions")
+
+
+#: Scores of a fold; the errors are those of the probability.
+FOLD_METRICS = ["accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "mse", "mae", "r2", "auc"]
+
+
+def fold_scores(predictions: DataFrame) -> DataFrame:
+    """(model, fold, rows, positives, one column for each of FOLD_METRICS) from one table of fold predictions."""
+    label, guess, error = F.col("label"), F.col("prediction"), F.col("label") - F.col("score")
+    by = ["model", "fold"]
+    sums = predictions.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"),
+        *[F.count(F.when((label == c) & (guess == c), 1)).alias(f"_hit{c}") for c in (0, 1)],
+        *[F.count(F.when(guess == c, 1)).alias(f"_guess{c}") for c in (0, 1)],
+        *[F.count(F.when(label == c, 1)).alias(f"_true{c}") for c in (0, 1)],
+        F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"), F.var_pop("label").alias("_var"),
+    )
+    # rank sums; the running count of negatives goes over all groups and starts anew by taking off where a group begins
+    per = predictions.groupBy(*by, F.col("score").alias("_s")).agg(F.sum("label").alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    per = per.withColumn("_neg", F.col("_n") - F.col("_pos"))
+    placed = running_total(per, [F.col("model"), F.col("fold"), F.col("_s")], "_neg", "_below")
+    wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)) - F.min("_below") * F.sum("_pos")
+    areas = placed.groupBy(*by).agg(F.try_divide(wins, (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc"))
+
+    def zero(c: Column) -> Column:
+        return F.coalesce(c, F.lit(0.0))
+
+    precision = [zero(ratio(f"_hit{c}", f"_guess{c}")) for c in (0, 1)]
+    recall = [zero(ratio(f"_hit{c}", f"_true{c}")) for c in (0, 1)]
+    f1 = [zero(F.try_divide(2 * p * r, p + r)) for p, r in zip(precision, recall)]
+
+    def weighted(parts: list[Column]) -> Column:
+        return ratio(parts[0] * F.col("_true0") + parts[1] * F.col("_true1"), "rows")
+
+    # one row for each model and fold
+    return sums.join(F.broadcast(areas), by).select(
+        *by, "rows", "positives", ratio(F.col("_hit0") + F.col("_hit1"), "rows").alias("accuracy"),
+        weighted(precision).alias("precision_weighted"), weighted(recall).alias("recall_weighted"), weighted(f1).alias("f1_weighted"),
+        "mse", "mae", (F.lit(1.0) - F.try_divide(F.col("mse"), F.col("_var"))).alias("r2"), "auc",
     )
 
 
-def cross_validation_scores(df: DataFrame, pipeline: Pipeline, task: str, folds: int = 5) -> DataFrame:
-    """Mean and spread of every standard score of a task over the folds of column ``fold``."""
-    if task == "classification":
-        make = lambda m: MulticlassClassificationEvaluator(labelCol="label", metricName=m)
-        names = ["accuracy", "weightedPrecision", "weightedRecall", "f1"]
-    else:
-        make = lambda m: RegressionEvaluator(labelCol="label", metricName=m)
-        names = ["mse", "mae", "r2"]
-    rows = []
-    for fold in range(folds):
-        scored = pipeline.fit(df.where(F.col("fold") != fold)).transform(df.where(F.col("fold") == fold)).cache()
-        rows += [(m, fold, float(make(m).evaluate(scored))) for m in names]
-        scored.unpersist()
-    scores = df.sparkSession.createDataFrame(rows, "metric string, fold int, score double")
-    return scores.groupBy("metric").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+def cross_validation(predictions: DataFrame) -> DataFrame:
+    """(model, metric, folds, mean, std) over the folds of :func:`fold_predictions`."""
+    long = fold_scores(predictions).unpivot(["model", "fold"], FOLD_METRICS, "metric", "score")
+    return long.groupBy("model", "metric").agg(F.count("score").alias("folds"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
 
 
 # -- evaluation -----------------------------------------------------------------------

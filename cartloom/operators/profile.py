@@ -7,6 +7,8 @@ counted before the shuffle; column figures come from one grouping of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 from cartloom.functions.numeric import dbl, flag_count, pct, ratio, round_even, whole_days
 from cartloom.functions.ordering import exact_quantiles, expand_copies
 from cartloom.functions.scalars import with_row
+from cartloom.functions.staging import stage
 from cartloom.operators.cleaning import RAW_DATE_FORMAT
 from cartloom.operators.sales import histogram
 
@@ -44,19 +47,25 @@ def ends(lines: DataFrame, n: int = 5) -> DataFrame:
 
 
 def value_pairs(lines: DataFrame) -> DataFrame:
-    """(column, value, copies) of every column, nulls included."""
-    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in lines.columns]
-    return (
-        lines.select(F.explode(F.array(*pairs)).alias("_p"))
-        .groupBy("_p.column_name", "_p.value")
-        .agg(F.count(F.lit(1)).alias(COPIES))
-    )
+    """(column, value, copies) of every column, nulls included, staged.
+
+    Each column is counted in its own type by a scan that reads nothing else;
+    rows are not multiplied by the number of columns.
+    """
+    counted = [
+        lines.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias(COPIES)).select(F.lit(c).alias("column_name"), F.col("value").cast("string").alias("value"), COPIES)
+        for c in lines.columns
+    ]
+    return stage(reduce(DataFrame.unionByName, counted), "values")
+
 
+def column_profile(lines: DataFrame, examples: int = 3, pairs: DataFrame | None = None) -> DataFrame:
+    """Per column: type, nulls, distinct values, extremes of numbers, examples of texts.
 
-def column_profile(lines: DataFrame, examples: int = 3) -> DataFrame:
-    """Per column: type, nulls, distinct values, extremes of numbers, examples of texts."""
+    ``pairs`` are the value counts of ``lines``, where they exist already.
+    """
     numeric = [f.name for f in lines.schema.fields if is_numeric(f)]
-    pairs = value_pairs(lines)
+    pairs = value_pairs(lines) if pairs is None else pairs
     number = F.when(F.col("column_name").isin(numeric), F.col("value").cast("double"))
     stats = pairs.groupBy("column_name").agg(
         F.sum(COPIES).alias("_rows"),
@@ -221,14 +230,14 @@ def sign_quadrants(lines: DataFrame) -> DataFrame:
     )
 
 
-def cardinality(lines: DataFrame, approximate: bool = False) -> DataFrame:
+def cardinality(lines: DataFrame, approximate: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """Distinct values per column, exact by default."""
     if approximate:
         stats = lines.agg(
             F.count(F.lit(1)).alias("_rows"), *[F.approx_count_distinct(c).alias(c) for c in lines.columns]
         ).unpivot("_rows", lines.columns, "column_name", "distinct_values")
     else:
-        stats = value_pairs(lines).groupBy("column_name").agg(
+        stats = (value_pairs(lines) if pairs is None else pairs).groupBy("column_name").agg(
             F.sum(COPIES).alias("_rows"), F.count("value").alias("distinct_values")
         )
     return stats.select("column_name", "distinct_values", pct("distinct_values", "_rows").alias("distinct_pct"))

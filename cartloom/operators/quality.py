@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from cartloom.functions.numeric import ratio, round_even
@@ -122,18 +123,19 @@ def integrity_rules(metrics: DataFrame, kinds: tuple[str, ...] = ("rows", "empty
 def numeric_text_columns(df: DataFrame, sample: int = SAMPLE_VALUES) -> DataFrame:
     """Text columns whose first values, in the order of all columns, are mostly digits.
 
-    The rank filter works inside each task first, so at most ``sample`` rows
-    per column and task are moved.
+    One top-``sample`` search a column: each task keeps a heap of that many
+    rows while it scans, and nothing is sorted or moved as a whole.
     """
-    names = _text_columns(df)
-    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in names]
-    key = F.struct(*[F.col(c) for c in df.columns])
-    long = df.select(key.alias("_key"), F.explode(F.array(*pairs)).alias("_p")).select("_key", "_p.*")
-    rank = F.row_number().over(Window.partitionBy("column_name").orderBy("_key"))
-    first = long.where(F.col("value").isNotNull()).withColumn("_rank", rank).where(F.col("_rank") <= sample)
+    order = [F.col(c).asc_nulls_first() for c in df.columns]
+    first = [
+        df.where(F.col(c).isNotNull()).orderBy(*order).limit(sample).select(F.lit(c).alias("column_name"), F.col(c).alias("value"))
+        for c in _text_columns(df)
+    ]
+    if not first:
+        first = [df.limit(0).select(F.lit("").alias("column_name"), F.lit("").alias("value"))]
     digits = F.translate("value", ".,-", "").rlike("^[0-9]+$")
     return (
-        first.groupBy("column_name")
+        reduce(DataFrame.unionByName, first).groupBy("column_name")
         .agg(F.count(F.lit(1)).alias("sampled"), F.count(F.when(digits, 1)).alias("numeric_values"))
         .withColumn("numeric_share", round_even(ratio("numeric_values", "sampled"), 4))
         .withColumn("looks_numeric", ratio("numeric_values", "sampled") > NUMERIC_SHARE)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.scalars import with_row
 from cartloom.functions.staging import new_path, stage
-from cartloom.operators import anomalies, campaigns, churn, cleaning, customers, modelling, rfm, sales
+from cartloom.operators import anomalies, campaigns, churn, cleaning, customers, modelling, profile, rfm, sales
 from cartloom.operators.isolation import isolation_forest
 from cartloom.session import pin_time_zone
 from cartloom.sources import files, fixtures, tables
@@ -28,6 +28,7 @@ class Mart:
         self.spark = spark
         self.sf_dir = sf_dir
         self._trained: dict[str, modelling.TrainedModel] = {}
+        self._saved: set[str] = set()
         self._csv: dict[str, str] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -39,6 +40,11 @@ class Mart:
         """Landed export: eight raw columns."""
         return stage(fixtures.invoice_lines_raw(self.spark, self.sf_dir), "raw")
 
+    @cached_property
+    def raw_values(self) -> DataFrame:
+        """How often each column of the raw lines has each value."""
+        return profile.value_pairs(self.raw)
+
     @cached_property
     def cleaned_lib(self) -> DataFrame:
         return cleaning.clean_dataset_lib(self.raw)
@@ -69,6 +75,10 @@ class Mart:
         features = anomalies.customer_anomaly_features(self.cleaned).fillna(0, subset=columns)
         return isolation_forest(modelling.standardized(features, columns), "CustomerID", columns)
 
+    @cached_property
+    def anomaly_summary(self) -> DataFrame:
+        return stage(anomalies.anomaly_summary(self.cleaned, self.facts, self.customer_anomalies), "anomaly-summary")
+
     # -- orders --------------------------------------------------------------
     @cached_property
     def orders(self) -> DataFrame:
@@ -123,8 +133,9 @@ class Mart:
     @cached_property
     def predictions(self) -> DataFrame:
         """Risk by recency alone: no model, so that later steps can be checked."""
-        scores = churn.recency_score(self.churn_labels)
-        return churn.as_predictions(scores, "recency_score", "2001-08-01")
+        latest = self.orders.agg(F.date_format(F.max("order_date"), "yyyy-MM-dd").alias("_on"))
+        scores = churn.recency_score(self.churn_labels).transform(with_row, latest)
+        return churn.as_predictions(scores, "recency_score", F.col("_on"))
 
     # -- models ----------------------------------------------------------------
     @cached_property
@@ -133,8 +144,11 @@ class Mart:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        found = modelling.kmeans_clusters(self.features_lib, "customer_id", modelling.CLUSTER_FEATURES)
-        return stage(found, "clusters")
+        return stage(modelling.kmeans_of(self.customer_vectors, "customer_id"), "clusters")
+
+    @cached_property
+    def elbow(self) -> DataFrame:
+        return modelling.kmeans_elbow(self.customer_vectors)
 
     @cached_property
     def clustered(self) -> DataFrame:
@@ -147,15 +161,29 @@ class Mart:
 
     @cached_property
     def model_input(self) -> DataFrame:
-        """Labelled customers with the model features made finite."""
-        return stage(modelling.prepared(self.churn_labels, churn.MODEL_FEATURES), "model-input")
+        """Labelled customers with the model features, optional ones included, made finite."""
+        ready = churn.add_external(self.churn_labels, self.clv)
+        return stage(modelling.prepared(ready, churn.model_features(ready)), "model-input")
 
     def trained(self, name: str) -> modelling.TrainedModel:
         """A churn model, fitted the first time it is asked for."""
         if name not in self._trained:
-            self._trained[name] = modelling.train(self.churn_labels, name, churn.MODEL_FEATURES)
+            self._trained[name] = modelling.train(self.model_input, name, churn.model_features(self.model_input))
         return self._trained[name]
 
+    @cached_property
+    def _registry(self) -> tables.ModelRegistry:
+        return tables.ModelRegistry(new_path(self.spark, "models"))
+
+    def registered(self, *names: str) -> tables.ModelRegistry:
+        """The registry of saved models, with the named ones fitted and saved."""
+        for name in names:
+            if name not in self._saved:
+                fitted = self.trained(name)
+                self._registry.save(name, fitted.model, fitted.info)
+                self._saved.add(name)
+        return self._registry
+
     @cached_property
     def model_scores(self) -> DataFrame:
         out = None
@@ -168,13 +196,15 @@ class Mart:
         return stage(marked.drop("_best"), "model-scores")
 
     @cached_property
-    def best_model(self) -> modelling.TrainedModel:
-        return self.trained(self.model_scores.where("is_best").first()["model"])
+    def model_predictions(self) -> DataFrame:
+        """Risk of every customer by the saved forest."""
+        return churn.predict_risk(self.registered(churn.DEFAULT_MODEL), self.model_input)
 
     @cached_property
-    def model_predictions(self) -> DataFrame:
-        best = self.best_model
-        return churn.as_predictions(best.score(self.model_input), best.name, "2001-08-01")
+    def fold_predictions(self) -> DataFrame:
+        """Temporal features scored by the three models, each row by models that have not seen its fold."""
+        features = churn.temporal_model_features(self.churn_temporal)
+        return modelling.fold_predictions(self.churn_temporal, self.MODELS, features, variant="nb")
 
     @cached_property
     def temporal_scored(self) -> DataFrame:
@@ -185,21 +215,6 @@ class Mart:
         scores = scores.select("customer_id", F.col("score").alias("churn_probability"))
         return stage(self.churn_temporal.join(scores, "customer_id"), "temporal-scored")
 
-    @cached_property
-    def saved_model(self) -> str:
-        fitted = self.trained("logistic")
-        path = new_path(self.spark, "model")
-        info = {
-            "model_name": fitted.name,
-            "model_type": "classification",
-            "feature_names": fitted.features,
-            "target_name": "is_churned",
-            "train_rows": fitted.train_rows,
-            "is_trained": True,
-        }
-        tables.save_model(fitted.model, path, info)
-        return path
-
     # -- marketing -----------------------------------------------------------
     @cached_property
     def campaign_customers(self) -> DataFrame:
@@ -249,11 +264,15 @@ class Mart:
         return path
 
 
-_marts: dict[tuple[str, str], Mart] = {}
+#: The given tables that shared tables are built from.
+GIVEN = ("nation", "customer", "part", "orders", "lineitem", "events")
+_marts: dict[tuple[str, str], tuple[tuple, Mart]] = {}
 
 
 def mart_for(spark: SparkSession, sf_dir: str) -> Mart:
+    """The shared tables of a data folder; built anew once a file of its tables has changed."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _marts:
-        _marts[key] = Mart(spark, key[1])
-    return _marts[key]
+    now = files.listing(spark, f"{key[1]}/{{{','.join(GIVEN)}}}.parquet")
+    if key not in _marts or _marts[key][0] != now:
+        _marts[key] = now, Mart(spark, key[1])
+    return _marts[key][1]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cartloom.functions import rules
 from cartloom.functions.numeric import round_even
 from cartloom.operators import abtest, attribution, campaigns, customers
 from cartloom.plans.catalog import query
@@ -237,11 +238,12 @@ _MESSAGES = """(VALUES ('SUPER_WHALES','Offre Exclusive VIP - Compte dédié act
  ('HIGH_VALUE','Collection Premium - Accès anticipé activé','Découvrir la collection',80,'Email premium + Retargeting'),
  ('POTENTIAL_LOYALISTS','On vous a préparé quelque chose...','Utiliser mon code MERCI15',30,'Email + SMS + Social Media'),
  ('ONE_SHOT_PROBLEM','On vous offre une 2ème chance!','Revenir avec -25%',15,'Email + Pub Facebook/Instagram')) x(target,subject,call_to_action,message_cost,main_channel)"""
+_BODIES = "(VALUES " + ",".join(f"('{row[0]}','{row[5]}')" for row in rules.MESSAGES) + ") b(target,body)"
 
 
-@query("message_assignment", f"SELECT customer_id, x.* FROM targets t JOIN {_MESSAGES} ON x.target = t.target")
+@query("message_assignment", f"SELECT customer_id, x.*, b.body FROM targets t JOIN {_MESSAGES} ON x.target = t.target JOIN {_BODIES} ON b.target = t.target")
 def message_assignment(m):
-    return campaigns.message_assignment(_targets(m)).drop("body")
+    return campaigns.message_assignment(_targets(m))
 
 
 @query("message_costs", f"SELECT t.target, count(*) AS messages, sum(message_cost)::BIGINT AS total_cost FROM targets t JOIN {_MESSAGES} ON x.target = t.target GROUP BY 1")

@@ -1,6 +1,12 @@
 """Churn queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from cartloom.functions.numeric import round_even, stamp_text
+from cartloom.functions.scalars import with_row
 from cartloom.operators import churn
 from cartloom.plans.catalog import query
 
@@ -129,34 +135,135 @@ def churn_patterns(m):
 
 
 # -- with fitted models -----------------------------------------------------------------
-@query("churn_train_select")
-def churn_train_select(m):
+# Values depend on the fits and are registered as ``*_values``; the query of the operator's own name says what must hold of them.
+_TEST = "('0x'||substr(md5('split:'||customer_id),1,8))::BIGINT % 100 >= 80"
+_TEMPORAL_ROWS = "(SELECT * FROM temporal_base WHERE invoices>=3)"
+
+
+@query("churn_train_select_values")
+def churn_train_select_values(m):
     """The three models with their test AUC; the best one is marked."""
     return m.model_scores
 
 
-@query("churn_score")
-def churn_score(m):
+@query(
+    "churn_train_select",
+    f"""SELECT model, count(*) FILTER ({_TEST}) AS test_rows, 15 AS features, true AS auc_in_range, true AS one_best FROM churn_labels, (VALUES ('logistic'),('random_forest'),('gradient_boosting')) v(model) GROUP BY 1""",
+)
+def churn_train_select(m):
+    """Every model with its test rows and features, that its AUC is one, and that exactly one model is best."""
+    best = m.model_scores.agg((F.count(F.when(F.col("is_best"), 1)) == 1).alias("one_best"))
+    sizes = [
+        m.trained(name).test.agg(F.count(F.lit(1)).alias("test_rows")).select(F.lit(name).alias("model"), "test_rows", F.lit(len(m.trained(name).features)).alias("features"))
+        for name in m.MODELS
+    ]
+    return m.model_scores.join(F.broadcast(reduce(DataFrame.unionByName, sizes)), "model").transform(with_row, best).select(
+        "model", "test_rows", "features", F.col("auc").between(0, 1).alias("auc_in_range"), "one_best"
+    )
+
+
+@query("churn_score_values")
+def churn_score_values(m):
     return m.model_predictions
 
 
-@query("risk_band_analysis")
-def risk_band_analysis(m):
+_LATEST = "(SELECT strftime(max(order_date),'%Y-%m-%d') FROM orders_view)"
+
+
+@query("churn_score", f"SELECT customer_id, 'random_forest' AS model_used, {_LATEST} AS prediction_date, true AS in_range, true AS category_fits FROM churn_labels")
+def churn_score(m):
+    """Every customer once: the model and date of its score, and that the category is the probability's."""
+    p = F.col("churn_probability")
+    fits = F.lit(False)
+    for name, low, high in (("Very Low", -1.0, 0.2), ("Low", 0.2, 0.4), ("Medium", 0.4, 0.6), ("High", 0.6, 0.8), ("Critical", 0.8, 2.0)):
+        fits = fits | ((F.col("risk_category") == name) & (p >= low) & (p < high))
+    return m.model_predictions.select("customer_id", "model_used", "prediction_date", p.between(0, 1).alias("in_range"), fits.alias("category_fits"))
+
+
+@query("risk_band_analysis_values")
+def risk_band_analysis_values(m):
     return churn.risk_band_analysis(m.temporal_scored)
 
 
-@query("retention_impact")
-def retention_impact(m):
+@query(
+    "risk_band_analysis",
+    f"""SELECT count(*) AS customers, sum(is_churned)::BIGINT AS churned, true AS rates_fit, true AS bands_apart FROM {_TEMPORAL_ROWS}""",
+)
+def risk_band_analysis(m):
+    """What the bands add up to, that each rate is its counts', and that no band's probabilities lie outside its limits."""
+    edges = F.create_map(*[x for name, low, high in (("low", 0.0, 0.3), ("medium", 0.3, 0.7), ("high", 0.7, 1.0)) for x in (F.lit(name), F.array(F.lit(low), F.lit(high)))])
+    band, half = edges[F.col("risk_band")], 5e-4  # probabilities are rounded to three digits
+    return risk_band_analysis_values(m).agg(
+        F.sum("customers").alias("customers"), F.sum("churned").alias("churned"),
+        F.every(F.abs(F.col("churn_rate") - F.col("churned") / F.col("customers")) <= half).alias("rates_fit"),
+        F.every((F.col("min_probability") >= band[0] - half) & (F.col("max_probability") <= band[1] + half) & (F.col("mean_probability").between(F.col("min_probability") - half, F.col("max_probability") + half))).alias("bands_apart"),
+    )
+
+
+@query("retention_impact_values")
+def retention_impact_values(m):
     return churn.retention_impact(m.temporal_scored)
 
 
-@query("churn_dashboard")
-def churn_dashboard(m):
+@query(
+    "retention_impact",
+    f"""SELECT count(*) AS clients, round_even(avg(amount_sum),2) AS mean_client_value, true AS risk_is_a_share, true AS figures_fit FROM {_TEMPORAL_ROWS}""",
+)
+def retention_impact(m):
+    """Clients and their mean value, and that loss, cost, savings and return follow from the clients at risk."""
+    n, value = F.col("clients_at_risk"), F.col("mean_client_value")
+    cent = F.lit(0.011) * (n + 1)
+    return retention_impact_values(m).select(
+        "clients", "mean_client_value", n.between(0, F.col("clients")).alias("risk_is_a_share"),
+        (
+            (F.abs(F.col("potential_loss") - n * value) <= cent) & (F.abs(F.col("retention_cost") - n * 50) < 0.01)
+            & (F.abs(F.col("value_saved") - n * 0.3 * value) <= cent) & (F.abs(F.col("clients_saved") - n * 0.3) < 0.01)
+            & F.coalesce(F.abs(F.col("roi_pct") - (F.col("value_saved") / F.col("retention_cost") - 1) * 100) < 0.2, n == 0)
+        ).alias("figures_fit"),
+    )
+
+
+@query("churn_dashboard_values")
+def churn_dashboard_values(m):
     return churn.churn_dashboard(m.temporal_scored)
 
 
-@query("churn_analysis_full")
-def churn_analysis_full(m):
-    """Features, labels, best model, scores and actions of every customer."""
+@query(
+    "churn_dashboard",
+    f"""SELECT count(*) AS clients, sum(is_churned)::BIGINT AS churned, round_even(sum(is_churned)::DOUBLE/count(*)*100,1) AS churn_rate, true AS shares_fit, true AS as_the_bands FROM {_TEMPORAL_ROWS}""",
+)
+def churn_dashboard(m):
+    """Clients and churn, that the risk shares are those of the counts, and that the counts are those of the bands."""
+    bands = churn.risk_band_analysis(m.temporal_scored).agg(*[F.coalesce(F.max(F.when(F.col("risk_band") == b, F.col("customers"))), F.lit(0)).alias(f"_{b}") for b in ("medium", "high")])
+    share = lambda c: F.abs(F.col(f"{c}_risk_pct") - F.col(f"{c}_risk") / F.col("clients") * 100) <= 0.0501
+    return churn_dashboard_values(m).transform(with_row, bands).select(
+        "clients", "churned", "churn_rate", (share("high") & share("medium")).alias("shares_fit"),
+        ((F.col("high_risk") == F.col("_high")) & (F.col("medium_risk") == F.col("_medium"))).alias("as_the_bands"),
+    )
+
+
+@query("churn_analysis_full_values")
+def churn_analysis_full_values(m):
+    """Features, labels, scores and actions of every customer."""
     actions = churn.retention_roi(churn.retention_actions(m.model_predictions, m.rfm_lib), m.rfm_lib)
     return actions.join(m.churn_labels.select("customer_id", "is_churned"), "customer_id")
+
+
+@query(
+    "churn_analysis_full",
+    f"""SELECT customer_id, is_churned, rfm_segment, monetary, 'random_forest' AS model_used, {_LATEST} AS prediction_date, true AS action_fits, true AS return_fits
+FROM churn_labels LEFT JOIN rfm_lib USING (customer_id)""",
+)
+def churn_analysis_full(m):
+    """Every customer with label, segment and spend, that its action is the one for its risk, and the return that of the action."""
+    risk, money, segment = F.col("risk_category"), F.coalesce(F.col("monetary"), F.lit(0.0)), F.coalesce(F.col("rfm_segment"), F.lit(""))
+    budget = (
+        F.when((risk == "Critical") & (money > 1000), 100).when(risk == "Critical", 50).when((risk == "High") & (segment == "Champions"), 75)
+        .when(risk == "High", 30).when(risk == "Medium", 20).otherwise(10)
+    )
+    mean = m.rfm_lib.agg(F.avg("monetary").alias("_mean"))
+    gain = F.col("estimated_success_rate") * F.col("_mean") * 0.2
+    return churn_analysis_full_values(m).transform(with_row, mean).select(
+        "customer_id", "is_churned", "rfm_segment", "monetary", "model_used", "prediction_date", (F.col("estimated_budget") == budget).alias("action_fits"),
+        (F.abs(F.col("estimated_roi") - (gain / F.col("estimated_budget") - 1) * 100) <= 0.06).alias("return_fits"),
+    )

@@ -1,5 +1,6 @@
 """RFM, customer feature, segment and target-list queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartloom.functions.numeric import round_even, stamp_text
@@ -80,20 +81,35 @@ def segment_analysis_rfm(m):
     return customers.segment_analysis(m.segmented, "rfm_segment")
 
 
-@query("segment_analysis_cluster")
-def segment_analysis_cluster(m):
+# Clusters depend on seeds; what is reported by cluster is registered as ``*_values``, and the query of the operator's own name says what must hold of it.
+@query("segment_analysis_cluster_values")
+def segment_analysis_cluster_values(m):
     return customers.segment_analysis(m.clustered, "cluster", with_diversity=True)
 
 
+@query(
+    "segment_analysis_cluster",
+    """SELECT 5::BIGINT AS clusters, count(*) AS customers, sum(monetary::DECIMAL(28,2))::DOUBLE AS revenue, true AS means_fit FROM segmented""",
+)
+def segment_analysis_cluster(m):
+    """What the clusters add up to, and that each mean is its sum's."""
+    return segment_analysis_cluster_values(m).agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("customers").alias("customers"), F.sum(F.col("monetary_sum").cast("decimal(28,2)")).cast("double").alias("revenue"),
+        F.every(F.abs(F.col("monetary_mean") - F.col("monetary_sum") / F.col("customers")) <= 0.00501).alias("means_fit"),
+    )
+
+
 @query(
     "segment_insights",
     """WITH r AS (SELECT *, row_number() OVER (ORDER BY monetary DESC, customer_id) AS k, count(*) OVER () AS n FROM segmented)
 SELECT (SELECT rfm_segment FROM segmented GROUP BY 1 ORDER BY sum(monetary::DECIMAL(28,2)) DESC, 1 DESC LIMIT 1) AS top_segment,
  round_even((sum(monetary::DECIMAL(28,2)) FILTER (k<=floor(n*0.2::DOUBLE)))::DOUBLE/sum(monetary::DECIMAL(28,2))::DOUBLE*100,1) AS top_20_revenue_share,
- round_even(count(*) FILTER (frequency=1)::DOUBLE/count(*)*100,1) AS one_shot_pct, count(*) AS total_customers, sum(monetary::DECIMAL(28,2))::DOUBLE AS total_revenue FROM r""",
+ round_even(count(*) FILTER (frequency=1)::DOUBLE/count(*)*100,1) AS one_shot_pct, count(*) AS total_customers, sum(monetary::DECIMAL(28,2))::DOUBLE AS total_revenue,
+ (SELECT "M_score" FROM segmented GROUP BY 1 ORDER BY avg(monetary) DESC, 1 DESC LIMIT 1) AS highest_value_cluster FROM r""",
 )
 def segment_insights(m):
-    return customers.segment_insights(m.segmented)
+    """With spend quintiles in the place of clusters, so that the top cluster can be checked."""
+    return customers.segment_insights(m.segmented.withColumn("cluster", F.col("M_score")))
 
 
 _ADVICE = """(VALUES ('Champions','Programme VIP exclusif','Offres personnalisées, Early access produits, Support premium','High','Very High'),
@@ -108,12 +124,25 @@ def segment_recommendations(m):
     return customers.segment_recommendations(m.rfm_lib).withColumn("actions", F.array_join("actions", ", "))
 
 
-@query("customer_analysis_full")
-def customer_analysis_full(m):
+@query("customer_analysis_full_values")
+def customer_analysis_full_values(m):
     """The whole chain: scores, features, clusters and lifetime value of every customer."""
     return m.clustered
 
 
+@query(
+    "customer_analysis_full",
+    """SELECT customer_id, rfm_segment, rfm_score, "R_score", "F_score", "M_score", frequency, monetary, recency, product_diversity, round_even(clv_estimated,2) AS clv_estimated, true AS clustered FROM segmented""",
+)
+def customer_analysis_full(m):
+    """Every customer with scores, features and lifetime value, and that it is in one of the clusters."""
+    out = m.clustered.select(
+        "customer_id", "rfm_segment", "rfm_score", "R_score", "F_score", "M_score", "frequency", "monetary", "recency", "product_diversity",
+        "clv_estimated", F.col("cluster").between(0, 4).alias("clustered"),
+    )
+    return _rounded(out, "clv_estimated", digits=2)
+
+
 @query(
     "segment_summary_nb",
     """SELECT rfm_segment, round_even(sum(recency)::DOUBLE/count(*),2) AS recency_mean, round_even(sum(frequency)::DOUBLE/count(*),2) AS frequency_mean,
@@ -125,11 +154,26 @@ def segment_summary_nb(m):
     return customers.segment_summary_nb(m.rfm_nb)
 
 
-@query("cluster_summary_nb")
-def cluster_summary_nb(m):
+@query("cluster_summary_nb_values")
+def cluster_summary_nb_values(m):
     return customers.cluster_summary_nb(m.clustered_nb)
 
 
+@query(
+    "cluster_summary_nb",
+    """SELECT 5::BIGINT AS clusters, count(*) AS customers, round_even(sum(monetary::DECIMAL(28,2))::DOUBLE/1000,0) AS revenue_k, true AS shares_fit, true AS means_fit FROM rfm_nb""",
+)
+def cluster_summary_nb(m):
+    """What the clusters add up to, and that shares and means are those of the sums."""
+    everyone = Window.partitionBy()  # a row for each cluster
+    found = cluster_summary_nb_values(m).withColumn("_all", F.sum("customers").over(everyone))
+    return found.agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("customers").alias("customers"), round_even(F.sum("monetary_sum") / 1000, 0).alias("revenue_k"),
+        F.every(F.abs(F.col("share_pct") - F.col("customers") / F.col("_all") * 100) <= 0.0501).alias("shares_fit"),
+        F.every(F.abs(F.col("monetary_mean") - F.col("monetary_sum") / F.col("customers")) <= 0.0101).alias("means_fit"),
+    )
+
+
 @query(
     "feature_correlation",
     " UNION ALL ".join(
@@ -147,22 +191,57 @@ def revenue_by_segment(m):
     return customers.revenue_by_segment(m.rfm_nb)
 
 
-@query("priority_segments")
-def priority_segments(m):
+@query("priority_segments_values")
+def priority_segments_values(m):
     return customers.priority_segments(m.clustered_nb)
 
 
+@query(
+    "priority_segments",
+    """SELECT customer_id, rfm_segment='Champions' AS champion, rfm_segment='Potential Loyalists' AS potential, true AS clusters_fit FROM rfm_nb""",
+)
+def priority_segments(m):
+    """Every customer: whether it is on the lists of its segment, and that it is on the one list its cluster's rank by mean spend gives it."""
+    lists = priority_segments_values(m).groupBy("customer_id").agg(F.collect_set("target").alias("_on"))
+    means = m.clustered_nb.groupBy("cluster").agg(F.sum("monetary").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    means = means.withColumn("_mean", F.col("_sum") / F.col("_n"))
+    richer = means.alias("a").join(means.alias("b"), F.col("b._mean") > F.col("a._mean"), "left").groupBy("a.cluster").agg(F.count("b.cluster").alias("_richer"))  # a row for each cluster
+    want = F.element_at(F.array(F.lit("SUPER_WHALES"), F.lit("HIGH_VALUE"), F.lit("none"), F.lit("ONE_SHOT_PROBLEM"), F.lit("ONE_SHOT_PROBLEM")), (F.col("_richer") + 1).cast("int"))
+    found = m.clustered_nb.select("customer_id", "cluster").join(F.broadcast(richer), "cluster").join(lists, "customer_id", "left")
+    on = F.coalesce("_on", F.array().cast("array<string>"))
+    own = F.filter(on, lambda t: t.isin("SUPER_WHALES", "HIGH_VALUE", "ONE_SHOT_PROBLEM"))
+    return found.select(
+        "customer_id", F.array_contains(on, "CHAMPIONS").alias("champion"), F.array_contains(on, "POTENTIAL_LOYALISTS").alias("potential"),
+        F.when(want == "none", F.size(own) == 0).otherwise((F.size(own) == 1) & F.array_contains(own, want)).alias("clusters_fit"),
+    )
+
+
 @query("priority_segments_bands", "SELECT customer_id, target, recency, frequency, monetary FROM targets")
 def priority_segments_bands(m):
     """Target lists with spend quintiles in the place of clusters, so that they can be checked."""
     return customers.priority_segments(score_bands(m))
 
 
-@query("campaign_strategy_summary")
-def campaign_strategy_summary(m):
+@query("campaign_strategy_summary_values")
+def campaign_strategy_summary_values(m):
     return customers.campaign_strategy_summary(customers.priority_segments(m.clustered_nb))
 
 
+@query(
+    "campaign_strategy_summary",
+    """SELECT target, priority, key_action, CASE target WHEN 'CHAMPIONS' THEN c WHEN 'POTENTIAL_LOYALISTS' THEN p END AS customers, true AS counts_fit
+FROM target_rules, (SELECT count(*) FILTER (rfm_segment='Champions') AS c, count(*) FILTER (rfm_segment='Potential Loyalists') AS p, count(*) AS n FROM rfm_nb)
+WHERE (target<>'CHAMPIONS' OR c>0) AND (target<>'POTENTIAL_LOYALISTS' OR p>0)""",
+)
+def campaign_strategy_summary(m):
+    """Every target with its texts, the sizes of those that no cluster decides, and that all sizes and revenues are those of the lists."""
+    lists = customers.priority_segments(m.clustered_nb).groupBy("target").agg(F.count_distinct("customer_id").alias("_n"), F.sum("monetary").alias("_m"))
+    return campaign_strategy_summary_values(m).join(F.broadcast(lists), "target").select(
+        "target", "priority", "key_action", F.when(F.col("target").isin("CHAMPIONS", "POTENTIAL_LOYALISTS"), F.col("customers")).alias("customers"),
+        ((F.col("customers") == F.col("_n")) & (F.abs(F.col("revenue") - F.col("_m")) < 0.01)).alias("counts_fit"),
+    )
+
+
 @query(
     "business_impact",
     """SELECT target, b AS base_revenue, uplift, round_even(b*uplift,2) AS additional_revenue,

@@ -49,7 +49,7 @@ def profile_shape(m):
     ),
 )
 def profile_columns(m):
-    return profile.column_profile(m.raw)
+    return profile.column_profile(m.raw, pairs=m.raw_values)
 
 
 @query(
@@ -168,7 +168,7 @@ def profile_sign_quadrants(m):
     ),
 )
 def profile_cardinality(m):
-    return profile.cardinality(m.raw)
+    return profile.cardinality(m.raw, pairs=m.raw_values)
 
 
 @query(

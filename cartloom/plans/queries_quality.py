@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cartloom.operators import quality
+from cartloom.operators.churn import MODEL_FEATURES
 from cartloom.plans.catalog import query
 from cartloom.sources.fixtures import INVOICE_COLUMNS
 
@@ -84,18 +85,14 @@ def quality_score_validator(m):
     return quality.quality_score(quality.quality_metrics(m.raw))
 
 
-_SPARSE_NULLS = '("CustomerID" IS NULL)::INTEGER + ("Description" IS NULL)::INTEGER + ("Invoice" IS NULL)::INTEGER'
-
-
 @query(
     "quality_recommendations",
-    f"""SELECT t AS recommendation FROM (SELECT sum({_SPARSE_NULLS})::DOUBLE/(count(*)*3)*100 AS missing,
-  (count(*)-(SELECT count(*) FROM (SELECT DISTINCT "CustomerID","Description","Invoice" FROM raw)))::DOUBLE/count(*)*100 AS dup FROM raw),
- (VALUES (1,'Considérer imputation des valeurs manquantes'),(2,'Supprimer les doublons identifiés')) v(k,t) WHERE (k=1 AND missing>10) OR (k=2 AND dup>5)""",
+    f"""SELECT t AS recommendation FROM ({_METRICS}), (VALUES (1,'Considérer imputation des valeurs manquantes'),(2,'Supprimer les doublons identifiés'),(3,'Supprimer les colonnes entièrement vides')) v(k,t)
+ WHERE (k=1 AND missing_values_pct>10) OR (k=2 AND duplicate_rows_pct>5) OR (k=3 AND empty_columns>0)""",
 )
 def quality_recommendations(m):
-    narrow = m.raw.select("CustomerID", "Description", "Invoice")
-    return quality.recommendations(quality.quality_metrics(narrow))
+    """Advice for the raw lines with all their columns; none where no limit is passed."""
+    return quality.recommendations(quality.quality_metrics(m.raw))
 
 
 def _orders_rules() -> str:
@@ -119,24 +116,32 @@ def validate_dataset(m):
     return quality.validate_dataset(m.orders)
 
 
-_MODEL_INPUT = """SELECT 'dataset_not_empty' AS rule,'error' AS level,count(*)::DOUBLE AS value,1.0::DOUBLE AS threshold,count(*)>=1 AS passed FROM churn_labels
-UNION ALL SELECT 'required_columns','error',1,0,false
-UNION ALL SELECT 'null_share','warning',0,0.8,true
-UNION ALL SELECT 'duplicate_rows','warning',count(*)-count(DISTINCT (recency_days,total_orders,is_churned)),0,count(*)=count(DISTINCT (recency_days,total_orders,is_churned)) FROM churn_labels"""
+def _input_rules(source: str, columns: list[str]) -> str:
+    """The rules over all columns of a view that lacks none of the required ones."""
+    worst = "greatest(" + ",".join(f'1-count("{c}")::DOUBLE/count(*)' for c in columns) + ")"
+    return f"""SELECT r.* FROM (SELECT count(*)::DOUBLE AS n, round_even({worst},4) AS worst, (count(*)-(SELECT count(*) FROM (SELECT DISTINCT * FROM {source})))::DOUBLE AS repeats FROM {source}) s,
+ LATERAL (VALUES ('dataset_not_empty','error',n,1.0::DOUBLE,n>=1),('required_columns','error',0,0,true),('null_share','warning',worst,0.8,worst<=0.8),('duplicate_rows','warning',repeats,0,repeats=0)) r(rule,level,value,threshold,passed)"""
+
+
+_LABEL_COLUMNS = [
+    "customer_id", "first_order_date", "last_order_date", "total_orders", "total_spent", "avg_order_value", "spending_std", "recent_spent", "recent_aov", "recent_orders",
+    "recency_days", "customer_lifetime_days", "spending_trend", "order_frequency_trend", "spending_volatility", "engagement_score", "avg_days_between_orders", "is_one_time_customer", "is_churned",
+]
 
 
-@query("validate_model_input", _MODEL_INPUT)
+@query("validate_model_input", _input_rules("churn_labels", _LABEL_COLUMNS))
 def validate_model_input(m):
-    frame = m.churn_labels.select("recency_days", "total_orders", "is_churned")
-    return quality.validate_model_input(frame, ["recency_days", "churn_probability"])
+    """The whole table the churn models are fitted on, with every name they need."""
+    return quality.validate_model_input(m.churn_labels, ["customer_id", *MODEL_FEATURES, "is_churned"])
 
 
 @query(
     "alerts_quality",
-    f"""SELECT 'DATA_QUALITY' AS alert_type,'ERROR' AS alert_level, rule AS metric, threshold, value AS current_value FROM ({_MODEL_INPUT}) WHERE NOT passed""",
+    f"""SELECT 'DATA_QUALITY' AS alert_type,'ERROR' AS alert_level, rule AS metric, threshold, value AS current_value FROM ({_input_rules("raw", INVOICE_COLUMNS)}) WHERE NOT passed""",
 )
 def alerts_quality(m):
-    return quality.quality_alerts(validate_model_input(m))
+    """Alerts of the raw lines with all their columns."""
+    return quality.quality_alerts(quality.validate_model_input(m.raw, INVOICE_COLUMNS))
 
 
 @query(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cartloom.functions.numeric import stamp_text
+from cartloom.functions.scalars import with_row
 from cartloom.operators import anomalies, sales
 from cartloom.plans.catalog import query
 
@@ -207,13 +208,13 @@ def top_products_popularity(m):
 
 @query(
     "calendar_features",
-    """SELECT "Invoice","StockCode","CustomerID",strftime("InvoiceDate",'%Y-%m-%d %H:%M:%S') AS "InvoiceDate", year("InvoiceDate") AS "Year", month("InvoiceDate") AS "Month",
- monthname("InvoiceDate") AS "MonthName", quarter("InvoiceDate") AS "Quarter", isodow("InvoiceDate")-1 AS "DayOfWeek", dayname("InvoiceDate") AS "DayName",
- hour("InvoiceDate") AS "Hour", weekofyear("InvoiceDate") AS "Week" FROM logic_nb""",
+    """SELECT * REPLACE (strftime("InvoiceDate",'%Y-%m-%d %H:%M:%S') AS "InvoiceDate", "Price"::DOUBLE AS "Price", "Total_Amount"::DOUBLE AS "Total_Amount"),
+ year("InvoiceDate") AS "Year", month("InvoiceDate") AS "Month", monthname("InvoiceDate") AS "MonthName", quarter("InvoiceDate") AS "Quarter",
+ isodow("InvoiceDate")-1 AS "DayOfWeek", dayname("InvoiceDate") AS "DayName", hour("InvoiceDate") AS "Hour", weekofyear("InvoiceDate") AS "Week" FROM cleaned""",
 )
 def calendar_features(m):
-    lines = m.cleaned.select("Invoice", "StockCode", "CustomerID", "InvoiceDate")
-    return sales.calendar_features(lines).withColumn("InvoiceDate", stamp_text("InvoiceDate"))
+    out = sales.calendar_features(m.cleaned)
+    return out.withColumns({"InvoiceDate": stamp_text("InvoiceDate"), **{c: F.col(c).cast("double") for c in ("Price", "Total_Amount")}})
 
 
 _MONTHLY = f"""SELECT *, round_even(revenue/invoices,4) AS revenue_per_order, round_even(revenue/customers,4) AS revenue_per_customer FROM (
@@ -305,13 +306,13 @@ def order_value_statistics(m):
     return anomalies.order_value_statistics(anomalies.order_value_anomalies(m.cleaned))
 
 
-@query(
-    "product_price_anomalies",
-    f"""SELECT "StockCode", total_revenue, total_quantity, round_even(a,4) AS avg_price, round_even(s,3) AS price_std, min_price, max_price, unique_customers,
+_PRODUCT_ANOMALIES = f"""SELECT "StockCode", total_revenue, total_quantity, round_even(a,4) AS avg_price, round_even(s,3) AS price_std, min_price, max_price, unique_customers,
  round_even(s/nullif(a,0),4) AS price_variation, round_even(max_price-min_price,2) AS price_range FROM (SELECT "StockCode", {_REV} AS total_revenue, sum("Quantity")::BIGINT AS total_quantity,
  sum("Price")::DOUBLE/count("Price") AS a, stddev_samp("Price"::DOUBLE) AS s, min("Price")::DOUBLE AS min_price, max("Price")::DOUBLE AS max_price, {_CUS} AS unique_customers
- FROM logic_nb WHERE "StockCode" IS NOT NULL GROUP BY 1) WHERE s/nullif(a,0)>1.0 OR max_price-min_price>a*2""",
-)
+ FROM logic_nb WHERE "StockCode" IS NOT NULL GROUP BY 1) WHERE s/nullif(a,0)>1.0 OR max_price-min_price>a*2"""
+
+
+@query("product_price_anomalies", _PRODUCT_ANOMALIES)
 def product_price_anomalies(m):
     return anomalies.product_price_anomalies(m.cleaned)
 
@@ -325,24 +326,55 @@ def customer_anomaly_features(m):
     return anomalies.customer_anomaly_features(m.cleaned)
 
 
-@query("customer_anomalies_iforest")
-def customer_anomalies_iforest(m):
+# The forest depends on its seed: values are registered as ``*_values``, and the query of the operator's own name says what must hold of them.
+@query("customer_anomalies_iforest_values")
+def customer_anomalies_iforest_values(m):
     return m.customer_anomalies.select("CustomerID", "anomaly", "anomaly_score")
 
 
-@query(
-    "daily_anomalies_zscore",
-    f"""WITH d AS (SELECT strftime("InvoiceDate",'%Y-%m-%d') AS day, {_REV} AS revenue, {_INV} AS orders, {_CUS} AS customers FROM logic_nb WHERE "InvoiceDate" IS NOT NULL GROUP BY 1),
+@query("customer_anomalies_iforest", """SELECT DISTINCT "CustomerID", true AS label_fits, true AS twentieth FROM logic_nb""")
+def customer_anomalies_iforest(m):
+    """Every customer: that its label is its score's sign, and that one in twenty is below the limit, ties on it aside."""
+    rows, score = F.count(F.lit(1)), F.col("anomaly_score")
+    below, at = F.count(F.when(score < 0, 1)), F.count(F.when(score <= 0, 1))
+    share = m.customer_anomalies.agg(((below <= 0.05 * rows + 1) & (at >= 0.05 * (rows - 1))).alias("twentieth"))
+    fits = (F.col("anomaly") == -1) == (score < 0)
+    return m.customer_anomalies.select("CustomerID", fits.alias("label_fits")).transform(with_row, share)
+
+
+_DAY_ANOMALIES = f"""WITH d AS (SELECT strftime("InvoiceDate",'%Y-%m-%d') AS day, {_REV} AS revenue, {_INV} AS orders, {_CUS} AS customers FROM logic_nb WHERE "InvoiceDate" IS NOT NULL GROUP BY 1),
  s AS (SELECT avg(revenue) AS ra, stddev_pop(revenue) AS rs, avg(orders) AS oa, stddev_pop(orders) AS os FROM d)
-SELECT day, revenue, orders, customers, round_even(abs((revenue-ra)/rs),4) AS revenue_z, round_even(abs((orders-oa)/os),4) AS orders_z FROM d, s WHERE abs((revenue-ra)/rs)>2 OR abs((orders-oa)/os)>2""",
-)
+SELECT day, revenue, orders, customers, round_even(abs((revenue-ra)/rs),4) AS revenue_z, round_even(abs((orders-oa)/os),4) AS orders_z FROM d, s WHERE abs((revenue-ra)/rs)>2 OR abs((orders-oa)/os)>2"""
+
+
+@query("daily_anomalies_zscore", _DAY_ANOMALIES)
 def daily_anomalies_zscore(m):
     return anomalies.daily_anomalies(m.facts)
 
 
-@query("anomaly_summary")
+@query("anomaly_summary_values")
+def anomaly_summary_values(m):
+    return m.anomaly_summary
+
+
+_SHARE = "round_even(anomalies::DOUBLE/total*100,4)"
+
+
+@query(
+    "anomaly_summary",
+    f"""SELECT family, anomalies, total, CASE WHEN family<>'customers' THEN {_SHARE} END AS share_pct, true AS fits FROM (
+ SELECT 'orders' AS family, (SELECT count(*) FROM ({_ORDER_ANOMALIES})) AS anomalies, (SELECT count(DISTINCT "Invoice") FROM logic_nb) AS total
+ UNION ALL SELECT 'products', (SELECT count(*) FROM ({_PRODUCT_ANOMALIES})), (SELECT count(DISTINCT "StockCode") FROM logic_nb)
+ UNION ALL SELECT 'customers', NULL, (SELECT count(DISTINCT "CustomerID") FROM logic_nb)
+ UNION ALL SELECT 'days', (SELECT count(*) FROM ({_DAY_ANOMALIES})), (SELECT count(DISTINCT "InvoiceDate"::DATE) FROM logic_nb))""",
+)
 def anomaly_summary(m):
-    return anomalies.anomaly_summary(m.cleaned, m.facts, m.customer_anomalies)
+    """Every family of anomalies; of the customers' the total, and that one in twenty is marked."""
+    forest = F.col("family") == "customers"
+    fits = (F.col("anomalies") <= 0.05 * F.col("total") + 1) & (F.abs(F.col("share_pct") - F.col("anomalies") / F.col("total") * 100) < 1e-4)
+    return m.anomaly_summary.select(
+        "family", F.when(~forest, F.col("anomalies")).alias("anomalies"), "total", F.when(~forest, F.col("share_pct")).alias("share_pct"), (~forest | fits).alias("fits")
+    )
 
 
 @query(

@@ -54,3 +54,30 @@ def save_model(model: PipelineModel, path: str, info: dict) -> None:
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/info")
+
+
+class ModelRegistry:
+    """Saved models by name, each in a folder of its own with its metadata."""
+
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+
+    def save(self, name: str, model: PipelineModel, info: dict) -> None:
+        save_model(model, f"{self.root}/{name}", info)
+
+    def names(self, spark: SparkSession) -> list[str]:
+        try:
+            return sorted(r["model_name"] for r in spark.read.parquet(f"{self.root}/*/info").select("model_name").collect())
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return []
+            raise
+
+    def load(self, spark: SparkSession, name: str) -> tuple[PipelineModel, dict]:
+        """The model and its metadata; a name that was never saved is a ValueError."""
+        known = self.names(spark)
+        if name not in known:
+            raise ValueError(f"unknown model {name!r}; known: {', '.join(known)}")
+        model, info = load_model(spark, f"{self.root}/{name}")
+        found = info.first().asDict()
+        return model, {**found, "feature_names": json.loads(found["feature_names"])}

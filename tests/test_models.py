@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartloom.operators import churn, isolation, modelling
+from cartloom.operators import certificates, churn, isolation, modelling
+from cartloom.sources import tables
 
 
 def test_isolation_forest_finds_the_far_points(spark):
@@ -57,9 +58,90 @@ def test_churn_model_scores_every_customer(mart):
     row = scored.agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()
     assert row["n"] == mart.churn_labels.count() and 0 <= row["lo"] <= row["hi"] <= 1
     importance = modelling.feature_importance(fitted)
-    assert importance.count() == len(churn.MODEL_FEATURES)
+    assert importance.count() == len(fitted.features) and set(churn.MODEL_FEATURES) < set(fitted.features)
 
 
 def test_split_keeps_shares(mart):
     split = modelling.stratified_split(mart.churn_labels).groupBy("is_train").count().collect()
     assert {r["is_train"] for r in split} == {True, False}
+
+
+def test_saved_models_score_by_name(spark, mart, tmp_path):
+    registry = tables.ModelRegistry(str(tmp_path / "models"))
+    with pytest.raises(ValueError):
+        churn.predict_risk(registry, mart.model_input)
+    fitted = mart.trained("logistic")
+    registry.save("logistic", fitted.model, fitted.info)
+    assert registry.names(spark) == ["logistic"]
+    with pytest.raises(ValueError, match="unknown model 'random_forest'; known: logistic"):
+        churn.predict_risk(registry, mart.model_input)
+    found = churn.predict_risk(registry, mart.model_input, "logistic")
+    assert found.count() == found.select("customer_id").distinct().count() == mart.churn_labels.count()
+    latest = mart.orders.agg(F.date_format(F.max("order_date"), "yyyy-MM-dd")).first()[0]
+    assert [tuple(r) for r in found.select("model_used", "prediction_date").distinct().collect()] == [("logistic", latest)]
+    assert churn.predict_risk(registry, mart.model_input, "logistic", on="2020-02-02").first()["prediction_date"] == "2020-02-02"
+    assert churn.predict_risk(mart.registered("random_forest"), mart.model_input).first()["model_used"] == "random_forest"
+
+
+def test_optional_features_are_used_where_present(mart):
+    assert churn.model_features(mart.churn_labels) == churn.MODEL_FEATURES
+    assert churn.model_features(mart.model_input) == churn.MODEL_FEATURES + churn.OPTIONAL_FEATURES
+    assert mart.trained("logistic").features[-2:] == churn.OPTIONAL_FEATURES
+    plain = modelling.train(mart.churn_labels, "logistic", churn.model_features(mart.churn_labels))
+    assert plain.score(mart.model_input).count() == mart.churn_labels.count()
+
+
+def test_fold_scores_against_plain_sums(spark):
+    rng = random.Random(8)
+    rows = [(m, f, i, rng.randint(0, 1), rng.randint(0, 8) / 8) for m in ("a", "b") for f in range(3) for i in range(40)]
+    rows = [(m, f, i, y, s, int(s > 0.5)) for m, f, i, y, s in rows] + [("c", 0, 1, 1, 0.9, 1), ("c", 0, 2, 1, 0.2, 0)]
+    found = modelling.fold_scores(spark.createDataFrame(rows, "model string, fold int, customer_id int, label int, score double, prediction int"))
+    for row in found.collect():
+        part = [(y, s, p) for m, f, _, y, s, p in rows if (m, f) == (row["model"], row["fold"])]
+        n, ys = len(part), [y for y, _, _ in part]
+        assert (row["rows"], row["positives"]) == (n, sum(ys))
+        assert row["accuracy"] == pytest.approx(sum(y == p for y, _, p in part) / n)
+        assert row["mse"] == pytest.approx(sum((y - s) ** 2 for y, s, _ in part) / n) and row["mae"] == pytest.approx(sum(abs(y - s) for y, s, _ in part) / n)
+        weighted = {"precision_weighted": 0.0, "recall_weighted": 0.0, "f1_weighted": 0.0}
+        for c in (0, 1):
+            hit, guess, true = sum(y == p == c for y, _, p in part), sum(p == c for _, _, p in part), ys.count(c)
+            p, r = hit / guess if guess else 0.0, hit / true if true else 0.0
+            for name, value in zip(weighted, (p, r, 2 * p * r / (p + r) if p + r else 0.0)):
+                weighted[name] += value * true / n
+        assert all(row[k] == pytest.approx(v) for k, v in weighted.items())
+        pos, neg = [s for y, s, _ in part if y], [s for y, s, _ in part if not y]
+        if not neg:
+            assert row["auc"] is None and row["r2"] is None
+            continue
+        assert row["auc"] == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg))
+        assert row["r2"] == pytest.approx(1 - row["mse"] / np.var(ys))
+
+
+def test_folds_score_every_row_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), int(a + rng.normal() > 0)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "customer_id int, x double, y double, is_churned int")
+    found = modelling.fold_predictions(df, ["logistic", "random_forest"], ["x", "y"], folds=3, trees=5, depth=3)
+    assert found.count() == 400 and found.select("model", "customer_id").distinct().count() == 400
+    means = {(r["model"], r["metric"]): r["mean"] for r in modelling.cross_validation(found).collect()}
+    assert set(m for _, m in means) == set(modelling.FOLD_METRICS) and means["logistic", "auc"] > 0.7
+
+
+def test_certificates_fail_for_wrong_results(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(3 * (i % 3) + a), float(b - 4 * (i % 3))) for i, (a, b) in enumerate(rng.normal(size=(120, 2)) / 5)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    vectors = modelling.vector_table(df, "id", ["a", "b"])
+    clustered = modelling.kmeans_of(vectors, "id", k=3, restarts=3)
+    assert certificates.at_nearest_centre(vectors, clustered, "id", 2).where("not nearest_centre").count() == 0
+    moved = clustered.withColumn("cluster", F.when(F.col("id") == 0, (F.col("cluster") + 1) % 3).otherwise(F.col("cluster")))
+    assert [r["id"] for r in certificates.at_nearest_centre(vectors, moved, "id", 2).where("not nearest_centre").collect()] == [0]
+    pca = modelling.pca_2d(vectors, "id")
+    assert certificates.on_principal_axes(vectors, pca, "id", 2).where("on_axis_1 and on_axis_2 and explained").count() == 120
+    turned = pca.withColumn("pca_1", F.col("pca_1") + F.col("pca_2") * 0.1)
+    assert certificates.on_principal_axes(vectors, turned, "id", 2).where("on_axis_1 and explained").count() == 0
+    labelled = df.withColumn("is_churned", (F.col("a") + F.col("b") > F.lit(-1.2)).cast("int")).withColumnRenamed("id", "customer_id")
+    fitted = modelling.train(labelled, "logistic", ["a", "b"])
+    assert certificates.flat_at_optimum(fitted).first()["flat"]
+    flipped = modelling.TrainedModel(fitted.name, fitted.model, fitted.features, 1, 0.0, fitted.test, fitted.fit_rows.withColumn("label", F.lit(1.0) - F.col("label")))
+    assert not certificates.flat_at_optimum(flipped).first()["flat"]
