@@ -14,9 +14,11 @@ Equal vectors count as one with a multiplicity.  A task returns numbers of
 links, and of the links themselves only what keeps its components
 together, so the result grows with the vectors and not with the pairs.
 
-Vectors that are null, empty, zero, of another length than most, or hold null or
-non-finite components link with nothing, nor do those without a label.
-Rows that repeat an id are vectors of their own.
+Vectors of different lengths are never near; each length has a grid of its own.
+Vectors that are null, empty, zero, or hold null or non-finite components link
+with nothing, nor do those without a label.  Finite vectors of any magnitude are
+compared.  Rows that repeat an id are vectors of their own, equal rows count one by one.
+An empty table gives no rows; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -41,8 +43,7 @@ SLACK = 1e-6
 
 def _usable(rows: DataFrame) -> DataFrame:
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    return rows.where("label is not null and v is not null and size(v) > 0").where(~bad).where((norm > 0) & (norm < float("inf")))
+    return rows.where("label is not null and v is not null and size(v) > 0").where(~bad).where(F.array_max(F.transform("v", F.abs)) > 0)
 
 
 def _scaled(batch: pa.RecordBatch) -> np.ndarray:
@@ -198,24 +199,9 @@ def _unite(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
 
 
-def epsilon_grid_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """One row for each row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    small_batches(spark)
-    rows = vectors.select(
-        F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label")
-    )
-    at = F.monotonically_increasing_id()
-    usable = _usable(rows)
-    sizes = usable.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    alone = F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-    if sizes is None:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), *alone)
-    dim, n = sizes["dim"], sizes["n"]
-    usable = usable.where(F.size("v") == dim)
-    # vid names a group of equal vectors with equal labels
-    groups = usable.groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
-    groups = stage(groups.select("*", at.alias("vid")), "groups")
+def _grid_links(groups: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
+    """(kind, a, b) of the ``n`` groups of vectors of length ``dim``, staged."""
+    spark, at = groups.sparkSession, F.monotonically_increasing_id()
     epsilon = float(np.sqrt(2 - 2 * cosine))
     directions = leading_directions(groups, dim, max(n, 1), min(LEADING, dim))
     cells = [f"c{i}" for i in range(directions.shape[1])]
@@ -239,7 +225,27 @@ def epsilon_grid_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sides = [blocks.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "ids", "copies", "unit"))) for s in "ab"]
     work = pairs.join(sides[0], "a_id").join(sides[1], "b_id")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = stage(work.repartition(tasks).mapInArrow(_joined(directions, epsilon, cosine), "kind int, a bigint, b bigint"), "found")
+    return stage(work.repartition(tasks).mapInArrow(_joined(directions, epsilon, cosine), "kind int, a bigint, b bigint"), "found")
+
+
+def epsilon_grid_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """One row for each row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
+    spark = vectors.sparkSession
+    small_batches(spark)
+    rows = vectors.select(
+        F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label")
+    )
+    # vid names a group of equal vectors with equal labels
+    groups = _usable(rows).groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+    groups = stage(groups.select("*", F.monotonically_increasing_id().alias("vid")), "groups")
+    # lengths are those of the models that made the vectors
+    widths = groups.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()
+    if not widths:
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = None
+    for width in widths:
+        part = _grid_links(groups.where(F.size("v") == width["dim"]), width["dim"], width["n"], cosine)
+        found = part if found is None else found.unionByName(part)
     counts = found.where("kind = 0").groupBy(F.col("a").alias("vid")).agg(F.sum("b").alias("links"))
     component = connected_components(found.where("kind = 1").select("a", "b"))
     known = groups.join(counts, "vid", "left").join(component.withColumnRenamed("v", "vid"), "vid", "left")
