@@ -13,8 +13,10 @@ the probabilities of all languages.
 Before coding, A-Z become a-z and every other ASCII byte becomes a space.
 
 The trees are fitted on a bounded sample: per language up to ``SAMPLE_DOCS``
-labelled documents of up to ``SAMPLE_BYTES`` together, chosen by a hash of
-their id, from those whose crc32(doc_id) mod 4 is not 2.  Every text of the
+labelled documents, chosen by a hash of their id from those whose
+crc32(doc_id) mod 4 is not 2, and of each the text or, where it is longer than ``SAMPLE_SPAN``
+characters, that many in a row from a place the hash names, until
+``SAMPLE_BYTES`` are reached.  So no single text fills the sample.  Every text of the
 table is scored as a whole.  A text that is null or has no letter is ``und``
 with score 0, and so is everything if there is nothing to learn from.  A null
 doc_id is never learned from and counts as not held out.
@@ -35,6 +37,7 @@ from llm.common import small_batches, text_rows
 ORDER = 3
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 1_000_000
+SAMPLE_SPAN = 8_192
 #: Codes scored at once, over all languages.
 AT_ONCE = 4 << 20
 
@@ -180,17 +183,26 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
-    rows = docs.where("lang is not null and doc_id is not null").where(remainder() != 2)
+def learnable(docs: DataFrame) -> DataFrame:
+    """The rows that may be learned from."""
+    return docs.where("lang is not null and doc_id is not null").where(remainder() != 2)
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, sample_span: int = SAMPLE_SPAN) -> Model | None:
+    rows = learnable(docs)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, 4 * sample_docs / n)) for k, n in sizes.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
     drawn = rows.join(F.broadcast(shares), "lang").withColumn("draw", draw).where("draw < share")
-    drawn = drawn.withColumn("rank", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order))
-    sample = drawn.where((F.col("rank") <= sample_docs) & ((F.col("bytes") <= sample_bytes) | (F.col("rank") == 1))).select("lang", "text")
+    spare = F.greatest(F.length("text") - sample_span, F.lit(0))
+    begin = F.pmod(F.xxhash64(F.lit(1), "doc_id"), (spare + 1).cast("bigint")).cast("int")
+    drawn = drawn.withColumn("text", F.substring(F.col("text"), begin + 1, F.lit(sample_span)))
+    before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = drawn.withColumn("rank", F.row_number().over(order)).withColumn("before", before)
+    sample = drawn.where((F.col("rank") <= sample_docs) & (F.col("before") < sample_bytes)).select("lang", "text")
     counted = sample.mapInArrow(_sampled_grams, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     found = counted.toPandas()  # bounded by the bytes of the sample
     if found.empty:

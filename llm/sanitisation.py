@@ -244,11 +244,14 @@ def sanitised(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("start", "end", "from", "put"))).alias("cuts"), F.max("end").alias("last")
     )
     cuts = cuts.select(F.col("doc_id").alias("o_id"), F.col("key").alias("o_key"), "cuts", "last")
+    # the row goes through whole, so that no name of its columns can clash
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("o_row", key).join(cuts, (F.col("o_row") == F.col("o_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("o_id")), "left")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
+    joined = whole.join(cuts, (F.col("key") == F.col("o_key")) & F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
     pieces = F.transform(
         "cuts",
         lambda c: F.concat(F.substring(F.col("text"), (c["from"] + 1).cast("int"), F.greatest(c["start"] - c["from"], F.lit(0)).cast("int")), c["put"]),
     )
     clean = F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), (F.col("last") + 1).cast("int"), F.lit(2**31 - 1)))
-    return joined.select(*(F.when(F.col("cuts").isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(clean)
+    return joined.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from llm import chat_formatting, decontamination, embedding_join, langid, ngram_join, packing, queries, sanitisation, sharding, substring_dedup, token_counts
+from llm import chat_formatting, decontamination, embedding_join, langid, ngram_join, packing, queries, sanitisation, sharding, stages, substring_dedup, token_counts
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -331,6 +331,23 @@ def test_embedding_join(spark):
     assert embedding_join.epsilon_grid_join(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_vectors_of_any_length_and_magnitude(spark):
+    rng = np.random.default_rng(6)
+    base = {w: rng.normal(size=(4, w)) for w in (3, 5, 8)}
+    rows = [(k, (v * 10.0 ** e).tolist(), "a") for k, (v, e) in enumerate((base[w][i] + rng.normal(size=w) * 0.01, e) for w in base for i in range(4) for e in (0, 200, -200, 300, -310))]
+    rows += [(900, [1e200, 2e200], "a"), (901, [1e200, 2e200], "a"), (902, [5e-324, 1e-323], "a"), (903, [1.0, 2.0], "b"), (904, [3.0], "a"), (905, [4.0], "a"), (906, [-4.0], "a")]
+    unit = {}
+    for i, v, _ in rows:
+        x = np.array(v) / np.abs(v).max()
+        unit[i] = x / np.linalg.norm(x)
+    label = {i: g for i, _, g in rows}
+    links = [(a, b) for a in unit for b in unit if a != b and label[a] == label[b] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98]
+    of, n = components(set(unit), links), Bag(a for a, _ in links)
+    got = rows_of(embedding_join.epsilon_grid_join(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")))
+    assert n[900] == 2 and n[904] == 1 and n[0] >= 3
+    assert got == sorted(((i, n[i], of[i], of[i] == i) for i in unit), key=repr)
+
+
 def test_blocks_of_an_embedding_join(spark, monkeypatch):
     rng = np.random.default_rng(4)
     a = rng.normal(size=(150, 6))
@@ -426,6 +443,42 @@ def test_pipeline_stages(spark, sf_dir):
         docs = spark.createDataFrame([tuple(r) for r in after.values()], out.schema)
 
 
+CLASHES = ("o_id", "o_key", "o_row", "o_copies", "bad_id", "bad_key", "key", "row", "cuts", "last", "score", "lang_pred", "held_out", "component", "n", "kind", "match", "bits", "t", "w")
+
+
+def test_stages_leave_other_columns_alone(spark, sf_dir):
+    rows = [(i, t, lang, s, n) for i, t, lang, s, n in corpus()] + [(None, words(50, 77), "en", "s", 1), (30, words(30000, 78), "fr", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit(f"{c}-"), F.xxhash64("doc_id", "text").cast("string")) for c in CLASHES})
+    expect = {r["key"].split("-", 1)[1]: r for r in docs.collect()}
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        found = out.collect()
+        assert found
+        for r in found:
+            own = r["key"].split("-", 1)[1]
+            assert all(r[c] == f"{c}-{own}" for c in CLASHES) and r["source"] == expect[own]["source"], name
+        assert function(spark, docs.limit(0), sf_dir).columns == docs.columns
+        docs = spark.createDataFrame(found, out.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).columns[:2] == ["doc_id", "piece"]
+
+
+def test_without_labels_all_texts_with_letters_stay(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "12 34", None, "s", 1), (3, None, None, "s", 1), (None, "é", None, "s", 1)], SCHEMA)
+    out = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir)
+    assert rows_of(out) == rows_of(docs.where("doc_id = 1 or doc_id is null"))
+
+
+def test_one_long_text_does_not_fill_the_sample(spark):
+    rows = [(i, words(40, i), "en") for i in range(300)] + [(i, words(40, 1000 + i), "fr") for i in range(300, 330)]
+    schema = "doc_id bigint, text string, lang string"
+    plain = langid.fit(spark.createDataFrame(rows, schema))
+    long = langid.fit(spark.createDataFrame([(i, words(400000, i) if i % 5 == 0 else t, lang) for i, t, lang in rows], schema), sample_bytes=300_000)
+    assert len(long.trees[0].grams[3][0]) > 0.5 * len(plain.trees[0].grams[3][0])
+    alone = langid.fit(spark.createDataFrame([(1, words(400000, 1), "en"), (3, words(400000, 2), "en")], schema), sample_bytes=10)
+    assert sum(t.grams[0][1].sum() for t in alone.trees) <= 4 * langid.SAMPLE_SPAN
+
+
 def test_one_row_of_each_group_stays(spark):
     a, b, c, d, e = (words(60, 200 + i) for i in range(5))
     near = lambda t: " ".join(["changed", *t.split()[1:]])
@@ -434,7 +487,7 @@ def test_one_row_of_each_group_stays(spark):
         (8, ""), (8, ""), (None, None), (None, None), (11, None), (3, "..."), (12, b.upper()),
     ]
     rows = [(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(texts)]
-    out = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    out = stages.one_of_each_group(spark.createDataFrame(rows, SCHEMA)).collect()
     sets = [shingles(t) for _, t in texts]
     links = [(x, y) for x, s in enumerate(sets) for y, r in enumerate(sets) if s and r and 100 * len(s & r) >= 80 * len(s | r)]
     of = components(range(len(texts)), links)
