@@ -9,76 +9,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from llm.common import is_small, stage, table
-from llm.decontamination import decontaminate
-from llm.langid import predict_languages
-from llm.ngram_join import row_components, row_key
-from llm.packing import best_fit_packing
+from llm import stages
+from llm.common import stage, table
 from llm.queries import PACKING_TOKENIZER, tokenizer_path
-from llm.sanitisation import sanitised
 
 
-def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that was learned, which becomes their ``lang``; ``und`` goes."""
-    found = predict_languages(docs, keep=True).where("lang_pred <> 'und'")
-    return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return stages.known_language(docs)
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one with the smallest id, null ids last, and among rows of that id the one with the smallest key.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return stages.one_of_each_group(docs)
 
-    Rows without words are in no group and stay, repeated ones too.
-    """
-    found = row_components(docs).where("component is not null")
-    rows = stage(found.groupBy("component", "doc_id", "key").agg(F.count("*").alias("copies")), "group_rows")
-    first = rows.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("first"))
-    kept = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    # rows that don't stay as they are: they go (0 copies), or one of several equal rows stays
-    marks = rows.join(first, "component").select(
-        F.col("doc_id").alias("o_id"), F.col("key").alias("o_key"), F.when(kept, F.col("copies")).otherwise(F.lit(0)).alias("o_copies")
-    )
-    marks = stage(marks.where("o_copies <> 1"), "group_marks")
-    small = F.broadcast(marks) if is_small(marks) else marks
-    on = (F.col("o_row") == F.col("o_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("o_id"))
-    marked = docs.withColumn("o_row", row_key()).join(small, on, "left")
-    out = marked.where("o_copies is null").select(docs.columns)
-    if marks.where("o_copies > 1").isEmpty():
-        return out
-    # they have one id and text; where other columns differ, a hash of them decides
-    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
-    return out.unionByName(marked.where("o_copies > 1").groupBy("o_id", "o_key").agg(row).select("row.*"))
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return stages.not_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
-def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, (key == F.col("bad_key")) & F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return stages.without_personal_data(docs)
 
-def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and terms that disclose it replaced in the text; n_chars follows."""
-    clean = sanitised(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return best_fit_packing(docs, tokenizer_path(PACKING_TOKENIZER))
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return stages.packed(docs, tokenizer_path(PACKING_TOKENIZER))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", known_language),
-    ("near_duplicates", one_of_each_group),
-    ("decontamination", not_contaminated),
-    ("personal_data", without_personal_data),
-    ("packing", packed),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
 ]
 
-#: Language models, tokenizers and component search have no SQL form; tests compare each stage with a plain version.
+#: Language models, tokenizers and component search have no SQL form; tests compare stages with plain versions.
 ORACLE_SQL: str | None = None
 
 
