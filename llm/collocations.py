@@ -47,7 +47,10 @@ LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 BITS = 26
 TRIE_BYTES = 24 << 20
 #: Bytes of text worked on at once, and counted keys held by a task.
-SHARD, HELD = 1 << 20, 2_000_000
+SHARD, HELD = 1 << 20, 2_500_000
+#: A task reads a good deal of text, so that most of what recurs is added up before it is handed on: all of
+#: it in this many tasks a core, or more tasks where one would get more than TASK_BYTES.
+TASKS_PER_CORE, TASK_BYTES = 3, 2 << 30
 
 _SPACE, _BREAK = 0x20, 0x0A
 #: A-Z made small, tabs made blanks, and everything that ends a piece a line feed.
@@ -167,7 +170,7 @@ def _counted(k: int, shared: list, names: list[str]):
         for shard in shards(batches, languages):
             *_, (hashes, at) = shard.levels(k, sieves)
             held.add(*np.unique(hashes[shard.owned[at]], return_counts=True))
-            if held.size > 2 * HELD and len(held.total()[0]) > HELD:
+            if held.size > HELD * 8 // 5 and len(held.total()[0]) > HELD:
                 yield out()
         yield out()
 
@@ -241,7 +244,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, trie_bytes: int = TRIE_BY
     small_batches(spark)
     context = spark.sparkContext
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]  # languages
+    sizes = {r["lang"]: r["bytes"] or 0 for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    names = sorted(sizes)  # languages
+    rows = rows.coalesce(int(max(TASKS_PER_CORE * context.defaultParallelism, sum(sizes.values()) // TASK_BYTES)))
     sieves: list = []
     for k in range(1, LONGEST + 1):
         sieves.append(context.broadcast(_frequent(rows, k, sieves, names, least)))
