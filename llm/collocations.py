@@ -41,13 +41,13 @@ from cartloom.functions.ordering import global_rank
 from llm.common import is_small, small_batches, stage, text_rows
 from llm.double_array import DoubleArray
 from llm.hashing import mix, slice_hashes
-from llm.sieve import as_array, passes, sieve
+from llm.sieve import HELD, as_array, key_counts, passes, sieve
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 BITS = 26
 TRIE_BYTES = 24 << 20
-#: Bytes of text worked on at once, and counted keys held by a task.
-SHARD, HELD = 1 << 20, 2_500_000
+#: Bytes of text worked on at once.
+SHARD = 1 << 20
 #: A task reads a good deal of text, so that most of what recurs is added up before it is handed on: all of
 #: it in this many tasks a core, or more tasks where one would get more than TASK_BYTES.
 TASKS_PER_CORE, TASK_BYTES = 3, 2 << 30
@@ -137,44 +137,16 @@ def shards(batches: Iterator[pa.RecordBatch], languages: dict[str, int]) -> Iter
         yield Shard(parts)
 
 
-class _Sum:
-    """Counts by key; in parts, added up when they are many."""
+def _runs(k: int, shared: list, names: list[str]):
+    """Hashes of the runs of ``k`` words that may be frequent."""
 
-    def __init__(self):
-        self.keys, self.counts, self.size = [], [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.size += len(keys)
-
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate(self.counts), minlength=len(keys)).astype(np.int64)
-        self.keys, self.counts, self.size = [keys], [counts], len(keys)
-        return keys, counts
-
-
-def _counted(k: int, shared: list, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieves, held = [s.value for s in shared], _Sum()
-        languages = {name: i for i, name in enumerate(names)}
-
-        def out() -> pa.RecordBatch:
-            keys, counts = held.total()
-            held.__init__()
-            return pa.record_batch({"key": keys.view(np.int64), "n": counts})
-
-        for shard in shards(batches, languages):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        sieves = [s.value for s in shared]
+        for shard in shards(batches, {name: i for i, name in enumerate(names)}):
             *_, (hashes, at) = shard.levels(k, sieves)
-            held.add(*np.unique(hashes[shard.owned[at]], return_counts=True))
-            if held.size > HELD * 8 // 5 and len(held.total()[0]) > HELD:
-                yield out()
-        yield out()
+            yield hashes[shard.owned[at]]
 
-    return run
+    return keys
 
 
 def _spelled(shared: list, names: list[str]):
@@ -231,8 +203,7 @@ def _trie(part: pa.Table) -> DoubleArray:
 
 
 def _frequent(rows: DataFrame, k: int, sieves: list, names: list[str], least: int) -> np.ndarray:
-    counted = rows.mapInArrow(_counted(k, sieves, names), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return as_array(sieve(counted.where(F.col("n") >= least).select("key"), BITS), BITS)
+    return as_array(sieve(key_counts(rows, _runs(k, sieves, names)).where(F.col("n") >= least).select("key"), BITS), BITS)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, trie_bytes: int = TRIE_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,10 @@ Method: a prefix-tree join over globally ordered n-gram sets.
    in any global order.  Counting only these leading grams (in hash order)
    finds every set that can have a partner; the others leave.
 3. For the rest all grams are counted.  Grams of one set only can't be part of
-   an overlap, so a set keeps its shared grams, rarest first: the global
-   order of the tree.  A set with less than 0.8 of its grams left leaves.
+   an overlap, so a set keeps its shared grams, rarest first (by ranks of counts, then by
+   hash): the global order of the tree.  A set with less than 0.8 of its grams left leaves.
+   Only sums of grams are shuffled; which are shared, and their ranks, are told
+   to the scans by bitmaps of a fixed size, in which a shared bit keeps too much, never too little.
 4. Leading grams with the same sets below them are merged into one node (path
    compression).  The sets below a node are compared with a few hubs of the
    node, tree order by tree order: neighbours in the order share a path, and
@@ -37,10 +39,15 @@ from pyspark.sql import functions as F
 
 from llm.common import connected_components, small_batches, stage, text_rows
 from llm.hashing import mix, shingle_set, word_hashes
+from llm.sieve import as_array, key_counts, passes, sieve
 
 WIDTH = 5
 #: One gram in so many, of all of a set, must be shared among its leading grams for the set to be a candidate.
 LEAD = 8
+#: How often a gram occurs at least to be in each rank of the global order; what is below the first is in one set only.
+RANKS = (2, 5, 17, 65, 513)
+#: Bits of the bitmaps that tell shared grams and chosen rows (8 MB each, 16 MB for shared grams).
+BITS = 26
 #: Words of a set's signature.
 WORDS = 8
 #: Members compared with a hub in one task.
@@ -52,27 +59,19 @@ def needed(n: np.ndarray) -> np.ndarray:
     return -(-4 * n // 5)
 
 
-def _needed(n: str) -> Column:
-    return F.expr(f"({n} * 4 + 4) div 5")
-
-
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, two digests and leading grams of each text's set."""
+    """Size and two digests of each text's set."""
     for part, texts in text_rows(batches):
         sets = [shingle_set(w, WIDTH) for w in word_hashes(texts)]
-        n = np.array([len(s) for s in sets], np.int64)
         first = [int(mix(s + np.uint64(0x51ED)).sum(dtype=np.uint64)) for s in sets]
         second = [int(mix(s ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64)) for s in sets]
-        lead = n - needed(n) + np.maximum(1, -(-n // LEAD))
-        kept = [s[: min(len(s), k)].view(np.int64) for s, k in zip(sets, lead)]
         yield pa.record_batch(
             {
                 "doc_id": part.column("doc_id"),
                 "key": part.column("key"),
-                "n": n,
+                "n": np.array([len(s) for s in sets], np.int64),
                 "h1": np.array(first, np.uint64).view(np.int64),
                 "h2": np.array(second, np.uint64).view(np.int64),
-                "lead": _lists(kept),
             }
         )
 
@@ -82,29 +81,96 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, np.concatenate(arrays) if arrays else np.zeros(0, np.int64))
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, n, gram) of each text."""
+def _chosen(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(keys, sets) of the rows whose key may be in a sieve; only their texts are hashed."""
     for part, texts in text_rows(batches, 2 << 20):
-        sets = [shingle_set(w, WIDTH) for w in word_hashes(texts)]
-        n = [len(s) for s in sets]
-        yield pa.record_batch(
-            {
-                "x": np.repeat(part.column("x").to_numpy(zero_copy_only=False), n),
-                "n": np.repeat(np.array(n, np.int64), n),
-                "gram": np.concatenate(sets).view(np.int64),
-            }
-        )
+        keys = part.column("key").to_numpy(zero_copy_only=False)
+        keep = np.flatnonzero(passes(table, keys.view(np.uint64)))
+        if len(keep):
+            yield keys[keep], [shingle_set(w, WIDTH) for w in word_hashes([texts[i] for i in keep])]
+
+
+def _least(n: int) -> int:
+    """How many of its leading grams a candidate shares."""
+    return max(1, (-(-4 * n // 5) + LEAD - 1) // LEAD)
+
+
+def _lead(own: np.ndarray) -> np.ndarray:
+    return own[: len(own) - int(needed(len(own))) + max(1, -(-len(own) // LEAD))]
+
+
+def _lead_grams(chosen):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, sets in _chosen(batches, chosen.value):
+            yield np.concatenate([_lead(s) for s in sets])
+
+    return keys
+
+
+def _all_grams(chosen):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, sets in _chosen(batches, chosen.value):
+            yield np.concatenate(sets)
+
+    return keys
+
+
+def _sharing(chosen, shared):
+    """Keys of the sets that share enough leading grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for keys, sets in _chosen(batches, chosen.value):
+            enough = [int(passes(table, _lead(s)).sum()) >= _least(len(s)) for s in sets]
+            yield pa.record_batch({"x": keys[np.array(enough)]})
+
+    return run
+
+
+def _ordered(chosen, shared: list):
+    """(x, n, grams, s0...): the grams that may be shared, rarest first, and a signature with a bit for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [t.value for t in shared]
+        for keys, sets in _chosen(batches, chosen.value):
+            out, signs, kept = [], np.zeros((len(sets), WORDS), np.uint64), []
+            for i, own in enumerate(sets):
+                common = passes(tables[0], own)
+                if int(common.sum()) < int(needed(len(own))):
+                    continue
+                grams = own[common]
+                rank = sum(passes(t, grams).astype(np.int8) for t in tables[1:])
+                grams = grams[np.argsort(rank, kind="stable")]  # grams of one rank stay in the order of their hashes
+                np.bitwise_or.at(signs[i], (grams >> np.uint64(6)) & np.uint64(WORDS - 1), np.uint64(1) << (grams & np.uint64(63)))
+                out.append(grams.view(np.int64))
+                kept.append(i)
+            names = {f"s{j}": signs[kept, j].view(np.int64) for j in range(WORDS)}
+            yield pa.record_batch({"x": keys[kept], "n": np.array([len(sets[i]) for i in kept], np.int64), "grams": _lists(out)} | names)
+
+    return run
+
+
+#: Grams looked up at once on the way down.
+STEP = 16
+
+
+def _hits(known: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which grams the hub has."""
+    if not len(known):
+        return np.zeros(len(grams), bool)
+    return known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Depth-first walk through the tree of each hub's members, which come in tree order after the hub.
 
     ``hits[d]`` is the overlap with the hub along the first d grams of the
-    current path; a member starts at the depth up to which it shares the path.
+    path, as far down as it has been followed; a member goes on from where it leaves the path
+    before, and is left where the grams that remain can't reach the needed overlap.
     """
     hub = salt = None
-    known: np.ndarray = np.zeros(0, np.int64)
-    size, path, hits, reached = 0, known, np.zeros(1, np.int64), 0
+    known = path = np.zeros(0, np.int64)
+    size, hits = 0, np.zeros(1, np.int64)
     for batch in batches:
         grams = batch.column("grams")
         values, ends = grams.values.to_numpy(), grams.offsets.to_numpy()
@@ -114,52 +180,42 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = values[ends[i] : ends[i + 1]]
             if not heads[i]:
                 hub, salt, size = hs[i], ss[i], ns[i]
-                known = np.sort(own)
-                path, hits, reached = own[:0], np.zeros(1, np.int64), 0
+                known, path, hits = np.sort(own), own[:0], np.zeros(1, np.int64)
                 continue
             assert (hub, salt) == (hs[i], ss[i])
             n = ns[i]
             need = -(-4 * (n + size) // 9)  # 0.8 of the union, by the overlap
-            both = min(len(own), len(path), reached)
+            both = min(len(own), len(path), len(hits) - 1)
             differ = np.flatnonzero(own[:both] != path[:both])
             depth = int(differ[0]) if len(differ) else both
-            rest = own[depth:]
-            at = np.searchsorted(known, rest)
-            found = known[np.minimum(at, len(known) - 1)] == rest if len(known) else np.zeros(len(rest), bool)
-            hits = np.concatenate([hits[: depth + 1], hits[depth] + np.cumsum(found)])
-            # what can still be reached at each depth; where it falls short, the walk ends
-            reach = hits + np.arange(len(own), -1, -1)
-            short = np.flatnonzero(reach < need)
-            reached = int(short[0]) if len(short) else len(own)
-            hits, path = hits[: reached + 1], own
-            if not len(short) and 9 * int(hits[-1]) >= 4 * (n + size):
+            hits, path = hits[: depth + 1], own
+            while depth < len(own) and hits[depth] + len(own) - depth >= need:
+                rest = own[depth : depth + STEP]
+                hits = np.concatenate([hits, hits[depth] + np.cumsum(_hits(known, rest))])
+                depth += len(rest)
+            if depth == len(own) and hits[depth] >= need:
                 out_a.append(hub)
                 out_b.append(xs[i])
         yield pa.record_batch({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """The sets (x) that share enough leading grams with others."""
-    grams = classes.select("x", "n", F.explode("lead").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1").select("gram")
-    least = F.expr(f"greatest(1, ((n * 4 + 4) div 5 + {LEAD - 1}) div {LEAD})")
-    return grams.join(shared, "gram").groupBy("x", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("x")
+def _sieved(keys: DataFrame, bits: int = BITS):
+    return keys.sparkSession.sparkContext.broadcast(as_array(sieve(keys, bits), bits))
 
 
-def _reduced(texts: DataFrame) -> DataFrame:
-    """(x, n, grams, s0...): the shared grams of each candidate, rarest first, and a signature with a bit for each."""
-    grams = stage(texts.mapInArrow(_grams, "x bigint, n bigint, gram bigint"), "grams")
-    counts = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
-    return (
-        grams.join(counts, "gram")
-        .groupBy("x", "n")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("pairs"),
-            *(F.expr(f"bit_or(if((gram >> 6) & {WORDS - 1} = {i}, shiftleft(1L, cast(gram & 63 as int)), 0L))").alias(f"s{i}") for i in range(WORDS)),
-        )
-        .where(F.size("pairs") >= _needed("n"))
-        .select("x", "n", F.col("pairs.gram").alias("grams"), *_SIGNATURE)
-    )
+def _reduced(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, n, grams, s0...) of the sets that can have a partner; no gram moves with its set, only sums of grams do."""
+    row = _sieved(classes.select(F.col("x").alias("key")))
+    lead = _sieved(key_counts(rows, _lead_grams(row)).where("n > 1"), BITS + 1)
+    found = rows.mapInArrow(_sharing(row, lead), "x bigint").distinct()
+    candidates = stage(found.join(classes.select("x"), "x", "left_semi"), "candidates")
+    row = _sieved(candidates.select(F.col("x").alias("key")))
+    counts = stage(key_counts(rows, _all_grams(row)).where("n > 1"), "gram_counts")
+    shared = [_sieved(counts.where(F.col("n") >= least), BITS + 1 if least == 2 else BITS) for least in RANKS]
+    schema = "x bigint, n bigint, grams array<bigint>, " + ", ".join(f"{s} bigint" for s in _SIGNATURE)
+    sets = rows.mapInArrow(_ordered(row, shared), schema)
+    # a row that a sieve let through wrongly is none of the candidates; equal rows are one set
+    return sets.join(candidates, "x", "left_semi").dropDuplicates(["x"])
 
 
 _SIGNATURE = [f"s{i}" for i in range(WORDS)]
@@ -249,15 +305,11 @@ def row_components(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", row_key())
-    profiles = stage(
-        rows.mapInArrow(_profiles, "doc_id bigint, key bigint, n bigint, h1 bigint, h2 bigint, lead array<bigint>"), "profiles"
-    )
+    profiles = stage(rows.mapInArrow(_profiles, "doc_id bigint, key bigint, n bigint, h1 bigint, h2 bigint"), "profiles")
     digest = ["n", "h1", "h2"]
-    # x, a class of equal sets: the smallest key of its rows, which leads to a text.  Equal sets have equal leading grams.
-    classes = stage(profiles.where("n > 0").groupBy(*digest).agg(F.min("key").alias("x"), F.first("lead").alias("lead")), "classes")
-    candidates = stage(_candidates(classes), "candidates")
-    texts = rows.join(candidates, F.col("key") == F.col("x")).select("x", "text").dropDuplicates(["x"])
-    sets = stage(_reduced(texts), "sets")
+    # x, a class of equal sets: the smallest key of its rows, which leads to a text
+    classes = stage(profiles.where("n > 0").groupBy(*digest).agg(F.min("key").alias("x")), "classes")
+    sets = stage(_reduced(rows, classes), "sets")
     nodes, component, edges, round_ = stage(_nodes(sets).withColumn("c", F.col("x")), "nodes"), None, None, 0
     while True:
         hubs, open_ = _hubs(nodes, round_)
@@ -283,7 +335,7 @@ def row_components(docs: DataFrame) -> DataFrame:
     reached = classes.join(component.withColumnRenamed("v", "x"), "x", "left").select(
         *digest, F.coalesce("component", "x").alias("component")
     )
-    return stage(profiles.drop("lead").join(reached, digest, "left").drop("h1", "h2"), "reached")
+    return stage(profiles.join(reached, digest, "left").drop("h1", "h2"), "reached")
 
 
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:

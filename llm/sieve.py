@@ -8,7 +8,10 @@ decides exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +51,55 @@ def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which unsigned 64-bit keys may be in the sieve."""
     slot = (keys & np.uint64(8 * len(table) - 1)).astype(np.int64)
     return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & np.uint8(1) > 0
+
+
+#: Counted keys held by a task before it hands them on.
+HELD = 2_500_000
+
+
+class Tally:
+    """Counts by key, added up inside a task; parts are merged when they are many."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        keys, counts = np.unique(keys, return_counts=True)
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        keys, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate(self.counts), minlength=len(keys)).astype(np.int64)
+        self.keys, self.counts, self.size = [keys], [counts], len(keys)
+        return keys, counts
+
+    def full(self) -> bool:
+        return self.size > HELD * 8 // 5 and len(self.total()[0]) > HELD
+
+    def handed_on(self) -> pa.RecordBatch:
+        keys, counts = self.total()
+        self.__init__()
+        return pa.record_batch({"key": keys.view(np.int64), "n": counts})
+
+
+def tallied(keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that hands on (key, n), the sums of the unsigned 64-bit keys that ``keys_of`` makes of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Tally()
+        for keys in keys_of(batches):
+            held.add(keys)
+            if held.full():
+                yield held.handed_on()
+        yield held.handed_on()
+
+    return run
+
+
+def key_counts(rows: DataFrame, keys_of) -> DataFrame:
+    """(key, n) over all rows."""
+    return rows.mapInArrow(tallied(keys_of), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))

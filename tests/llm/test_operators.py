@@ -86,6 +86,31 @@ def test_ngram_join(spark, docs, nothing):
     assert ngram_join.ngram_jaccard_join(docs).count() == docs.count()
 
 
+def test_hopeless_members_are_left_early(monkeypatch):
+    import pyarrow as pa
+
+    looked, plain = [], ngram_join._hits
+    monkeypatch.setattr(ngram_join, "_hits", lambda known, grams: looked.append(len(grams)) or plain(known, grams))
+
+    def pairs(hub, members):
+        looked.clear()
+        members = sorted(members)
+        sets = [hub, *members]
+        batch = pa.record_batch({"h": [0] * len(sets), "salt": [0] * len(sets), "member": [0] + [1] * len(members), "x": list(range(len(sets))), "n": [len(s) for s in sets], "grams": ngram_join._lists([np.array(s) for s in sets])})
+        found = [(r["a"], r["b"]) for out in ngram_join._walk([batch]) for r in out.to_pylist()]
+        assert found == [(0, i) for i, m in enumerate(members, 1) if 100 * len(set(hub) & set(m)) >= 80 * len(set(hub) | set(m))]
+        return sum(looked)
+
+    hub = list(range(10_000, 10_100))
+    far = [list(range(60)) + [1000 * k + j for j in range(40)] for k in range(1, 51)]
+    assert pairs(hub, far) <= 100
+    near = [list(range(10_000, 10_060)) + [20_000 + 100 * k + j for j in range(40)] for k in range(50)]
+    near += [list(range(10_000, 10_095)) + [90_000 + k] for k in range(5)]
+    assert pairs(hub, near) <= 50 * 32 + 5 * 100
+    rng = random.Random(2)
+    pairs(hub, [sorted(rng.sample(range(9_990, 10_110), rng.randint(70, 110))) for _ in range(200)])
+
+
 def test_decontamination(spark, docs, nothing):
     shared = corpus()[4][1].split("\n")[1]
     items = [(1, shared.upper() + "."), (2, "nowhere " * 12), (3, "one two"), (4, None), (5, ""), (None, shared), (10, shared[3:])]
