@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import connected_components, small_batches, stage, text_rows
+from llm.common import connected_components, is_small, small_batches, stage, text_rows
 from llm.hashing import mix, shingle_set, word_hashes
 from llm.sieve import as_array, key_counts, passes, sieve
 
@@ -203,7 +203,7 @@ def _sieved(keys: DataFrame, bits: int = BITS):
     return keys.sparkSession.sparkContext.broadcast(as_array(sieve(keys, bits), bits))
 
 
-def _reduced(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _reduced(rows: DataFrame, classes: DataFrame, profiles: DataFrame) -> DataFrame:
     """(x, n, grams, s0...) of the sets that can have a partner; no gram moves with its set, only sums of grams do."""
     row = _sieved(classes.select(F.col("x").alias("key")))
     lead = _sieved(key_counts(rows, _lead_grams(row)).where("n > 1"), BITS + 1)
@@ -214,8 +214,12 @@ def _reduced(rows: DataFrame, classes: DataFrame) -> DataFrame:
     shared = [_sieved(counts.where(F.col("n") >= least), BITS + 1 if least == 2 else BITS) for least in RANKS]
     schema = "x bigint, n bigint, grams array<bigint>, " + ", ".join(f"{s} bigint" for s in _SIGNATURE)
     sets = rows.mapInArrow(_ordered(row, shared), schema)
-    # a row that a sieve let through wrongly is none of the candidates; equal rows are one set
-    return sets.join(candidates, "x", "left_semi").dropDuplicates(["x"])
+    # a row that a sieve let through wrongly is none of the candidates
+    small = is_small(candidates)
+    sets = sets.join(F.broadcast(candidates) if small else candidates, "x", "left_semi")
+    # rows with one id and text are one set; sets only move if there are such rows
+    repeated = profiles.groupBy(F.col("key").alias("x")).agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1")
+    return sets if repeated.join(candidates, "x", "left_semi").isEmpty() else sets.dropDuplicates(["x"])
 
 
 _SIGNATURE = [f"s{i}" for i in range(WORDS)]
@@ -309,7 +313,7 @@ def row_components(docs: DataFrame) -> DataFrame:
     digest = ["n", "h1", "h2"]
     # x, a class of equal sets: the smallest key of its rows, which leads to a text
     classes = stage(profiles.where("n > 0").groupBy(*digest).agg(F.min("key").alias("x")), "classes")
-    sets = stage(_reduced(rows, classes), "sets")
+    sets = stage(_reduced(rows, classes, profiles), "sets")
     nodes, component, edges, round_ = stage(_nodes(sets).withColumn("c", F.col("x")), "nodes"), None, None, 0
     while True:
         hubs, open_ = _hubs(nodes, round_)
