@@ -16,7 +16,13 @@ clean_summary financial_performance sales_daily sales_by_weekday customer_metric
 heatmap_day_hour quarterly_growth seasonal_extremes order_value_anomalies pareto_customers kpi_growth rfm_scores rfm_segment_nb
 rfm_features_nb customer_features_lib clv segment_insights segment_summary_nb feature_correlation priority_segments_bands standardize
 auc classification_report churn_labels churn_features_temporal retention_roi churn_patterns campaign_segments budget_allocation
-calendar_summary ab_metrics ab_winner attribution_time_decay campaign_planning csv_scan segment_scan_tolerant""".split()
+calendar_summary ab_metrics ab_winner attribution_time_decay campaign_planning csv_scan segment_scan_tolerant attribution_last_touch
+attribution_first_touch attribution_linear csv_detect_encoding csv_detect_separator file_catalog file_info_preview load_metrics scan_cache
+table_scan_clean profile_cardinality clean_quality_score clean_business_logic_nb quality_recommendations validate_model_input alerts_quality
+calendar_features message_assignment kmeans_clusters pca_2d clustering_metrics churn_logistic churn_random_forest churn_gbt
+feature_importance model_selection model_train_record model_predict model_sink model_scan churn_train_select churn_score
+risk_band_analysis retention_impact churn_dashboard churn_analysis_full segment_analysis_cluster customer_analysis_full
+cluster_summary_nb priority_segments campaign_strategy_summary customer_anomalies_iforest anomaly_summary""".split()
 
 CHECKS = entry.oracle_sql()
 KEYS = sorted(CHECKS) if os.environ.get("CARTLOOM_ALL_CHECKS") else SOME
