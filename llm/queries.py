@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from llm.chat_formatting import linked_conversations
 from llm.collocations import collocations
 from llm.common import table
-from llm.decontamination import decontaminate, with_proximity
+from llm.decontamination import SLACK, decontaminate
 from llm.embedding_join import epsilon_grid_join
 from llm.exact_dedup import exact_duplicates
 from llm.langid import predict_languages
@@ -39,7 +39,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact benchmark passages of all documents, and the items whose passages are near in them."""
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return with_proximity(decontaminate(docs, benchmark), docs, benchmark).drop("key")
+    return decontaminate(docs, benchmark, slack=SLACK).drop("key")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
