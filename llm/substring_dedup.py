@@ -16,19 +16,24 @@ is run on short strings of bounded length, cut around repeated anchors:
 
 1. Each window of LENGTH bytes names the grams of ``GRAM`` bytes with the
    smallest hash in it; equal windows name equal grams.  The 48-bit hashes
-   of named grams, about 6 in 100 bytes, are gathered by hash; those of one
+   of named grams, about 6 in 100 bytes, are counted, in tasks first; those of one
    document only are dropped.  Other windows can't repeat.
 2. Around each remaining anchor lies a segment that holds all windows with
    it, cut at the ends of the document.  Equal segments are aggregated to
    their smallest and largest id before they move.  An anchor in more than ``HOT``
-   documents has its windows cut out one by one, each a segment by itself that
+   documents, or more than ``HOT`` times beyond the first in a document, has its
+   windows cut out one by one, each a segment by itself that
    goes by its content, so that a line which a third of all documents hold
-   is no group in one task.
+   is no group in one task, and no group has more than twice as many segments.
 3. The segments of an anchor meet in one task, which runs the rounds above over
    blocks of segments.
 4. Each segment finds out from which windows a smaller id is known; the bytes
    of those windows are removed.
 
+The scans are told which anchors are shared, and which segments have such
+windows, by bitmaps of bounded size; a shared bit lets through too much, never too
+little.  So texts move only once, to meet what they lose.
+
 A document with the text of a smaller id is removed whole without all this.
 Null texts are empty; texts under LENGTH bytes keep everything; a null doc_id
 neither loses nor removes anything.  Rows with the same id are one document.
@@ -47,6 +52,7 @@ from pyspark.sql import functions as F
 
 from llm.common import is_small, small_batches, stage, text_rows
 from llm.hashing import mix, running, slice_hashes
+from llm.sieve import as_array, key_counts, marked, passes, sieve
 
 LENGTH = 50
 #: Stands for a null doc_id.
@@ -60,6 +66,12 @@ _REACH = LENGTH - GRAM
 _SEGMENT = LENGTH + _REACH
 _PIECE = 1 << 20
 _BITS = np.uint64((1 << 48) - 1)
+#: Marks an anchor's occurrences in a document beyond the first.
+_AGAIN = 1 << 48
+#: Bits of a bitmap: 32 for each key, at most 64 MB in all.
+_MOST_BITS = 29
+#: Bits of the bitmap of documents that go whole (2 MB).
+_WHOLE_BITS = 24
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -125,89 +137,64 @@ def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _packed(hashes: np.ndarray) -> bytes:
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The anchors of each document once, and marked ones for each further time it has them."""
+    for _, texts in text_rows(batches):
+        found = [h for _, h in anchors(texts)]
+        doc, hashes = np.repeat(np.arange(len(found)), [len(h) for h in found]), np.concatenate(found)
+        order = np.lexsort((hashes, doc))
+        doc, hashes = doc[order], hashes[order]
+        again = np.append(False, (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1]))[: len(hashes)]
+        yield np.where(again, hashes | np.uint64(_AGAIN), hashes)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+def _told(keys: DataFrame):
+    """The keys as a bitmap for all tasks."""
+    bits = min(max(keys.count(), 1).bit_length() + 5, _MOST_BITS)
+    bits = max(bits, 20)
+    return keys.sparkSession.sparkContext.broadcast(as_array(sieve(keys, bits), bits))
 
 
-def _gathered(buckets: int):
-    """Each bucket's hashes of a slice of documents, document after document."""
+def _segments(shared, hot, losing):
+    """(id, rk, h, pos, sid): where the segments lie that have a window to lose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_rows(batches):
-            found = [np.unique(h) for _, h in anchors(texts)]
-            ids, keys = (part.column(c).to_numpy() for c in ("id", "rk"))
-            doc = np.repeat(np.arange(len(found)), [len(h) for h in found])
-            hashes = np.concatenate(found)
-            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                own = order[cut[b] : cut[b + 1]]
-                if len(own):
-                    docs, counts = np.unique(doc[own], return_counts=True)
-                    rows.append((b, ids[docs].tolist(), keys[docs].tolist(), counts.tolist(), _packed(hashes[own])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, _GATHERED)], names=["bucket", "ids", "keys", "counts", "hashes"])
+        for part, row, hashes, at, data in _around(batches, 2 << 20, shared.value, hot.value):
+            sids = _digests(data)
+            own = np.flatnonzero(passes(losing.value, (hashes ^ sids).view(np.uint64)))
+            columns = {c: part.column(c).take(pa.array(row[own])) for c in ("id", "rk")}
+            yield pa.record_batch(columns | {"h": hashes[own], "pos": at[own], "sid": sids[own]})
 
     return run
 
 
-_GATHERED = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-
-
-def _shared(hot: int):
-    """Per document the hashes that other documents have too, and which of them very many have."""
-
-    def run(key, table):
-        ids, keys, hashes = [], [], []
-        for f in table.to_batches():
-            for i, k, c, h in zip(*(f.column(n).to_pylist() for n in ("ids", "keys", "counts", "hashes"))):
-                ids.append(np.repeat(np.array(i, np.int64), c))
-                keys.append(np.repeat(np.array(k, np.int64), c))
-                hashes.append(_unpacked(h))
-        ids, keys, hashes = np.concatenate(ids), np.concatenate(keys), np.concatenate(hashes)
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        counts = np.diff(np.append(first, len(ordered)))
-        many = np.repeat(counts, counts)
-        own = order[many > 1]
-        by = own[np.lexsort((keys[own], ids[own]))]
-        out = {"id": [], "rk": [], "hashes": [], "common": []}
-        if len(by):
-            start = np.flatnonzero(np.append(True, (ids[by][1:] != ids[by][:-1]) | (keys[by][1:] != keys[by][:-1])))
-            very = np.isin(hashes, ordered[first[counts > hot]])
-            for a, b in zip(start, np.append(start[1:], len(by))):
-                at = by[a:b]
-                for name, value in zip(out, (int(ids[at[0]]), int(keys[at[0]]), _packed(hashes[at]), _packed(hashes[at[very[at]]]))):
-                    out[name].append(value)
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types)})
-
-    return run
+def _distinct_segments(shared, hot):
+    """(h, sid, seg, low, high): the segments of a slice of documents once each, with the smallest and largest id."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, hashes, _, data in _around(batches, 8 << 20, shared.value, hot.value):
+            ids, sids = part.column("id").to_numpy()[row], _digests(data)
+            order = np.lexsort((hashes, sids))
+            # neighbours with other bytes are other segments, whatever their digests
+            other = (hashes[order[1:]] != hashes[order[:-1]]) | (data[order[1:]] != data[order[:-1]]).any(axis=1)
+            first = np.flatnonzero(np.append(True, other)) if len(order) else order
+            least, most = (f.reduceat(ids[order], first) if len(order) else ids for f in (np.minimum, np.maximum))
+            at = order[first]
+            yield pa.record_batch({"h": hashes[at], "sid": sids[at], "seg": _binary(data[at]), "low": least, "high": most})
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, rk, h, pos, seg): what lies around each shared anchor; 0xFF stands beyond the ends of a document."""
-    for part, row, hashes, at, data in _around(batches, 2 << 20):
-        columns = {c: part.column(c).take(pa.array(row)) for c in ("id", "rk")}
-        yield pa.record_batch(columns | {"h": hashes, "pos": at, "seg": _binary(data)})
+    return run
 
 
-def _distinct_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, seg, low, high): the segments of a slice of documents once each, with the smallest and largest id."""
-    for part, row, hashes, _, data in _around(batches, 8 << 20):
-        ids = part.column("id").to_numpy()[row]
-        order = np.argsort(np.ascontiguousarray(data).view(f"V{_SEGMENT}").ravel(), kind="stable") if len(data) else row
-        first = np.flatnonzero(np.append(True, (data[order[1:]] != data[order[:-1]]).any(axis=1))) if len(data) else row
-        least, most = (f.reduceat(ids[order], first) if len(data) else ids for f in (np.minimum, np.maximum))
-        yield pa.record_batch({"h": hashes[order[first]], "seg": _binary(data[order[first]]), "low": least, "high": most})
+def _digests(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of segments; with the anchor's hash they tell segments apart."""
+    flat = np.ascontiguousarray(data).ravel()
+    out = [np.zeros(0, np.uint64)]
+    step = _SEGMENT * 8192
+    for a in range(0, len(flat), step):
+        piece = flat[a : a + step]
+        begin = np.arange(0, len(piece), _SEGMENT)
+        out.append(slice_hashes(piece, begin, begin + _SEGMENT))
+    return np.concatenate(out).view(np.int64)
 
 
 def _binary(data: np.ndarray) -> pa.Array:
@@ -215,19 +202,18 @@ def _binary(data: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _around(batches: Iterator[pa.RecordBatch], size: int):
+def _around(batches: Iterator[pa.RecordBatch], size: int, shared: np.ndarray, hot: np.ndarray):
     """Each slice of documents with the row, hash, place and bytes of its segments."""
     pad = b"\xff" * _REACH
     window = np.arange(_SEGMENT)
     for part, texts in text_rows(batches, size):
         rows, hs, at, segs = [], [], [], []
-        shared, common = (part.column(c).to_pylist() for c in ("shared", "common"))
         for i, (pos, hashes) in enumerate(anchors(texts)):
-            keep = np.isin(hashes, _unpacked(b"".join(shared[i])))
+            keep = passes(shared, hashes)
             pos, hashes = pos[keep], hashes[keep]
             codes = np.frombuffer(pad + texts[i] + pad, np.uint8)
             own = codes[pos[:, None] + window]
-            very = np.isin(hashes, _unpacked(b"".join(common[i])))
+            very = passes(hot, hashes)
             for h, p, seg in ((hashes[~very], pos[~very], own[~very]), _single_windows(hashes[very], pos[very], own[very])):
                 rows.append(np.full(len(p), i))
                 hs.append(h)
@@ -387,26 +373,20 @@ def _merged(flat: list[int]) -> list[tuple[int, int]]:
 
 def covered_bytes(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """(id, rk, covered): flat (start, end) pairs of bytes to remove from ``rows`` (id, rk, text)."""
-    spark = rows.sparkSession
     key = ["id", "rk"]
     long = rows.where(f"id <> {NO_ID} and octet_length(text) >= {LENGTH}")
     narrow = long.select(*key, F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("bigint").alias("n"))
     first = narrow.groupBy("digest").agg(F.min("id").alias("first_id"))
     copies = stage(narrow.join(first, "digest").where("id > first_id").select(*key, "n").distinct(), "copies")
-    dropped = copies.select(key)
-    dropped = F.broadcast(dropped) if is_small(dropped) else dropped
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
-    gathered = long.join(dropped, key, "left_anti").mapInArrow(
-        _gathered(buckets), "bucket int, ids array<bigint>, keys array<bigint>, counts array<int>, hashes binary"
-    )
-    shared = stage(gathered.groupBy("bucket").applyInArrow(_shared(hot), "id bigint, rk bigint, hashes binary, common binary"), "shared")
-    own = shared.groupBy(key).agg(F.collect_list("hashes").alias("shared"), F.collect_list("common").alias("common"))
-    # one exchange of the texts serves this join twice and the last one of all
-    texts = rows.join(own, key)
-    segments = texts.mapInArrow(_distinct_segments, "h bigint, seg binary, low bigint, high bigint").withColumn("sid", F.xxhash64("seg"))
+    texts = _others(long, copies.select(key))
+    counts = stage(key_counts(texts.select("text"), _anchor_keys).where("n > 1"), "anchors")
+    shared = _told(counts.where(F.col("key") < _AGAIN).select("key"))
+    very = _told(counts.where(F.col("n") > hot).select(F.pmod("key", F.lit(_AGAIN)).alias("key")).distinct())
+    segments = texts.mapInArrow(_distinct_segments(shared, very), "h bigint, sid bigint, seg binary, low bigint, high bigint")
     classes = segments.repartition("h").groupBy("h", "sid", "seg").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    known = classes.sortWithinPartitions("h").mapInArrow(_construct, "h bigint, sid bigint, runs array<bigint>")
-    found = texts.mapInArrow(_segments, "id bigint, rk bigint, h bigint, pos bigint, seg binary").withColumn("sid", F.xxhash64("seg")).drop("seg")
+    known = stage(classes.sortWithinPartitions("h").mapInArrow(_construct, "h bigint, sid bigint, runs array<bigint>"), "known")
+    losing = _told(known.select(F.col("h").bitwiseXOR(F.col("sid")).alias("key")))
+    found = texts.mapInArrow(_segments(shared, very, losing), "id bigint, rk bigint, h bigint, pos bigint, sid bigint")
     at = F.sequence(F.lit(0), F.size("runs") - 1, F.lit(3))
     lost = F.filter(at, lambda i: F.get("runs", i + 2) < F.col("id"))
     pairs = F.flatten(F.transform(lost, lambda i: F.array(F.col("pos") + F.get("runs", i), F.col("pos") + F.get("runs", i + 1) + LENGTH)))
@@ -415,6 +395,16 @@ def covered_bytes(rows: DataFrame, hot: int = HOT) -> DataFrame:
     return parts.unionByName(whole).groupBy(key).agg(F.flatten(F.collect_list("pairs")).alias("covered"))
 
 
+def _others(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` without those in ``dropped``, of which only those that a bitmap finds move if they are many."""
+    key = ["id", "rk"]
+    if is_small(dropped):
+        return rows.join(F.broadcast(dropped), key, "left_anti")
+    told = marked(rows, F.col("rk"), sieve(dropped.select(F.col("rk").alias("key")), _WHOLE_BITS), _WHOLE_BITS, "maybe")
+    maybe = told.where("maybe").select(rows.columns).join(dropped, key, "left_anti")
+    return told.where("not maybe").select(rows.columns).unionByName(maybe)
+
+
 def substring_dedup(docs: DataFrame, hot: int = HOT, kept: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``kept`` also the bytes left."""
     small_batches(docs.sparkSession)
