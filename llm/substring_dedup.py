@@ -142,9 +142,10 @@ def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for _, texts in text_rows(batches):
         found = [h for _, h in anchors(texts)]
         doc, hashes = np.repeat(np.arange(len(found)), [len(h) for h in found]), np.concatenate(found)
-        order = np.lexsort((hashes, doc))
-        doc, hashes = doc[order], hashes[order]
-        again = np.append(False, (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1]))[: len(hashes)]
+        # a batch has some thousands of rows at most, whose number goes above the 48 bits
+        both = np.sort(doc.astype(np.uint64) << np.uint64(48) | hashes)
+        again = np.append(False, both[1:] == both[:-1])[: len(both)]
+        hashes = both & _BITS
         yield np.where(again, hashes | np.uint64(_AGAIN), hashes)
 
 
@@ -156,14 +157,19 @@ def _told(keys: DataFrame):
 
 
 def _segments(shared, hot, losing):
-    """(id, rk, h, pos, sid): where the segments lie that have a window to lose."""
+    """(h, sid, ids, rks, at): the segments of a slice of documents that have a window to lose, and where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, row, hashes, at, data in _around(batches, 2 << 20, shared.value, hot.value):
+        for part, row, hashes, at, data in _around(batches, 8 << 20, shared.value, hot.value):
             sids = _digests(data)
             own = np.flatnonzero(passes(losing.value, (hashes ^ sids).view(np.uint64)))
-            columns = {c: part.column(c).take(pa.array(row[own])) for c in ("id", "rk")}
-            yield pa.record_batch(columns | {"h": hashes[own], "pos": at[own], "sid": sids[own]})
+            own = own[np.argsort(sids[own])]
+            h, sid = hashes[own], sids[own]
+            first = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (h[1:] != h[:-1]))) if len(own) else own
+            offsets = pa.array(np.append(first, len(own)), pa.int32())
+            places = {"ids": part.column("id").to_numpy()[row[own]], "rks": part.column("rk").to_numpy()[row[own]], "at": at[own]}
+            lists = {n: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for n, v in places.items()}
+            yield pa.record_batch({"h": h[first], "sid": sid[first]} | lists)
 
     return run
 
@@ -174,7 +180,7 @@ def _distinct_segments(shared, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, row, hashes, _, data in _around(batches, 8 << 20, shared.value, hot.value):
             ids, sids = part.column("id").to_numpy()[row], _digests(data)
-            order = np.lexsort((hashes, sids))
+            order = np.argsort(sids)
             # neighbours with other bytes are other segments, whatever their digests
             other = (hashes[order[1:]] != hashes[order[:-1]]) | (data[order[1:]] != data[order[:-1]]).any(axis=1)
             first = np.flatnonzero(np.append(True, other)) if len(order) else order
@@ -280,21 +286,19 @@ def smallest_by_window(segments: np.ndarray, ids: np.ndarray, length: int = LENG
     return smallest
 
 
-def _runs(smallest: np.ndarray, valid: np.ndarray, most: np.ndarray) -> list[list[int] | None]:
+def _runs(smallest: np.ndarray, valid: np.ndarray, most: np.ndarray) -> pa.Array:
     """Flat (first start, last start, smallest id) runs of windows that some document must lose."""
-    out: list[list[int] | None] = []
+    n, width = smallest.shape
     useful = valid & (smallest < most[:, None])
     edge = np.ones(smallest.shape, bool)
     edge[:, 1:] = (smallest[:, 1:] != smallest[:, :-1]) | (useful[:, 1:] != useful[:, :-1])
-    for row in range(len(smallest)):
-        if not useful[row].any():
-            out.append(None)
-            continue
-        start = np.flatnonzero(edge[row])
-        stop = np.append(start[1:], smallest.shape[1]) - 1
-        keep = useful[row, start]
-        out.append(np.stack([start[keep], stop[keep], smallest[row, start[keep]]], axis=1).ravel().tolist())
-    return out
+    start = np.flatnonzero(edge)
+    stop = np.append(start[1:], n * width) - 1
+    keep = useful.ravel()[start]
+    start, stop = start[keep], stop[keep]
+    flat = np.stack([start % width, stop % width, smallest.ravel()[start]], axis=1).ravel()
+    offsets = np.append(0, 3 * np.cumsum(np.bincount(start // width, minlength=n)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
 
 
 def _construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +307,18 @@ def _construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solved(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         data = pa.Table.from_batches(tables)
         segments = np.frombuffer(b"".join(data.column("seg").to_pylist()), np.uint8).reshape(-1, _SEGMENT)
-        smallest = smallest_by_window(segments, data.column("low").to_numpy())
+        low, h = data.column("low").to_numpy(), data.column("h").to_numpy()
+        # a segment that is the only one with its anchor has no order to construct
+        other = h[1:] != h[:-1]
+        beside = np.flatnonzero(~(np.append(True, other) & np.append(other, True)))
+        smallest = np.repeat(low[:, None], _SEGMENT - LENGTH + 1, axis=1)
+        if len(beside):
+            smallest[beside] = smallest_by_window(segments[beside], low[beside])
         beyond = np.concatenate([np.zeros((len(segments), 1), np.int32), np.cumsum(segments == 0xFF, axis=1, dtype=np.int32)], axis=1)
         valid = beyond[:, LENGTH:] == beyond[:, : _SEGMENT - LENGTH + 1]
-        runs = pa.array(_runs(smallest, valid, data.column("high").to_numpy()), pa.list_(pa.int64()))
+        runs = _runs(smallest, valid, data.column("high").to_numpy())
         out = pa.table({"h": data.column("h"), "sid": data.column("sid"), "runs": runs})
-        return out.filter(pc.is_valid(out.column("runs"))).combine_chunks()
+        return out.filter(pc.greater(pc.list_value_length(out.column("runs")), 0)).combine_chunks()
 
     held, rows = [], 0
     for batch in batches:
@@ -386,11 +396,13 @@ def covered_bytes(rows: DataFrame, hot: int = HOT) -> DataFrame:
     classes = segments.repartition("h").groupBy("h", "sid", "seg").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     known = stage(classes.sortWithinPartitions("h").mapInArrow(_construct, "h bigint, sid bigint, runs array<bigint>"), "known")
     losing = _told(known.select(F.col("h").bitwiseXOR(F.col("sid")).alias("key")))
-    found = texts.mapInArrow(_segments(shared, very, losing), "id bigint, rk bigint, h bigint, pos bigint, sid bigint")
+    found = texts.mapInArrow(_segments(shared, very, losing), "h bigint, sid bigint, ids array<bigint>, rks array<bigint>, at array<bigint>")
     at = F.sequence(F.lit(0), F.size("runs") - 1, F.lit(3))
     lost = F.filter(at, lambda i: F.get("runs", i + 2) < F.col("id"))
     pairs = F.flatten(F.transform(lost, lambda i: F.array(F.col("pos") + F.get("runs", i), F.col("pos") + F.get("runs", i + 1) + LENGTH)))
-    parts = found.join(known, ["h", "sid"]).select(*key, pairs.alias("pairs")).where("size(pairs) > 0")
+    met = found.join(known, ["h", "sid"]).select("runs", F.explode(F.arrays_zip("ids", "rks", "at")).alias("p"))
+    met = met.select(F.col("p.ids").alias("id"), F.col("p.rks").alias("rk"), F.col("p.at").alias("pos"), "runs")
+    parts = met.select(*key, pairs.alias("pairs")).where("size(pairs) > 0")
     whole = copies.select(*key, F.array(F.lit(0).cast("bigint"), F.col("n")).alias("pairs"))
     return parts.unionByName(whole).groupBy(key).agg(F.flatten(F.collect_list("pairs")).alias("covered"))
 
