@@ -21,10 +21,10 @@ is run on short strings of bounded length, cut around repeated anchors:
 2. Around each remaining anchor lies a segment that holds all windows with
    it, cut at the ends of the document.  Equal segments are aggregated to
    their smallest and largest id before they move.  An anchor in more than ``HOT``
-   documents, or more than ``HOT`` times beyond the first in a document, has its
-   windows cut out one by one, each a segment by itself that
+   documents, or that comes back more than ``AGAIN_FOR_EACH * HOT`` times in documents
+   that have it, has its windows cut out one by one, each a segment by itself that
    goes by its content, so that a line which a third of all documents hold
-   is no group in one task, and no group has more than twice as many segments.
+   is no group in one task, and the segments of a group are bounded.
 3. The segments of an anchor meet in one task, which runs the rounds above over
    blocks of segments.
 4. Each segment finds out from which windows a smaller id is known; the bytes
@@ -60,6 +60,8 @@ NO_ID = -(2**63)
 GRAM = 20
 #: Documents with an anchor from which its windows go by their content.
 HOT = 20_000
+#: As many more times may an anchor come back in documents that have it, until the same happens.
+AGAIN_FOR_EACH = 10
 #: Segments in one construction, up to the end of the last anchor's.
 BLOCK = 60_000
 _REACH = LENGTH - GRAM
@@ -182,7 +184,9 @@ def _distinct_segments(shared, hot):
             ids, sids = part.column("id").to_numpy()[row], _digests(data)
             order = np.argsort(sids)
             # neighbours with other bytes are other segments, whatever their digests
-            other = (hashes[order[1:]] != hashes[order[:-1]]) | (data[order[1:]] != data[order[:-1]]).any(axis=1)
+            other = (hashes[order[1:]] != hashes[order[:-1]]) | (sids[order[1:]] != sids[order[:-1]])
+            alike = np.flatnonzero(~other)
+            other[alike] = (data[order[alike + 1]] != data[order[alike]]).any(axis=1)
             first = np.flatnonzero(np.append(True, other)) if len(order) else order
             least, most = (f.reduceat(ids[order], first) if len(order) else ids for f in (np.minimum, np.maximum))
             at = order[first]
@@ -213,14 +217,19 @@ def _around(batches: Iterator[pa.RecordBatch], size: int, shared: np.ndarray, ho
     pad = b"\xff" * _REACH
     window = np.arange(_SEGMENT)
     for part, texts in text_rows(batches, size):
-        rows, hs, at, segs = [], [], [], []
+        rows, hs, at, segs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, _SEGMENT), np.uint8)]
         for i, (pos, hashes) in enumerate(anchors(texts)):
-            keep = passes(shared, hashes)
+            keep = np.flatnonzero(passes(shared, hashes))
+            if not len(keep):
+                continue
             pos, hashes = pos[keep], hashes[keep]
             codes = np.frombuffer(pad + texts[i] + pad, np.uint8)
             own = codes[pos[:, None] + window]
             very = passes(hot, hashes)
-            for h, p, seg in ((hashes[~very], pos[~very], own[~very]), _single_windows(hashes[very], pos[very], own[very])):
+            found = [(hashes, pos, own)]
+            if very.any():
+                found = [(hashes[~very], pos[~very], own[~very]), _single_windows(hashes[very], pos[very], own[very])]
+            for h, p, seg in found:
                 rows.append(np.full(len(p), i))
                 hs.append(h)
                 at.append(p - _REACH)
@@ -391,7 +400,8 @@ def covered_bytes(rows: DataFrame, hot: int = HOT) -> DataFrame:
     texts = _others(long, copies.select(key))
     counts = stage(key_counts(texts.select("text"), _anchor_keys).where("n > 1"), "anchors")
     shared = _told(counts.where(F.col("key") < _AGAIN).select("key"))
-    very = _told(counts.where(F.col("n") > hot).select(F.pmod("key", F.lit(_AGAIN)).alias("key")).distinct())
+    most = F.when(F.col("key") < _AGAIN, F.lit(hot)).otherwise(F.lit(AGAIN_FOR_EACH * hot))
+    very = _told(counts.where(F.col("n") > most).select(F.pmod("key", F.lit(_AGAIN)).alias("key")).distinct())
     segments = texts.mapInArrow(_distinct_segments(shared, very), "h bigint, sid bigint, seg binary, low bigint, high bigint")
     classes = segments.repartition("h").groupBy("h", "sid", "seg").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     known = stage(classes.sortWithinPartitions("h").mapInArrow(_construct, "h bigint, sid bigint, runs array<bigint>"), "known")
