@@ -21,8 +21,8 @@ is run on short strings of bounded length, cut around repeated anchors:
 2. Around each remaining anchor lies a segment that holds all windows with
    it, cut at the ends of the document.  Equal segments are aggregated to
    their smallest and largest id before they move.  An anchor in more than ``HOT``
-   documents, or that comes back more than ``AGAIN_FOR_EACH * HOT`` times in documents
-   that have it, has its windows cut out one by one, each a segment by itself that
+   documents, or that comes back in more than ``AGAIN_FOR_EACH * HOT`` surroundings
+   in documents that have it, has its windows cut out one by one, each a segment by itself that
    goes by its content, so that a line which a third of all documents hold
    is no group in one task, and the segments of a group are bounded.
 3. The segments of an anchor meet in one task, which runs the rounds above over
@@ -60,7 +60,7 @@ NO_ID = -(2**63)
 GRAM = 20
 #: Documents with an anchor from which its windows go by their content.
 HOT = 20_000
-#: As many more times may an anchor come back in documents that have it, until the same happens.
+#: In as many more surroundings may an anchor come back in documents that have it, until the same happens.
 AGAIN_FOR_EACH = 10
 #: Segments in one construction, up to the end of the last anchor's.
 BLOCK = 60_000
@@ -68,7 +68,7 @@ _REACH = LENGTH - GRAM
 _SEGMENT = LENGTH + _REACH
 _PIECE = 1 << 20
 _BITS = np.uint64((1 << 48) - 1)
-#: Marks an anchor's occurrences in a document beyond the first.
+#: Marks surroundings in which a document has an anchor again.
 _AGAIN = 1 << 48
 #: Bits of a bitmap: 32 for each key, at most 64 MB in all.
 _MOST_BITS = 29
@@ -140,15 +140,22 @@ def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The anchors of each document once, and marked ones for each further time it has them."""
+    """The anchors of each document once, and marked ones for the different surroundings in which documents of a slice have them again."""
+    pad = b"\xff" * _REACH
     for _, texts in text_rows(batches):
-        found = [h for _, h in anchors(texts)]
-        doc, hashes = np.repeat(np.arange(len(found)), [len(h) for h in found]), np.concatenate(found)
-        # a batch has some thousands of rows at most, whose number goes above the 48 bits
-        both = np.sort(doc.astype(np.uint64) << np.uint64(48) | hashes)
-        again = np.append(False, both[1:] == both[:-1])[: len(both)]
-        hashes = both & _BITS
-        yield np.where(again, hashes | np.uint64(_AGAIN), hashes)
+        once, again, around = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for text, (pos, hashes) in zip(texts, anchors(texts)):
+            order = np.argsort(hashes, kind="stable")
+            same = np.append(False, hashes[order[1:]] == hashes[order[:-1]])[: len(order)]
+            once.append(hashes[order[~same]])
+            if same.any():
+                own = order[same]
+                codes = np.frombuffer(pad + text + pad, np.uint8)
+                again.append(hashes[own])
+                around.append(_digests(codes[pos[own][:, None] + np.arange(_SEGMENT)]).view(np.uint64))
+        yield np.concatenate(once)
+        again, around = np.concatenate(again), np.concatenate(around)
+        yield again[np.unique(again ^ around, return_index=True)[1]] | np.uint64(_AGAIN)
 
 
 def _told(keys: DataFrame):
