@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartloom.operators import certificates, churn, isolation, modelling
+from cartloom.operators import certificates, churn, isolation, kmeans, modelling
 from cartloom.sources import tables
 
 
@@ -42,6 +42,39 @@ def test_kmeans_recovers_groups(spark):
     assert metrics["n_clusters"] == 3 and metrics["silhouette_score"] > 0.9 and metrics["calinski_harabasz_score"] > 100
 
 
+def test_elbow_runs_share_their_scans(spark):
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.normal(size=(60, 2)) * 0.1 + c for c in ((0, 0), (5, 5), (0, 5), (5, 0))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "id int, a double, b double")
+    vectors = modelling.vector_table(df, "id", ["a", "b"])
+    spark.sparkContext.setJobGroup("elbow", "elbow")
+    try:
+        costs = {r["k"]: r["inertia"] for r in modelling.kmeans_elbow(vectors, range(2, 7), restarts=10).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("elbow")) < 150  # run by run: several for each of 50 runs
+    scaled = (points - points.mean(axis=0)) / points.std(axis=0)
+    own = np.repeat(np.arange(4), 60)
+    best = sum(((scaled[own == j] - scaled[own == j].mean(axis=0)) ** 2).sum() for j in range(4))
+    assert costs[4] == pytest.approx(best) and list(costs.values()) == sorted(costs.values(), reverse=True)
+
+
+def test_kmeans_ends_at_means_of_its_own_vectors(spark):
+    rng = np.random.default_rng(5)
+    points = np.vstack([rng.normal(size=(3000, 3)), np.zeros((500, 3))])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id int, a double, b double, c double")
+    vectors = modelling.vector_table(df, "id", ["a", "b", "c"])
+    scaled = np.array([r["features"].toArray() for r in vectors.collect()])
+    for run in kmeans.fit_all(vectors, [(3, 1), (6, 2)], 300):
+        apart = ((scaled[:, None, :] - run.centres[None]) ** 2).sum(axis=2)
+        assert run.cost == pytest.approx(apart.min(axis=1).sum())
+        for j in range(run.k):
+            assert np.allclose(run.centres[j], scaled[apart.argmin(axis=1) == j].mean(axis=0), atol=1e-3)
+    two = spark.createDataFrame([(i, float(i % 2)) for i in range(40)], "id int, a double")
+    few = kmeans.fit_all(modelling.vector_table(two, "id", ["a"]), [(5, 1)], 300)[0]
+    assert len(few.centres) == 2 and few.cost == pytest.approx(0.0)  # two different vectors make two clusters
+
+
 def test_auc_with_ties(spark):
     rng = random.Random(4)
     rows = [(rng.randint(0, 1), rng.randint(0, 5) / 5) for _ in range(300)]
