@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from cartloom.operators import abtest, campaigns, churn
+from cartloom.operators import abtest, campaigns, churn, customers
 
 
 def test_enrichment_defaults(spark):
@@ -100,3 +100,14 @@ def test_retention_rules(spark):
     assert [r["estimated_budget"] for r in out] == [100, 50, 75, 30, 10]
     mean = 2030 / 4
     assert out[0]["estimated_roi"] == round((0.15 * mean * 0.2 - 100) / 100 * 100, 1)
+
+
+def test_customers_without_a_cluster_stay_on_the_lists_of_their_segment(spark):
+    rows = [(1, "Champions", 0, 1, 2, 900.0), (2, "Champions", None, 3, 0, 50.0), (3, "At Risk", 1, 9, 1, 20.0), (4, "At Risk", 2, 9, 1, 10.0),
+            (5, "Potential Loyalists", None, 4, 0, 30.0), (6, "At Risk", 3, 9, 1, 5.0)]
+    df = spark.createDataFrame(rows, "customer_id int, rfm_segment string, cluster int, recency int, frequency int, monetary double")
+    lists = {(r["customer_id"], r["target"]) for r in customers.priority_segments(df).collect()}
+    assert lists == {
+        (1, "CHAMPIONS"), (2, "CHAMPIONS"), (5, "POTENTIAL_LOYALISTS"), (1, "SUPER_WHALES"), (3, "HIGH_VALUE"), (4, "ONE_SHOT_PROBLEM"), (6, "ONE_SHOT_PROBLEM"),
+    }
+    assert {r["cluster"]: r["clusters"] for r in customers.cluster_ranks(df).collect()} == {0: 4, 1: 4, 2: 4, 3: 4}
