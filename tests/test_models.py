@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cartloom.operators import certificates, churn, isolation, kmeans, modelling
@@ -75,6 +76,16 @@ def test_kmeans_ends_at_means_of_its_own_vectors(spark):
     assert len(few.centres) == 2 and few.cost == pytest.approx(0.0)  # two different vectors make two clusters
 
 
+def test_boosted_trees_keep_no_table_of_nodes(spark):
+    assert not modelling.classifier("gradient_boosting", 10, "nb").getCacheNodeIds()
+    rng = np.random.default_rng(7)
+    rows = [(Vectors.dense(p), float(p[0] * p[1] > 0)) for p in rng.normal(size=(400, 2))]
+    df = spark.createDataFrame(rows, ["features", "label"])
+    ours = modelling.classifier("gradient_boosting", 400, "nb", rounds=3)
+    a, b = ours.fit(df), ours.copy({ours.cacheNodeIds: True}).fit(df)
+    assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+
+
 def test_auc_with_ties(spark):
     rng = random.Random(4)
     rows = [(rng.randint(0, 1), rng.randint(0, 5) / 5) for _ in range(300)]
