@@ -111,3 +111,14 @@ def test_customers_without_a_cluster_stay_on_the_lists_of_their_segment(spark):
         (1, "CHAMPIONS"), (2, "CHAMPIONS"), (5, "POTENTIAL_LOYALISTS"), (1, "SUPER_WHALES"), (3, "HIGH_VALUE"), (4, "ONE_SHOT_PROBLEM"), (6, "ONE_SHOT_PROBLEM"),
     }
     assert {r["cluster"]: r["clusters"] for r in customers.cluster_ranks(df).collect()} == {0: 4, 1: 4, 2: 4, 3: 4}
+
+
+def test_behaviour_sends_each_line_at_full_width_once(spark):
+    rows = [("7", "1", "A", 2, 3.0, "SALE"), ("7", "1", "B", 1, 1.0, "SALE"), ("7", "2", "A", 1, 2.0, "SALE"), ("8", None, None, 5, 1.0, "SALE"), ("9", "C3", "A", -1, 1.0, "RETURN")]
+    df = spark.createDataFrame(rows, "CustomerID string, Invoice string, StockCode string, Quantity int, Price double, Transaction_Type string").selectExpr(
+        "*", "timestamp'2010-01-01' AS InvoiceDate", "CAST(Quantity * Price AS decimal(18,2)) AS Total_Amount", "'France' AS Country")
+    out = customers.behaviour_features(df)
+    found = {r["customer_id"]: (r["frequency"], r["product_diversity"], r["monetary"], r["avg_basket"]) for r in out.collect()}
+    assert found == {"7": (2, 2, 9.0, 4.5), "8": (0, 0, 5.0, None)}
+    assert out.columns[:3] == ["customer_id", "frequency", "monetary"]
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
