@@ -21,7 +21,9 @@ Method: a prefix-tree join over globally ordered n-gram sets.
    joined into components, and only pairs in different components are looked
    at again, with 32 times as many hubs a round, until no node has two
    components with unseen pairs.  A node of m near copies costs m comparisons
-   for each hub, not m squared.
+   for each hub, not m squared.  Near copies share most of their grams and meet below dozens
+   of nodes; so the first hubs are those of one gram in eight, and of all grams
+   only those make nodes whose sets are not in one component by then.
 
 Texts without words have no shingles and link with nothing.  A document whose
 id is null, or whose id another row repeats, is handled like any other row:
@@ -44,6 +46,8 @@ from llm.sieve import as_array, key_counts, passes, sieve
 WIDTH = 5
 #: One gram in so many, of all of a set, must be shared among its leading grams for the set to be a candidate.
 LEAD = 8
+#: One leading gram in so many makes the nodes that are looked at first.
+FIRST = 8
 #: How often a gram occurs at least to be in each rank of the global order; what is below the first is in one set only.
 RANKS = (2, 5, 17, 65, 513)
 #: Bits of the bitmaps that tell shared grams and chosen rows (8 MB each, 16 MB for shared grams).
@@ -225,26 +229,46 @@ def _reduced(rows: DataFrame, classes: DataFrame, profiles: DataFrame) -> DataFr
 _SIGNATURE = [f"s{i}" for i in range(WORDS)]
 
 
-def _nodes(sets: DataFrame) -> DataFrame:
-    """(node, x, n, own, s0...): the sets below each leading gram; grams with the same sets make one node."""
-    lead = F.expr("n - (n * 4 + 4) div 5 + 1 - (n - size(grams))")
-    below = sets.select("x", "n", (F.col("n") - F.size("grams")).alias("own"), *_SIGNATURE, F.explode(F.slice("grams", F.lit(1), F.least(lead, F.size("grams")).cast("int"))).alias("gram"))
+def _below(sets: DataFrame, component: DataFrame | None) -> DataFrame:
+    """(gram, x, n, c): the leading grams of each set and its component; without components, one gram in FIRST."""
+    lead = F.expr("n - (n * 4 + 4) div 5 + 1 - own")
+    rows = sets.select("x", "n", F.slice("grams", F.lit(1), F.least(lead, F.size("grams")).cast("int")).alias("lead"))
+    if component is None:
+        some = F.filter("lead", lambda g: F.pmod(F.xxhash64(g), F.lit(FIRST)) == 0)
+        rows = rows.withColumn("lead", some).withColumn("c", F.col("x"))
+    else:
+        rows = _with_component(rows, component)
+    return rows.select("x", "n", "c", F.explode("lead").alias("gram"))
+
+
+def _with_component(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """``rows`` with c, the component of x, which is x itself where nothing is linked to it."""
+    known = component.select(F.col("v").alias("x"), "component")
+    known = F.broadcast(known) if is_small(known) else known
+    return rows.join(known, "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+
+
+def _nodes(below: DataFrame) -> DataFrame:
+    """(node, x, n, c): the sets below each leading gram that is in more than one component; grams with the same sets make one node."""
+    open_ = below.groupBy("gram").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
+    open_ = stage(open_.select("gram"), "open_grams")
+    rows = below.join(F.broadcast(open_) if is_small(open_) else open_, "gram", "left_semi")
     prints = (
-        below.groupBy("gram")
+        rows.groupBy("gram")
         .agg(
             F.count("*").alias("members"),
             F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s"),
             F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b"),
         )
-        .where("members > 1")
         .groupBy("members", "s", "b")
         .agg(F.min("gram").alias("gram"))
         .select("gram")
     )
-    return below.join(prints, "gram").withColumnRenamed("gram", "node")
+    prints = stage(prints, "prints")
+    return below.join(F.broadcast(prints) if is_small(prints) else prints, "gram").select(F.col("gram").alias("node"), "x", "n", "c")
 
 
-_NODE = ["node", "x", "n", "own", *_SIGNATURE]
+_NODE = ["node", "x", "n"]
 
 
 def _hubs(nodes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
@@ -270,17 +294,17 @@ def _hubs(nodes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
     return hubs, open_.select("node")
 
 
-def _pairs(nodes: DataFrame, hubs: DataFrame) -> DataFrame:
+def _pairs(nodes: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (h, x) of a hub and the other members of its node in other components."""
-    heads = nodes.join(hubs, ["node", "x"], "left_semi").select(
-        "node", F.col("x").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"), F.col("own").alias("hown"), *(F.col(w).alias(f"h{w}") for w in _SIGNATURE)
-    )
+    heads = nodes.join(hubs, ["node", "x"], "left_semi").select("node", F.col("x").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"))
     near = (F.col("n") * 5 >= F.col("hn") * 4) & (F.col("hn") * 5 >= F.col("n") * 4)
+    # two hubs may meet as (a, b) and (b, a), and two sets below many nodes
+    pairs = nodes.join(heads, "node").where(near & (F.col("c") != F.col("hc"))).select("h", "x").distinct()
     # grams in one set only: at most a ninth of both together; every bit that differs and every unshared gram is one
+    signs = sets.select("x", "n", "own", *_SIGNATURE)
+    hub_signs = signs.select(*(F.col(c).alias(f"h{c}" if c != "x" else "h") for c in signs.columns))
     differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"h{w}"))) for w in _SIGNATURE), F.col("own") + F.col("hown"))
-    near = near & (differ * 9 <= F.col("n") + F.col("hn"))
-    # two hubs may meet as (a, b) and (b, a)
-    return nodes.join(heads, "node").where(near & (F.col("c") != F.col("hc"))).select("h", "x").distinct()
+    return pairs.join(signs, "x").join(hub_signs, "h").where(differ * 9 <= F.col("n") + F.col("hn")).select("h", "x")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -313,23 +337,27 @@ def row_components(docs: DataFrame) -> DataFrame:
     digest = ["n", "h1", "h2"]
     # x, a class of equal sets: the smallest key of its rows, which leads to a text
     classes = stage(profiles.where("n > 0").groupBy(*digest).agg(F.min("key").alias("x")), "classes")
-    sets = stage(_reduced(rows, classes, profiles), "sets")
-    nodes, component, edges, round_ = stage(_nodes(sets).withColumn("c", F.col("x")), "nodes"), None, None, 0
+    sets = stage(_reduced(rows, classes, profiles).withColumn("own", F.col("n") - F.size("grams")), "sets")
+    nodes, component, edges, round_ = stage(_nodes(_below(sets, None)), "nodes"), None, None, 0
+    whole = False
     while True:
         hubs, open_ = _hubs(nodes, round_)
         hubs = stage(hubs, "hubs")
         if not hubs.isEmpty():
-            found = stage(_links(_pairs(nodes, hubs), sets), "links")
+            found = stage(_links(_pairs(nodes, hubs, sets), sets), "links")
             if not found.isEmpty():
                 edges = found if edges is None else edges.unionByName(found)
                 component = stage(connected_components(edges), "component")
                 edges = component.select(F.col("v").alias("a"), F.col("component").alias("b"))
-            nodes = nodes.join(open_, "node", "left_semi").join(hubs, ["node", "x"], "left_anti").select(_NODE)
-            if component is None:
-                nodes = nodes.withColumn("c", F.col("x"))
-            else:
-                known = component.select(F.col("v").alias("x"), "component")
-                nodes = nodes.join(known, "x", "left").select(*_NODE, F.coalesce("component", "x").alias("c"))
+        if not whole:
+            # all grams now; most have their sets in one component and make no node
+            known = spark.createDataFrame([], "v bigint, component bigint") if component is None else component
+            nodes, whole = stage(_nodes(_below(sets, known)), "nodes"), True
+            continue
+        if not hubs.isEmpty():
+            nodes = nodes.join(open_, "node", "left_semi").join(hubs, ["node", "x"], "left_anti").select(*_NODE, "c")
+            if component is not None:
+                nodes = _with_component(nodes.drop("c"), component)
             nodes = stage(nodes, "nodes")
         elif open_.isEmpty():
             break

@@ -139,6 +139,23 @@ def test_decontamination(spark, docs, nothing):
     assert not decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").count()
 
 
+def test_near_copies_are_nodes_once_not_below_each_gram(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    texts = [(i, " ".join(words[:7 * i] + [f"own{i}"] + words[7 * i + 1 :])) for i in range(40)]
+    staged, plain = {}, ngram_join.stage
+
+    def counted(df, label):
+        out = plain(df, label)
+        staged[label] = staged.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    found = ngram_join.ngram_jaccard_join(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert {r["component_id"] for r in found.collect()} == {0}
+    assert staged["nodes"] < 40 * 20  # each set has about 60 leading grams
+
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_substring_dedup(docs, nothing, hot):
     first = {}
