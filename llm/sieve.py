@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import shuffles_go
+
 #: Bits in one row of a sieve, the width of Spark's bitmap functions.
 ROW = 32768
 
@@ -41,7 +43,9 @@ def marked(df: DataFrame, key: Column, passing: DataFrame, bits: int, name: str)
 def as_array(passing: DataFrame, bits: int) -> np.ndarray:
     """The whole sieve as 2^bits / 8 bytes."""
     out = np.zeros((1 << bits) >> 3, np.uint8)
-    for row in passing.collect():
+    with shuffles_go(passing.sparkSession):
+        rows = passing.collect()
+    for row in rows:
         at = row["part"] * (ROW >> 3)
         out[at : at + (ROW >> 3)] = np.frombuffer(row["mask"], np.uint8)
     return out

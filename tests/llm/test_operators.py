@@ -4,15 +4,17 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter as Bag
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from llm import chat_formatting, decontamination, embedding_join, langid, ngram_join, packing, queries, sanitisation, sharding, stages, substring_dedup, token_counts
+from llm import chat_formatting, common, decontamination, embedding_join, langid, ngram_join, packing, queries, sanitisation, sharding, stages, substring_dedup, token_counts
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -155,6 +157,20 @@ def test_near_copies_are_nodes_once_not_below_each_gram(spark, monkeypatch):
     assert staged["nodes"] < 40 * 20  # each set has about 60 leading grams
 
 
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for top in places for f in Path(top).rglob("shuffle_*.data")}
+    before = shuffled()
+    df = spark.range(20000).groupBy((F.col("id") % 5000).alias("k")).count()  # held, so that no collector may let its plan go
+    written = common.stage(df, "held")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert written.count() == df.count() == 5000
+
+
 
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_substring_dedup(docs, nothing, hot):
