@@ -76,8 +76,17 @@ class Tally:
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate(self.counts), minlength=len(keys)).astype(np.int64)
+        # parts are let go as soon as they are joined, so that no more than four arrays are held at once
+        keys, self.keys = np.concatenate(self.keys), []
+        order = np.argsort(keys)
+        keys = keys[order]
+        counts, self.counts = np.concatenate(self.counts), []
+        counts = counts[order]
+        del order
+        if len(keys):
+            first = np.append(True, keys[1:] != keys[:-1])
+            counts = np.add.reduceat(counts, np.flatnonzero(first))
+            keys = keys[first]
         self.keys, self.counts, self.size = [keys], [counts], len(keys)
         return keys, counts
 

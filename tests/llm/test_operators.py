@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter as Bag
 from pathlib import Path
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from llm import chat_formatting, common, decontamination, embedding_join, langid, ngram_join, packing, queries, sanitisation, sharding, stages, substring_dedup, token_counts
+from llm import chat_formatting, common, decontamination, embedding_join, langid, ngram_join, packing, queries, sanitisation, sharding, sieve, stages, substring_dedup, token_counts
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -171,6 +172,21 @@ def test_a_written_step_leaves_no_shuffle_files(spark):
     assert written.count() == df.count() == 5000
 
 
+def test_counted_keys_are_added_up_in_little_memory():
+    held, rng = sieve.Tally(), np.random.default_rng(1)
+    parts = [np.unique(rng.integers(0, 1 << 40, 100_000).astype(np.uint64)) for _ in range(9)]
+    for part in [*parts, parts[0]]:
+        held.add(part)
+    keys, counts = np.unique(np.concatenate([*parts, parts[0]]), return_counts=True)
+    held_before = held.size
+    tracemalloc.start()
+    got = held.total()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[0] == keys).all() and (got[1] == counts).all()
+    assert peak < 44 * held_before  # bytes for each key, beside the 16 held
+
+
 
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_substring_dedup(docs, nothing, hot):
