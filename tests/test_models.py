@@ -189,3 +189,22 @@ def test_certificates_fail_for_wrong_results(spark):
     assert certificates.flat_at_optimum(fitted).first()["flat"]
     flipped = modelling.TrainedModel(fitted.name, fitted.model, fitted.features, 1, 0.0, fitted.test, fitted.fit_rows.withColumn("label", F.lit(1.0) - F.col("label")))
     assert not certificates.flat_at_optimum(flipped).first()["flat"]
+
+
+@pytest.mark.parametrize("width", [1, 2, 7])
+def test_cells_give_the_sums_of_their_vectors(width):
+    rng = np.random.default_rng(width)
+    rows = np.column_stack([rng.lognormal(sigma=2, size=5000) for _ in range(min(width, 2))] + [np.zeros(5000)] * (width - 2))
+    rows[:900] = rows[0]  # copies
+    rows[900:1000, 0] = np.linspace(-3, 3, 100)  # some on the borders of the first centres
+    near = kmeans._by_cell(rows)
+    assert sorted(map(tuple, near)) == sorted(map(tuple, rows))
+    cells = kmeans._cells(near)
+    assert cells[:, 0].sum() == len(rows)
+    for centres in (rows[:1], np.array([[-1.0] * width, [1.0] * width, [1.0] * width]), rows[rng.integers(900, 5000, 6)]):
+        own, apart = kmeans._nearest(rows, np.square(rows).sum(axis=1), centres)
+        n, cost, total, compared = kmeans._block_sums(near, cells, centres)
+        assert n.tolist() == [(own == j).sum() for j in range(len(centres))]
+        assert np.allclose(cost, [apart[own == j].sum() for j in range(len(centres))])
+        assert np.allclose(total, [rows[own == j].sum(axis=0) for j in range(len(centres))])
+        assert compared < 0.7 * len(rows)  # one by one it would be all
