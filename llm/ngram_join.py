@@ -12,7 +12,11 @@ Method: a prefix-tree join over globally ordered n-gram sets.
    hash): the global order of the tree.  A set with less than 0.8 of its grams left leaves.
    Only sums of grams are shuffled; which are shared, and their ranks, are told
    to the scans by bitmaps of a fixed size, in which a shared bit keeps too much, never too little.
-4. Leading grams with the same sets below them are merged into one node (path
+4. The first gram that two linked sets share stands so early in both that the grams from
+   there on can still hold the needed overlap; so a gram's place in a set bounds the size
+   of the sets it can meet there (its reach).  A variant whose own and rare grams
+   fill the places it may differ in meets nobody below the grams of its template.
+   Leading grams with the same sets below them are merged into one node (path
    compression).  The sets below a node are compared with a few hubs of the
    node, tree order by tree order: neighbours in the order share a path, and
    the overlap along it is counted once; a subtree is left as soon as the
@@ -230,15 +234,18 @@ _SIGNATURE = [f"s{i}" for i in range(WORDS)]
 
 
 def _below(sets: DataFrame, component: DataFrame | None) -> DataFrame:
-    """(gram, x, n, c): the leading grams of each set and its component; without components, one gram in FIRST."""
+    """(gram, x, n, own, c, reach): the leading grams of each set and its component; without components, one gram in FIRST.
+
+    Sets that first meet below the gram are linked only if each has at most ``reach`` grams of the other:
+    the overlap is 4/9 of both sizes together at least, and at most the grams from the gram's place on.
+    """
     lead = F.expr("n - (n * 4 + 4) div 5 + 1 - own")
-    rows = sets.select("x", "n", F.slice("grams", F.lit(1), F.least(lead, F.size("grams")).cast("int")).alias("lead"))
+    rows = sets.select("x", "n", "own", F.slice("grams", F.lit(1), F.least(lead, F.size("grams")).cast("int")).alias("lead"))
+    rows = rows.withColumn("c", F.col("x")) if component is None else _with_component(rows, component)
+    rows = rows.select("x", "n", "own", "c", F.posexplode("lead").alias("place", "gram"))
     if component is None:
-        some = F.filter("lead", lambda g: F.pmod(F.xxhash64(g), F.lit(FIRST)) == 0)
-        rows = rows.withColumn("lead", some).withColumn("c", F.col("x"))
-    else:
-        rows = _with_component(rows, component)
-    return rows.select("x", "n", "c", F.explode("lead").alias("gram"))
+        rows = rows.where(F.pmod(F.xxhash64("gram"), F.lit(FIRST)) == 0)
+    return rows.select("gram", "x", "n", "own", "c", F.expr("(9 * (n - own - place) - 4 * n) div 4").alias("reach"))
 
 
 def _with_component(rows: DataFrame, component: DataFrame) -> DataFrame:
@@ -249,35 +256,47 @@ def _with_component(rows: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def _nodes(below: DataFrame) -> DataFrame:
-    """(node, x, n, c): the sets below each leading gram that is in more than one component; grams with the same sets make one node."""
-    open_ = below.groupBy("gram").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
-    open_ = stage(open_.select("gram"), "open_grams")
-    rows = below.join(F.broadcast(open_) if is_small(open_) else open_, "gram", "left_semi")
+    """(node, x, n, own, c, reach): the sets below each leading gram that is in more than one component.
+
+    Grams with the same sets make one node, in which a set has the farthest reach of them.
+    A set that reaches no other, or that no other reaches, is not below a gram.
+    """
+    several = F.col("least") != F.col("most")
+    parts = [F.min("c").alias("least"), F.max("c").alias("most")]
+    open_ = below.groupBy("gram").agg(*parts, F.min("n").alias("least_n"), F.max("reach").alias("most_reach")).where(several)
+    open_ = stage(open_.select("gram", "least_n", "most_reach"), "open_grams")
+    rows = below.join(F.broadcast(open_) if is_small(open_) else open_, "gram")
+    rows = rows.where("reach >= least_n and n <= most_reach").drop("least_n", "most_reach")
     prints = (
         rows.groupBy("gram")
         .agg(
+            *parts,
             F.count("*").alias("members"),
             F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s"),
             F.bit_xor(F.xxhash64("x", F.lit(1))).alias("b"),
         )
+        .where(several)
+        # no more grams than a set has leading ones
         .groupBy("members", "s", "b")
-        .agg(F.min("gram").alias("gram"))
-        .select("gram")
+        .agg(F.min("gram").alias("node"), F.collect_list("gram").alias("grams"))
+        .select("node", F.explode("grams").alias("gram"))
     )
     prints = stage(prints, "prints")
-    return below.join(F.broadcast(prints) if is_small(prints) else prints, "gram").select(F.col("gram").alias("node"), "x", "n", "c")
+    rows = rows.join(F.broadcast(prints) if is_small(prints) else prints, "gram")
+    return rows.groupBy("node", "x", "n", "own", "c").agg(F.max("reach").alias("reach"))
 
 
-_NODE = ["node", "x", "n"]
+_NODE = ["node", "x", "n", "own", "reach"]
 
 
 def _hubs(nodes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
     """The hubs (node, x) of this round, and the nodes (node) that have pairs to look at.
 
-    The largest component of a node gives no hubs once there are components.
+    The first hub of a node is the set with the fewest grams of its own: what variants were
+    made of is linked to most of them.  Later the largest component of a node gives no hubs.
     """
     if not round_:
-        hubs = nodes.groupBy("node").agg(F.min_by("x", F.struct("n", "x")).alias("x"))
+        hubs = nodes.groupBy("node").agg(F.min_by("x", F.struct("own", "n", "x")).alias("x"))
         return hubs, hubs.select("node")
     parts = nodes.groupBy("node", "c").agg(F.count("*").alias("k"))
     largest = parts.groupBy("node").agg(
@@ -296,8 +315,8 @@ def _hubs(nodes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
 
 def _pairs(nodes: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (h, x) of a hub and the other members of its node in other components."""
-    heads = nodes.join(hubs, ["node", "x"], "left_semi").select("node", F.col("x").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"))
-    near = (F.col("n") * 5 >= F.col("hn") * 4) & (F.col("hn") * 5 >= F.col("n") * 4)
+    heads = nodes.join(hubs, ["node", "x"], "left_semi").select("node", *(F.col(c).alias(f"h{c}" if c != "x" else "h") for c in ("x", "n", "c", "reach")))
+    near = (F.col("n") <= F.col("hreach")) & (F.col("hn") <= F.col("reach"))
     # two hubs may meet as (a, b) and (b, a), and two sets below many nodes
     pairs = nodes.join(heads, "node").where(near & (F.col("c") != F.col("hc"))).select("h", "x").distinct()
     # grams in one set only: at most a ninth of both together; every bit that differs and every unshared gram is one

@@ -641,3 +641,32 @@ def test_terms_of_entities_seen_once(spark):
     clean = {r["doc_id"]: r["text"] for r in sanitisation.sanitised(frame).collect()}
     assert "Zyxwname" not in clean[1] and "\u674e" not in clean[1] and common in clean[1]
     assert "abcdefghijkl" in clean[2] and "mnopqrstuvw" in clean[2] and "q* to [EMAIL]" not in clean[5]
+
+
+def test_variants_of_a_text_that_are_not_linked_are_not_compared_one_by_one(spark, monkeypatch):
+    rng, base = random.Random(5), [f"w{i}" for i in range(150)]
+
+    def variant(i):
+        own = list(base)
+        for j in range(rng.randint(1, 6)):
+            own[rng.randrange(150)] = f"own{i}x{j}"
+        return " ".join(own)
+
+    texts = [(i, variant(i)) for i in range(300)]
+    sets = [(i, shingles(t)) for i, t in texts]
+    links = [(a, b) for a, x in sets for b, y in sets if 100 * len(x & y) >= 80 * len(x | y)]
+    of = components({i for i, _ in sets}, links)
+    assert 60 < len(set(of.values())) < 270
+    last, met, plain = {}, [], ngram_join.stage
+
+    def counted(df, label):
+        out = plain(df, label)
+        last[label] = out
+        if label == "hubs":
+            met.append(last["nodes"].select("node").join(out, "node").count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    found = ngram_join.ngram_jaccard_join(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert rows_of(found) == sorted(((i, len(s), of[i]) for i, s in sets), key=repr)
+    assert sum(met) < 300 * 60, met
