@@ -10,16 +10,19 @@ shards are added up.  Only these counts are used for the result, and the trie
 compares bytes, so they are exact.
 
 The search for candidates works on 64-bit hashes.  What was frequent on a level is
-told to the next by a bitmap of a fixed size: a shared bit lets too much
+told to the next by a bitmap, two bits a key: shared bits let too much
 pass, never too little, and the exact count sorts it out.  Only where a task spells out
 the candidates it has seen, two phrases with one hash would be taken for one
 (some 1 in 10^8 for a million phrases).  Each task adds up what
 it has counted before it hands it on.
 
-Size: a trie takes ``TRIE_BYTES`` of phrases at most; more candidates make more
-tries, each broadcast and counted in a scan of its own.  A long text is cut
-between words; the three words after a cut are read on both sides and counted
-on one.
+Size: a broadcast trie takes ``TRIE_BYTES`` of phrases at most.  More candidates make
+more tries, and the texts are still read once: the scan deals each word start to the trie of
+the phrases with its first two words, as the longest run from there that may be
+frequent, and adds up equal ones; each trie is built and walked in a task where its starts come
+together.  The work follows the texts and the candidates, not their product.
+A long text is cut between words; the three words after a cut are read on both
+sides and counted on one.
 
 Defined results: a null text is empty, a null lang is ``und``.  Texts without
 words add nothing; repeated rows count each time; ids are not looked at.
@@ -45,7 +48,13 @@ from llm.sieve import HELD, as_array, key_counts, passes, sieve
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 BITS = 26
+#: Bytes of text from which a bitmap has twice, and at most four times, the bits.
+MORE_BITS = 8 << 30
 TRIE_BYTES = 24 << 20
+#: Bytes of phrases in a trie that a task builds for itself.
+DEALT_BYTES = 4 << 20
+#: Different runs that a task holds before it hands them on.
+HELD_RUNS = 1_000_000
 #: Bytes of text worked on at once.
 SHARD = 1 << 20
 #: A task reads a good deal of text, so that most of what recurs is added up before it is handed on: all of
@@ -73,6 +82,13 @@ def plain(text: bytes) -> np.ndarray:
     return codes[~drop]
 
 
+def _passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a sieve made by :func:`_frequent`: both of a key's bits are set."""
+    found = passes(table, hashes)
+    found[found] = passes(table, hashes[found] >> np.uint64(32))
+    return found
+
+
 class Shard:
     """Some texts, or a part of a long one: bytes, word starts and ends, and what each word belongs to."""
 
@@ -97,7 +113,7 @@ class Shard:
         yield hashes, at
         for n in range(1, most):
             good = np.zeros(len(words) + 1, bool)
-            good[at] = passes(sieves[n - 1], hashes)
+            good[at] = _passes(sieves[n - 1], hashes)
             last = at + n - 1
             keep = good[at] & good[at + 1] & self.follows[last]
             hashes, at = mix(hashes[keep] * _FACTORS[n] + words[last[keep] + 1]), at[keep]
@@ -160,7 +176,7 @@ def _spelled(shared: list, names: list[str]):
             data = shard.codes.tobytes()
             langs, phrases, new = [], [], []
             for k, (hashes, at) in enumerate(shard.levels(LONGEST, sieves), 1):
-                passing = passes(sieves[k - 1], hashes)
+                passing = _passes(sieves[k - 1], hashes)
                 hashes, at = hashes[passing], at[passing]
                 hashes, first = np.unique(hashes, return_index=True)
                 fresh = seen[np.minimum(np.searchsorted(seen, hashes), max(0, len(seen) - 1))] != hashes if len(seen) else np.ones(len(hashes), bool)
@@ -175,8 +191,8 @@ def _spelled(shared: list, names: list[str]):
     return run
 
 
-def _found(shared, names: list[str], roots: list[int], total: bool):
-    """How often each phrase of the trie occurs; with ``total`` also the words of each language, below 0."""
+def _found(shared, names: list[str], roots: list[int]):
+    """How often each phrase of the trie occurs, and the words of each language, below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (trie, number), root = shared.value, np.array(roots, np.int32)
@@ -188,22 +204,106 @@ def _found(shared, names: list[str], roots: list[int], total: bool):
             known = root[language] >= 0
             counts += np.bincount(trie.matches(shard.codes, starts[known], root[language[known]], _BOUNDARY), minlength=len(counts))
         numbers = np.flatnonzero(counts)
-        below = np.flatnonzero(words) if total else np.empty(0, np.int64)
+        below = np.flatnonzero(words)
         yield pa.record_batch({"number": np.concatenate([-1 - below, number[numbers]]), "n": np.concatenate([words[below], counts[numbers]])})
 
     return run
 
 
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values one after another, and the length of each."""
+    values = pa.concat_arrays([*column.cast(pa.binary()).chunks, pa.array([], pa.binary())])  # one array that starts at its first byte
+    lengths = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[: int(lengths.sum())], lengths
+
+
 def _trie(part: pa.Table) -> DoubleArray:
     """The trie of the sorted ``key`` column, straight from its buffers."""
-    keys = pa.concat_arrays([*part["key"].chunks, pa.array([], pa.binary())])  # one array that starts at its first byte
-    lengths = pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(keys.buffers()[2] or b"", np.uint8)
-    return DoubleArray(data[: int(lengths.sum())], lengths)
+    return DoubleArray(*_bytes(part["key"]))
+
+
+def _slices(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes from each ``begin`` to its ``end``."""
+    lengths = end - begin
+    offsets = np.append(0, np.cumsum(lengths))
+    places = np.repeat(begin - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(codes[places])])
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """(language, run, n) with equal runs added up."""
+    out = pa.concat_tables(tables).group_by(["language", "run"], use_threads=False).aggregate([("n", "sum")])
+    return out.rename_columns([{"n_sum": "n"}.get(c, c) for c in out.column_names]).select(["language", "run", "n"])
+
+
+def _dealt(shared: list, names: list[str]):
+    """How often each run of words is the longest that may be frequent from where it begins, and each word begins one; the words of each language under null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieves, words = [s.value for s in shared], np.zeros(len(names), np.int64)
+        held: list[pa.Table] = []
+        called = pa.array(names, pa.string())
+
+        def handed_on(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            whole = pa.table({"lang": called.take(table["language"]), "phrase": table["run"].cast(pa.string()), "n": table["n"]})
+            yield from whole.to_batches(max_chunksize=100_000)
 
+        for shard in shards(batches, {name: i for i, name in enumerate(names)}):
+            longest = np.zeros(len(shard.starts), np.int64)
+            for k, (hashes, at) in enumerate(shard.levels(LONGEST, sieves), 1):
+                longest[at[_passes(sieves[k - 1], hashes)]] = k
+            words += np.bincount(shard.language[shard.owned], minlength=len(names))
+            longest[~shard.owned] = 0
+            one, more = np.flatnonzero(longest), np.flatnonzero(longest > 1)
+            first, last = np.concatenate([one, more]), np.concatenate([one, more + longest[more] - 1])
+            begun = pa.table({"language": shard.language[first].astype(np.int32), "run": _slices(shard.codes, shard.starts[first], shard.ends[last]), "n": np.ones(len(first), np.int64)})
+            held.append(_added([begun]))
+            if sum(map(len, held)) > 2 * HELD_RUNS:
+                held = [_added(held)]
+                if len(held[0]) > HELD_RUNS:
+                    yield from handed_on(held.pop())
+        if held:
+            yield from handed_on(_added(held))
+        spoken = np.flatnonzero(words)
+        yield pa.record_batch({"lang": called.take(pa.array(spoken)), "phrase": pa.nulls(len(spoken), pa.string()), "n": words[spoken]})
+
+    return run
 
-def _frequent(rows: DataFrame, k: int, sieves: list, names: list[str], least: int) -> np.ndarray:
-    return as_array(sieve(key_counts(rows, _runs(k, sieves, names)).where(F.col("n") >= least).select("key"), BITS), BITS)
+
+def _walked(names: list[str], least: int):
+    """The frequent ones of some candidates, counted by their trie over the runs that were dealt to it."""
+    place = {name: i for i, name in enumerate(names)}
+
+    def numbers(table: pa.Table) -> np.ndarray:
+        return np.array([place[x] for x in table["lang"].to_pylist()], np.int64)
+
+    def alone(table: pa.Table) -> np.ndarray:
+        return pc.invert(pc.match_substring(table["phrase"], " ")).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def run(candidates: pa.Table, runs: pa.Table) -> pa.Table:
+        # a word counts where it is dealt by itself, a longer phrase where runs of several words are: the two have roots of their own
+        kinds = [f"{i} {single}\n" for i in range(len(names)) for single in (0, 1)]
+        kind = pa.array(kinds, pa.string()).take(pa.array(2 * numbers(candidates) + alone(candidates)))
+        keyed = candidates.append_column("key", pc.binary_join_element_wise(kind, candidates["phrase"].cast(pa.string()), "").cast(pa.binary())).sort_by("key")
+        trie = _trie(keyed)
+        roots = np.array([trie.find(x.encode()) for x in kinds], np.int32)
+        root = roots[2 * numbers(runs) + alone(runs)]
+        data, lengths = _bytes(runs["phrase"])
+        codes = np.full(len(data) + len(lengths), _BREAK, np.uint8)
+        codes[np.arange(len(data)) + np.repeat(np.arange(len(lengths)), lengths)] = data
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        known = root >= 0
+        found, often = trie.matches(codes, starts[known], root[known], _BOUNDARY, runs["n"].to_numpy()[known])
+        counts = np.bincount(found, often, minlength=len(keyed)).astype(np.int64)  # exact up to 2^53
+        frequent = np.flatnonzero(counts >= least)
+        return keyed.select(["lang", "phrase"]).take(pa.array(frequent)).append_column("f", pa.array(counts[frequent]))
+
+    return run
+
+
+def _frequent(rows: DataFrame, k: int, sieves: list, names: list[str], least: int, bits: int = BITS) -> np.ndarray:
+    keys = key_counts(rows, _runs(k, sieves, names)).where(F.col("n") >= least)
+    return as_array(sieve(keys.select(F.explode(F.array("key", F.shiftrightunsigned("key", 32))).alias("key")), bits), bits)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, trie_bytes: int = TRIE_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -216,38 +316,51 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, trie_bytes: int = TRIE_BY
     context = spark.sparkContext
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = {r["lang"]: r["bytes"] or 0 for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
-    names = sorted(sizes)  # languages
-    rows = rows.coalesce(int(max(TASKS_PER_CORE * context.defaultParallelism, sum(sizes.values()) // TASK_BYTES)))
+    names, whole = sorted(sizes), sum(sizes.values())  # languages, bytes of text
+    rows = rows.coalesce(int(max(TASKS_PER_CORE * context.defaultParallelism, whole // TASK_BYTES)))
     sieves: list = []
     for k in range(1, LONGEST + 1):
-        sieves.append(context.broadcast(_frequent(rows, k, sieves, names, least)))
+        sieves.append(context.broadcast(_frequent(rows, k, sieves, names, least, BITS + min(2, (whole // MORE_BITS).bit_length()))))
     candidates = stage(rows.mapInArrow(_spelled(sieves, names), "lang string, phrase string").distinct(), "candidates")
     size = candidates.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 1)).first()[0] or 0
-    slices = 1 + size // trie_bytes
+    if size < trie_bytes:
+        return _in_one_trie(rows, candidates, names, least)
+    return _in_many_tries(rows, candidates, sieves, names, least, 1 + size // min(trie_bytes, DEALT_BYTES))
+
+
+def _in_one_trie(rows: DataFrame, candidates: DataFrame, names: list[str], least: int) -> tuple[DataFrame, DataFrame]:
+    """The result of :func:`phrase_counts` with a trie that every task gets."""
+    spark = rows.sparkSession
     position = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(str(i)))]) if names else F.lit(None).cast("map<string,string>")
     keyed = candidates.withColumn("key", F.concat(position[F.col("lang")], F.lit("\n"), F.col("phrase")).cast("binary"))
     numbered = stage(global_rank(keyed, [F.col("key")], "number"), "numbered")
-    counted, words = None, None
-    for i in range(slices):
-        # about trie_bytes come to the driver
-        part = numbered.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == i).select("number", "key").toArrow().sort_by("number")
-        trie, number = _trie(part), part["number"].to_numpy()
-        del part
-        roots = [trie.find(f"{x}\n".encode()) for x in range(len(names))]
-        shared = context.broadcast((trie, number))
-        del trie, number
-        found = rows.mapInArrow(_found(shared, names, roots, i == 0), "number bigint, n bigint")
-        found = stage(found.groupBy("number").agg(F.sum("n").alias("f")), "counts")
-        shared.unpersist()
-        if i == 0:
-            lengths = found.where("number < 0").select((-1 - F.col("number")).alias("number"), F.col("f").alias("words"))
-            languages = spark.createDataFrame(list(enumerate(names)), "number bigint, lang string")
-            words = languages.join(F.broadcast(lengths), "number").select("lang", "words")
-        known = numbered.join(found.where(F.col("f") >= least), "number").select("lang", "phrase", "f")
-        counted = known if counted is None else counted.unionByName(known)
+    part = numbered.select("number", "key").toArrow().sort_by("number")
+    trie, number = _trie(part), part["number"].to_numpy()
+    del part
+    roots = [trie.find(f"{x}\n".encode()) for x in range(len(names))]
+    shared = spark.sparkContext.broadcast((trie, number))
+    del trie, number
+    found = rows.mapInArrow(_found(shared, names, roots), "number bigint, n bigint")
+    found = stage(found.groupBy("number").agg(F.sum("n").alias("f")), "counts")
+    shared.unpersist()
+    lengths = found.where("number < 0").select((-1 - F.col("number")).alias("number"), F.col("f").alias("words"))
+    languages = spark.createDataFrame(list(enumerate(names)), "number bigint, lang string")
+    words = languages.join(F.broadcast(lengths), "number").select("lang", "words")
+    counted = numbered.join(found.where(F.col("f") >= least), "number").select("lang", "phrase", "f")
     return stage(counted, "phrases"), words
 
 
+def _in_many_tries(rows: DataFrame, candidates: DataFrame, sieves: list, names: list[str], least: int, tries: int) -> tuple[DataFrame, DataFrame]:
+    """The result of :func:`phrase_counts` with tries that hold the phrases of the same first two words each."""
+    runs = rows.mapInArrow(_dealt(sieves, names), "lang string, phrase string, n bigint")
+    runs = stage(runs.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "runs")
+    own = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 2)), F.lit(tries)).alias("trie")
+    theirs = candidates.select("lang", "phrase", own).groupBy("trie")
+    dealt = runs.where(F.col("phrase").isNotNull()).select("lang", "phrase", "n", own).groupBy("trie")
+    counted = theirs.cogroup(dealt).applyInArrow(_walked(names, least), "lang string, phrase string, f bigint")
+    return stage(counted, "phrases"), runs.where(F.col("phrase").isNull()).select("lang", F.col("n").alias("words"))
+
+
 def _run(first: Column, length: Column) -> Column:
     return F.array_join(F.slice("w", first, length), " ")
 

@@ -84,18 +84,26 @@ class DoubleArray:
             state = at
         return state
 
-    def matches(self, codes: np.ndarray, starts: np.ndarray, states: np.ndarray, boundary: np.ndarray) -> np.ndarray:
+    def matches(self, codes: np.ndarray, starts: np.ndarray, states: np.ndarray, boundary: np.ndarray, times: np.ndarray | None = None):
         """Numbers of all keys that begin at ``starts`` and end before a boundary byte.
 
         All starts advance by one byte in each step, and those without a
-        child drop out.  ``codes`` ends with a boundary byte.
+        child drop out.  ``codes`` ends with a boundary byte.  With ``times``, one for
+        each start, also those of the starts whose keys were found.
         """
-        found, at, state = [], starts, states
+        found, often, at, state = [], [], starts, states
         while len(at):
             symbol = codes[at]
-            number = self.accept[state[boundary[symbol]]]
+            ends = boundary[symbol]
+            number = self.accept[state[ends]]
             found.append(number[number >= 0])
             after = self.base[state] + symbol
             alive = self.check[after] == state
+            if times is not None:
+                often.append(times[ends][number >= 0])
+                times = times[alive]
             at, state = at[alive] + 1, after[alive]
-        return np.concatenate(found) if found else np.empty(0, np.int32)
+        numbers = np.concatenate(found) if found else np.empty(0, np.int32)
+        if times is None:
+            return numbers
+        return numbers, np.concatenate(often) if often else np.empty(0, np.int64)

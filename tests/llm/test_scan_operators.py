@@ -177,6 +177,54 @@ def test_collocations(docs, nothing, trie_bytes):
     assert collocations.collocations(nothing).count() == 0
 
 
+def test_more_tries_are_no_more_scans(spark, docs):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    scans, texts = [], docs.select("lang", seen.asNondeterministic()("text").alias("text"))
+    for trie_bytes in (32 << 20, 700):
+        before = read.value
+        phrases, words = collocations.phrase_counts(texts, 8, trie_bytes)
+        found = sorted(tuple(r) for r in phrases.collect()), sorted(tuple(r) for r in words.collect())
+        scans.append((read.value - before, found))
+    assert scans[0] == scans[1] and scans[0][1][0]
+
+
+def test_what_a_task_holds_bounds_no_counts(docs, monkeypatch):
+    want = in_order(collocations.phrase_counts(docs, 8, 700)[0])
+    sieves = [np.full(1 << 17, 255, np.uint8)] * collocations.LONGEST  # everything may be frequent
+    shared = [type("Shared", (), {"value": s}) for s in sieves]
+    batches = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").toArrow().to_batches()
+    names = ["en", "fr", "und"]
+    for held in (1, 1 << 30):
+        monkeypatch.setattr(collocations, "HELD_RUNS", held)
+        monkeypatch.setattr(collocations, "SHARD", 2048)
+        counts = Counter()
+        for batch in collocations._dealt(shared, names)(iter(batches)):
+            for lang, run, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase", "n"))):
+                if run is None:
+                    continue
+                words = run.split(" ")
+                for k in range(1, len(words) + 1) if len(words) == 1 else range(2, len(words) + 1):
+                    counts[lang, " ".join(words[:k])] += n
+        assert sorted(((lang, p, n) for (lang, p), n in counts.items() if n >= 8), key=repr) == want
+
+
+def test_two_bits_a_key_let_less_pass(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(1 << 62), 1 << 62, 60_000)
+    texts = spark.createDataFrame([(k,) for k in keys[:20_000].tolist()], "key bigint").withColumn("n", F.lit(30))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(collocations, "key_counts", lambda rows, runs: rows)
+        table = collocations._frequent(texts, 1, [], [], 30, 20)
+    found = collocations._passes(table, keys.view(np.uint64))
+    assert found[:20_000].all() and found[20_000:].mean() < 0.004  # one bit a key: 0.019
+
+
 def test_long_texts_are_counted_across_their_cuts(spark, monkeypatch):
     text = prose(3000, 5) + " " + "y" * 700 + " " + prose(200, 5) + "a b " * 300
     monkeypatch.setattr(collocations, "SHARD", 256)
