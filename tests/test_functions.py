@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartloom.functions import numeric, ordering
+from cartloom.functions.scalars import with_distinct_counts
+from cartloom.functions.staging import stage
 from cartloom.operators.churn import risk_band
 from cartloom.operators.rfm import rfm_scores
 
@@ -94,3 +97,22 @@ def test_expand_copies_spreads_hot_rows(spark, monkeypatch):
     assert rows == sorted([("hot", i) for i in range(95)] + [("cold", 0), ("two", 0), ("two", 1)])
     parts = out.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 1
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {name for name in found.split("\n") if "shuffle_" in name}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    rows = spark.range(5000).select((F.col("id") % 700).alias("customer_id"), F.col("id").alias("x"))
+    before = shuffle_files(spark)
+    total = stage(rows.groupBy("customer_id").agg(F.sum("x").alias("total")), "sums")
+    counted = with_distinct_counts(total, rows, {"different": F.col("x")})
+    for _ in range(100):  # files go in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert counted.agg(F.count("*"), F.sum("different"), F.sum("total")).first() == (700, 5000, sum(range(5000)))
